@@ -32,6 +32,8 @@ from gaugeflow.session import ship
 
 NODES = 500_000
 NEVER = 1 << 60
+#: Words of more bytes have no nodes, whose keys would take the square of their length.
+LONG = 80
 #: The pre-token pattern of byte-level vocabularies (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: The same tokens on texts without the characters of UNUSUAL, from the faster standard library.
@@ -109,8 +111,7 @@ class TrieEncoder:
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(vocabulary.special, key=len, reverse=True))) + ")") if vocabulary.special else None
 
     def clear(self) -> None:
-        self.child: list[dict[int, int]] = [{}]  # node -> byte -> node; the root is 0
-        self.last: list[bytes] = [b""]
+        self.last: dict[bytes, bytes] = {b"": b""}  # the trie's nodes, by prefix
         self.known: dict[str, bytes] = {}
 
     def edges(self, token: bytes) -> tuple[list, list] | None:
@@ -130,9 +131,6 @@ class TrieEncoder:
             self.spines[token] = found
         return self.spines[token]
 
-    def stands(self, token: bytes) -> bool:
-        return self.edges(token) is not None
-
     def compatible(self, left: bytes, right: bytes) -> bool:
         """Whether the merges leave ``left`` and ``right`` side by side: no merge across the border comes before those that end its two parts."""
         if (ok := self.beside.get((left, right))) is None:
@@ -141,7 +139,7 @@ class TrieEncoder:
             ok, mine, ranks = True, self.edges(right), self.v.ranks
             if mine is None:
                 ok = False
-            else:
+            elif left:  # anything that encodes to itself may begin a word
                 for p, p_ends in self.edges(left)[1]:
                     for q, q_ends in mine[0]:
                         rank = ranks.get((p, q), NEVER)
@@ -150,32 +148,50 @@ class TrieEncoder:
             self.beside[left, right] = ok
         return ok
 
-    def last_token(self, word: bytes, n: int, path: list[int]) -> bytes:
-        """The token that ends the encoding of the first ``n`` bytes; ``path`` has the nodes of their own prefixes, the root first."""
-        ids = self.v.ids
-        for start in range(max(0, n - self.v.longest), n):
-            token = word[start:n]
-            if token in ids and (self.compatible(self.last[path[start]], token) if start else self.stands(token)):
-                return token
-        raise ValueError(f"no token ends {word[:n]!r}")
-
     def insert(self, word: bytes) -> bytes:
-        """Adds a word's nodes and returns its packed ids."""
-        path, node = [0], 0
-        for depth, byte in enumerate(word, 1):
-            below = self.child[node].get(byte)
-            if below is None:
-                token = self.last_token(word, depth, path)
-                below = self.child[node][byte] = len(self.last)
-                self.child.append({})
-                self.last.append(token)
-            path.append(node := below)
-        out, at = [], len(word)
-        while at:
-            token = self.last[path[at]]
+        """Adds a word's nodes and returns its packed ids. Words over LONG bytes are walked in the same way but leave no nodes."""
+        n = len(word)
+        if n > LONG:
+            return self.long(word)
+        last, ids, beside = self.last, self.v.ids, self.beside
+        known = n
+        while word[:known] not in last:
+            known -= 1
+        token = last[word[:known]]
+        for depth in range(known + 1, n + 1):
+            # Only one token can be the last, so the order of the tries is free: first the parent's with one byte more, then short ones.
+            start, then = depth - 1 - len(token), depth - 1
+            while True:
+                token = word[start:depth]
+                if token in ids:
+                    before = last[word[:start]]
+                    ok = beside.get((before, token))
+                    if ok or (ok is None and self.compatible(before, token)):
+                        break
+                start, then = then, then - 1
+            last[word[:depth]] = token
+        out = []
+        while n:
+            token = last[word[:n]]
             out.append(self.pack[token])
-            at -= len(token)
-        return b"".join(reversed(out))
+            n -= len(token)
+        out.reverse()
+        return b"".join(out)
+
+    def long(self, word: bytes) -> bytes:
+        ids, last = self.v.ids, [b""]
+        for depth in range(1, len(word) + 1):
+            for start in range(depth - 1, max(-1, depth - 1 - self.v.longest), -1):
+                token = word[start:depth]
+                if token in ids and self.compatible(last[start], token):
+                    last.append(token)
+                    break
+        out, n = [], len(word)
+        while n:
+            out.append(self.pack[last[n]])
+            n -= len(last[n])
+        out.reverse()
+        return b"".join(out)
 
     def learn(self, words: set[str]) -> None:
         """Inserts the words that are not known, in depth-first order."""
