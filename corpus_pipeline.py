@@ -1,17 +1,55 @@
-"""The corpus pipeline: named stages over documents (filled in below as operators land)."""
+"""The corpus pipeline: five stages over ``documents``, each one operator of gaugeflow.llm.
+
+toxicity (rejected documents go), near duplicates (one document of each class stays), PII (texts are
+sanitised), mixing (rows in the order of the mix), BPE (ids and decoded text). Each stage works on
+all rows its predecessor kept; all but the last return the columns of ``documents``. The network is
+fitted on the labelled rows among a stage's own input; its labels are not read when it scores.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gaugeflow.llm import bpe, mixing, neardup, pii, toxicity
+from gaugeflow.llm.common import fold
+from gaugeflow.session import materialise
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    net = toxicity.fit(toxicity.training_sample(docs, labels, "toxic", fold("doc_id", 5) != 0))
+    return toxicity.keep(docs, net)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return neardup.dedup(docs)
+
+
+def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pii.sanitise(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows in the order of the mix: range-partitioned by slot, so the written files follow one another in it."""
+    mixed = mixing.mix(docs)
+    order = [F.col("mix_slot").asc_nulls_last(), F.col("mix_place")]
+    return mixed.repartitionByRange(*order).sortWithinPartitions(*order).select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bpe.encode(docs)
 
-from gaugeflow.llm import bpe
 
-STAGES = [("bpe", lambda spark, docs, sf_dir: bpe.encode(docs))]
+STAGES = [("toxicity", drop_toxic), ("near_dup", drop_near_duplicates), ("pii", sanitise), ("mixing", mix), ("bpe", encode)]
+#: No SQL: the first stage is a trained network. tests/llm/test_pipeline.py holds the rest against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = materialise(docs, f"pipeline-{name}")
     return docs
