@@ -26,16 +26,19 @@ from gaugeflow.llm.common import text_or_empty
 #: White space between words (fixed value).
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "[#*$%&|<>]"
-#: Patterns whose counts make the histogram of character classes; what remains makes one more class.
-CLASSES = {"lower": "[a-z]", "upper": "[A-ZÀ-ÖØ-Þ]", "digit": "[0-9]", "space": r"[\x20\x09-\x0D]", "mark": "[.,;:!?'\"()-]", "symbol": SYMBOLS}
+#: Patterns of rare characters; with white space, symbols, bytes beyond the first of a character, and the rest they make the histogram of classes.
+CLASSES = {"upper": "[A-Z]", "digit": "[0-9]", "mark": "[.,;:!?'\"()-]"}
+N_CLASSES = len(CLASSES) + 4
 MIN_WORDS, REPEATED_PERCENT, WINDOW = 10, 20, 5
+#: Longest common word.
+LETTERS = 5
 
 
 @dataclass(frozen=True)
 class Rules:
     """Limits of the divergence rule; distances lie between 0 and 1."""
 
-    common: int = 24
+    common: int = 20
     class_limit: float = 0.3
     word_limit: float = 0.48
     min_chars: int = 300
@@ -52,24 +55,28 @@ class References:
 
 
 def words_of(text: Column) -> Column:
-    return F.filter(F.split(text, SPACE), lambda w: w != "")
+    return F.array_remove(F.split(text, SPACE), "")
 
 
-def class_counts(text: Column) -> Column:
-    counts = [F.regexp_count(text, F.lit(p)).cast("double") for p in CLASSES.values()]
-    rest = F.char_length(text).cast("double")
-    for c in counts:
+def chars_in(words: Column) -> Column:
+    return F.char_length(F.array_join(words, ""))
+
+
+def class_counts(text: Column, word_chars: Column, n_symbols: Column) -> Column:
+    """Counts of the classes, which sum to the text's bytes. Only rare characters are searched for; the others follow from lengths."""
+    found = [F.regexp_count(text, F.lit(p)).cast("double") for p in CLASSES.values()]
+    chars = F.char_length(text).cast("double")
+    space, symbols, wide = chars - word_chars, n_symbols.cast("double"), F.octet_length(text) - chars
+    rest = word_chars - symbols
+    for c in found:
         rest = rest - c
-    return F.array(*counts, rest)
+    return F.array(*found, space, symbols, wide, rest)
 
 
-def repeated_words(words: Column) -> Column:
-    """Words that lie in a window of five words found twice or more, each word once."""
-    n = F.size(words)
-    hashes = F.transform(F.sequence(F.lit(0), n - WINDOW), lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(WINDOW)]))
-    # sorted by (hash, place), equal windows are neighbours; a place counts for what its predecessor among all repeated places leaves uncovered
-    placed = lambda h: F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+def repeated_words(n: Column, hashes: Column, kinds: Column) -> Column:
+    """Words that lie in a window found twice or more, each word once; ``hashes`` of all windows, ``kinds`` of them."""
 
+    # sorted by (hash, place), equal windows are neighbours; a place counts for what its predecessor among all repeated places leaves uncovered
     def places(s: Column) -> Column:
         same = lambda i, j: F.get(s, j)["h"] == F.get(s, i)["h"]
         twice = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: F.coalesce(same(i, i - 1), F.lit(False)) | F.coalesce(same(i, i + 1), F.lit(False)))
@@ -80,41 +87,43 @@ def repeated_words(words: Column) -> Column:
         return F.aggregate(p, zero, lambda a, i: F.struct((a["n"] + F.least(F.lit(WINDOW), i + WINDOW - a["to"])).alias("n"), (i + WINDOW).alias("to")), lambda a: a["n"])
 
     with_value = lambda value, f: F.element_at(F.transform(F.array(value), f), 1)  # noqa: E731  evaluates ``value`` once
-    return F.when(n < WINDOW + 1, F.lit(0)).otherwise(with_value(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(with_value(placed(h), lambda s: with_value(places(s), covered)))))
+    placed = F.sort_array(F.transform(hashes, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+    return F.when((n <= WINDOW) | (kinds == F.size(hashes)), F.lit(0)).otherwise(with_value(placed, lambda s: with_value(places(s), covered)))
 
 
 def base(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """doc_id, text, words and the base counts."""
+    """doc_id, text, words and the base counts. Each step is a projection, so that what several columns use is computed once."""
     d = docs.select(F.col(id_column).cast("long").alias("doc_id"), text_or_empty(text_column).alias("text"))
-    d = d.withColumn("words", words_of(F.col("text")))
     lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x, F.lit(" \t\n\u000b\f\r")) != "")
-    d = d.withColumn("lines", lines)
+    d = d.withColumns({"words": words_of(F.col("text")), "lines": lines, "n_symbols": F.regexp_count("text", F.lit(SYMBOLS)).cast("long")})
+    windows = F.when(F.size("words") >= WINDOW, F.transform(F.sequence(F.lit(0), F.size("words") - WINDOW), lambda i: F.xxhash64(*[F.get("words", i + j) for j in range(WINDOW)]))).otherwise(F.array().cast("array<bigint>"))
+    d = d.withColumns({"n_words": F.size("words").cast("long"), "word_chars": chars_in(F.col("words")).cast("long"), "hashes": windows})
+    d = d.withColumn("kinds", F.size(F.array_distinct("hashes")))
     return d.select(
-        "doc_id", "text", "words",
-        F.size("words").cast("long").alias("n_words"),
-        F.aggregate("words", F.lit(0).cast("long"), lambda a, w: a + F.char_length(w)).alias("word_chars"),
-        F.regexp_count("text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
+        "doc_id", "text", "words", "n_words", "word_chars", "n_symbols",
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        repeated_words(F.col("words")).cast("long").alias("n_repeat_words"),
+        repeated_words(F.col("n_words"), F.col("hashes"), F.col("kinds")).cast("long").alias("n_repeat_words"),
     )
 
 
 def learn(docs: DataFrame, rules: Rules = Rules(), text_column: str = "text", lang_column: str = "lang") -> References:
     """References of every language, from all its texts. What reaches the driver: one row a language, and ``common`` words of each."""
     d = docs.where(F.col(lang_column).isNotNull()).select(F.col(lang_column).cast("string").alias("lang"), text_or_empty(text_column).alias("text"))
-    n = len(CLASSES) + 1
-    counts = d.select("lang", class_counts(F.col("text")).alias("c")).groupBy("lang").agg(*[F.sum(F.col("c")[i]).alias(f"c{i}") for i in range(n)]).orderBy("lang").collect()
-    classes = {r["lang"]: [(r[f"c{i}"] or 0.0) / max(1.0, sum(r[f"c{j}"] or 0.0 for j in range(n))) for i in range(n)] for r in counts}
-    per_word = d.select("lang", F.explode(words_of(F.lower("text"))).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
+    d = d.withColumn("words", words_of(F.col("text")))
+    counts = class_counts(F.col("text"), chars_in(F.col("words")).cast("double"), F.regexp_count("text", F.lit(SYMBOLS)))
+    sums = d.select("lang", counts.alias("c"), F.size("words").alias("n")).groupBy("lang").agg(*[F.sum(F.col("c")[i]).alias(f"c{i}") for i in range(N_CLASSES)], F.sum("n").alias("n")).orderBy("lang").collect()
+    classes = {r["lang"]: [r[f"c{i}"] / max(1.0, sum(r[f"c{j}"] for j in range(N_CLASSES))) for i in range(N_CLASSES)] for r in sums}
+    totals = {r["lang"]: r["n"] for r in sums}
+    # Common words have LETTERS characters at most, by definition; shares are of all words.
+    per_word = d.select("lang", F.explode(F.filter(F.split(F.lower("text"), SPACE), lambda w: F.char_length(w).between(1, LETTERS))).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
     # Top words in two steps, so that no task ranks all words of a language.
     order = [F.col("n").desc(), F.col("word")]
-    parts = Window.partitionBy("lang", F.pmod(F.xxhash64("word"), F.lit(64))).orderBy(*order)
-    total = F.sum("n").over(Window.partitionBy("lang", F.pmod(F.xxhash64("word"), F.lit(64))))
-    first = per_word.select("*", F.row_number().over(parts).alias("r"), total.alias("part_n")).where(F.col("r") <= rules.common)
-    merged = first.withColumn("r2", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).withColumn("total", F.sum(F.when(F.col("r") == 1, F.col("part_n"))).over(Window.partitionBy("lang")))
+    part = Window.partitionBy("lang", F.pmod(F.xxhash64("word"), F.lit(64))).orderBy(*order)
+    first = per_word.withColumn("r", F.row_number().over(part)).where(F.col("r") <= rules.common)
+    last = first.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("r") <= rules.common)
     tops: dict[str, dict[str, float]] = {}
-    for r in merged.where(F.col("r2") <= rules.common).orderBy("lang", "word").collect():
-        tops.setdefault(r["lang"], {})[r["word"]] = r["n"] / r["total"]
+    for r in last.orderBy("lang", "word").collect():
+        tops.setdefault(r["lang"], {})[r["word"]] = r["n"] / totals[r["lang"]]
     return References(classes, {k: list(v) for k, v in tops.items()}, {k: [*v.values(), max(0.0, 1 - sum(v.values()))] for k, v in tops.items()})
 
 
@@ -135,8 +144,10 @@ def score(docs: DataFrame, references: References, rules: Rules = Rules(), id_co
     if not references.classes:
         return d.select(*columns, F.lit(None).cast("string").alias("language"), F.lit(None).cast("double").alias("class_distance"), F.lit(None).cast("double").alias("word_distance"), (~F.col("base_failed")).alias("kept"))
     every = sorted({w for ws in references.words.values() for w in ws})
-    d = d.withColumn("classes", class_counts(F.col("text")))
-    d = d.withColumn("known", F.sort_array(F.filter(F.transform("words", lambda w: F.lower(w)), lambda w: w.isin(*every) if every else F.lit(False))))
+    # a common word counts in small letters, in capitals and with a capital first
+    spelled = sorted({x for w in every for x in (w, w.upper(), w[:1].upper() + w[1:])})
+    d = d.withColumns({"classes": class_counts(F.col("text"), F.col("word_chars"), F.col("n_symbols")), "bytes": F.octet_length("text").cast("double")})
+    d = d.withColumn("known", F.sort_array(F.transform(F.filter("words", lambda w: w.isin(*spelled) if spelled else F.lit(False)), lambda w: F.lower(w))))
     d = d.withColumn("kinds", F.array_distinct("known"))
     starts = F.concat(F.transform("kinds", lambda w: F.array_position("known", w)), F.array((F.size("known") + 1).cast("long")))
     d = d.withColumn("starts", starts)
@@ -149,7 +160,7 @@ def score(docs: DataFrame, references: References, rules: Rules = Rules(), id_co
     d = d.withColumns({f"all{i}": F.concat(f"own{i}", F.array(F.col("n") - total(F.col(f"own{i}")))) for i in range(len(languages))})
     by = {}
     for i, lang in enumerate(languages):
-        by[f"class{i}"] = F.when(F.col("chars") < rules.min_chars, F.lit(0.0)).otherwise(distance(F.col("classes"), F.col("chars"), references.classes[lang]))
+        by[f"class{i}"] = F.when(F.col("chars") < rules.min_chars, F.lit(0.0)).otherwise(distance(F.col("classes"), F.col("bytes"), references.classes[lang]))
         by[f"word{i}"] = F.when(F.col("n") < rules.min_words, F.lit(0.0)).otherwise(distance(F.col(f"all{i}"), F.col("n"), references.shares.get(lang, [1.0])))
     d = d.withColumns(by)
     # the language whose larger distance, as a part of its limit, is least; ties to the first by name
