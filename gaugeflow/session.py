@@ -64,9 +64,13 @@ def shared_folder(spark: SparkSession) -> str:
     return "file://" + _local_folder[0]
 
 
-def materialise(df: DataFrame, name: str = "table") -> DataFrame:
-    """Writes ``df`` to the shared folder and returns a scan of it, whose size the planner knows."""
+def materialise(df: DataFrame, name: str = "table", wide: bool = False) -> DataFrame:
+    """Writes ``df`` to the shared folder and returns a scan of it, whose size the planner knows.
+
+    A narrow table is dealt to as many files as the cluster has cores, not to one for each of its maybe
+    many small partitions; a ``wide`` one is written as it lies.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/gaugeflow/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df if wide else df.repartition(spark.sparkContext.defaultParallelism)).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
