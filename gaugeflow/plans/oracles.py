@@ -1 +1,364 @@
-ORACLES: dict[str, str] = {}
+"""DuckDB SQL with the results of the registered queries.
+
+Shared parts are written once: BOX derives the boxes and their candidate pairs from line items, GREEDY walks the pairs
+of each image in order and keeps what is free, which is the definition that the rounds of the Spark side must meet.
+"""
+
+from __future__ import annotations
+
+from gaugeflow.plans.queries import EFFECTS, THRESHOLDS
+
+ITEMS = """
+items AS (
+  SELECT l_orderkey AS image, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) - 1 AS gi,
+         l_linenumber AS n, l_partkey AS p, l_suppkey AS s, l_quantity AS q, round(100 * l_discount) AS disc
+  FROM lineitem WHERE l_orderkey % 4 = 0
+)"""
+
+BOX = ITEMS + """,
+gt AS (
+  SELECT image, gi AS gt, n % 3 AS cls, 10 * q AS x1, 10 * disc AS y1, 10 * q + 20 + p % 40 AS x2, 10 * disc + 20 + s % 40 AS y2 FROM items
+), pr0 AS (
+  SELECT image, gi AS pred, (n + CASE WHEN p % 10 = 0 THEN 1 ELSE 0 END) % 3 AS cls, ((31 * p + 17 * s + 7 * n) % 1000)::DOUBLE / 1000 AS conf,
+         10 * q + p % 7 - 3 + CASE WHEN s % 13 = 0 THEN 200 ELSE 0 END AS x1, 10 * disc + s % 5 - 2 AS y1, 20 + p % 40 + 4 * (n % 3) AS w, 20 + s % 40 AS h
+  FROM items WHERE p % 11 <> 0
+), pr AS (
+  SELECT image, pred, cls, conf, x1, y1, x1 + w AS x2, y1 + h AS y2 FROM pr0
+), inter AS (
+  SELECT g.image, gt, pred, g.cls AS gt_cls, p.cls AS pred_cls, conf,
+         (least(g.x2, p.x2) - greatest(g.x1, p.x1)) * (least(g.y2, p.y2) - greatest(g.y1, p.y1)) AS common,
+         (g.x2 - g.x1) * (g.y2 - g.y1) + (p.x2 - p.x1) * (p.y2 - p.y1) AS areas
+  FROM gt g JOIN pr p ON g.image = p.image AND g.x1 < p.x2 AND p.x1 < g.x2 AND g.y1 < p.y2 AND p.y1 < g.y2
+), cand AS (
+  SELECT image, gt, pred, gt_cls, pred_cls, conf, common / (areas - common) AS iou FROM inter
+)"""
+
+
+def greedy(name: str, source: str, keys: str = "image", where: str = "gt_cls = pred_cls") -> str:
+    """CTEs that end in ``name``: the matches of ``source`` by a walk in order of (iou, gt, pred) downwards."""
+    join = " AND ".join(f"r.{k.strip()} = c.{k.strip()}" for k in keys.split(","))
+    rkeys = ", ".join(f"r.{k.strip()}" for k in keys.split(","))
+    return f"""
+{name}_o AS (
+  SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY iou DESC, gt DESC, pred DESC) AS k FROM {source} WHERE iou >= 0.5 AND {where}
+), {name}_r AS (
+  SELECT DISTINCT {keys}, 0::BIGINT AS k, []::BIGINT[] AS ug, []::BIGINT[] AS up, false AS ok, NULL::BIGINT AS gt, NULL::BIGINT AS pred, NULL::BIGINT AS gt_cls, NULL::BIGINT AS pred_cls, NULL::DOUBLE AS conf, NULL::DOUBLE AS iou FROM {name}_o
+  UNION ALL
+  SELECT {rkeys}, c.k,
+         CASE WHEN list_contains(ug, c.gt) OR list_contains(up, c.pred) THEN ug ELSE list_append(ug, c.gt) END,
+         CASE WHEN list_contains(ug, c.gt) OR list_contains(up, c.pred) THEN up ELSE list_append(up, c.pred) END,
+         NOT (list_contains(ug, c.gt) OR list_contains(up, c.pred)), c.gt, c.pred, c.gt_cls, c.pred_cls, c.conf, c.iou
+  FROM {name}_r r JOIN {name}_o c ON {join} AND c.k = r.k + 1
+), {name} AS (
+  SELECT {keys}, gt, pred, gt_cls, pred_cls, conf, iou FROM {name}_r WHERE ok
+)"""
+
+
+def boxed(*parts: str) -> str:
+    return "WITH RECURSIVE" + BOX + "".join("," + p for p in parts)
+
+
+FN = """
+missed AS (SELECT g.image, g.gt, g.cls FROM gt g WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.image = g.image AND b.gt = g.gt)),
+picks AS (
+  SELECT image, gt,
+    max(CASE WHEN gt_cls = pred_cls AND iou >= 0.5 AND conf < {low} THEN {{'iou': iou, 'pred': pred, 'conf': conf}} END) AS low,
+    max(CASE WHEN gt_cls <> pred_cls AND iou >= 0.5 THEN {{'iou': iou, 'pred': pred, 'conf': conf}} END) AS wrong,
+    max(CASE WHEN gt_cls = pred_cls THEN {{'iou': iou, 'pred': pred, 'conf': conf}} END) AS near
+  FROM cand WHERE {where} GROUP BY image, gt
+), fn AS (
+  SELECT m.image, m.gt, m.cls, coalesce(low, wrong, near) AS chosen,
+    CASE WHEN low IS NOT NULL THEN 'LOW_CONF_RECOVERABLE' WHEN wrong IS NOT NULL THEN 'WRONG_CLASS' WHEN near IS NOT NULL THEN 'LOCALIZATION_FAILURE' ELSE 'NO_RESPONSE' END AS category
+  FROM missed m LEFT JOIN picks p ON m.image = p.image AND m.gt = p.gt
+)"""
+
+BASE = greedy("base", "cand", where="gt_cls = pred_cls AND conf >= 0.25")
+KEPT = "prk AS (SELECT * FROM pr WHERE conf >= 0.25), candk AS (SELECT * FROM cand WHERE conf >= 0.25)"
+FN_LOW = FN.format(low="0.25", where="true")
+FN_TEST = FN.format(low="-1", where="conf >= 0.25")
+FALSE_ALARMS = "fp AS (SELECT * FROM prk p WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.image = p.image AND b.pred = p.pred))"
+POOL = """
+pool_kinds AS (SELECT image, count(*) FILTER (category = 'WRONG_CLASS') AS wrong, count(*) FILTER (category = 'LOCALIZATION_FAILURE') AS loc, count(*) FILTER (category = 'NO_RESPONSE') AS fn FROM fn GROUP BY image),
+pool_fp AS (SELECT image, count(*) AS fp FROM fp GROUP BY image),
+pool_all AS (
+  SELECT i.image, coalesce(k.fn, 0) AS fn, coalesce(wrong, 0) AS wrong, coalesce(loc, 0) AS loc, coalesce(fp, 0) AS fp, 3 * coalesce(k.fn, 0) + 2 * coalesce(wrong, 0) + 2 * coalesce(loc, 0) + coalesce(fp, 0) AS score
+  FROM (SELECT DISTINCT image FROM gt) i LEFT JOIN pool_kinds k ON i.image = k.image LEFT JOIN pool_fp f ON i.image = f.image
+), pool AS (
+  SELECT *, rank <= ceil(0.3 * count(*) OVER ()) AS is_hard, rank_desc <= ceil(0.3 * count(*) OVER ()) AS is_hard_desc
+  FROM (SELECT *, row_number() OVER (ORDER BY score DESC, image::VARCHAR) AS rank, row_number() OVER (ORDER BY score DESC, image::VARCHAR DESC) AS rank_desc FROM pool_all)
+)"""
+POOLED = boxed(BASE, KEPT, FN_TEST, FALSE_ALARMS, POOL)
+
+PRINTS = """
+v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+m AS (SELECT vec_id, label, v, list_sort(v) AS o, len(v) AS n FROM v),
+m2 AS (SELECT vec_id, label, v, (o[(n - 1) // 2 + 1] + o[n // 2 + 1]) / 2 AS med, list_sum(v) / n AS mean, n FROM m),
+c AS (
+  SELECT vec_id, label, list_transform(v, lambda x: x >= med) AS pb, list_transform(range(1, n), lambda i: v[i + 1] >= v[i]) AS db, list_transform(v, lambda x: x - mean) AS ce FROM m2
+), prints AS (
+  SELECT vec_id, label, pb, db, ce, sqrt(list_dot_product(ce, ce)) AS norm FROM c
+), pairs AS (
+  SELECT a.vec_id AS l, b.vec_id AS r, a.label AS ll, b.label AS rl,
+    list_sum(list_transform(list_zip(a.pb, b.pb), lambda z: (z[1] <> z[2])::INT)) AS pd, list_sum(list_transform(list_zip(a.db, b.db), lambda z: (z[1] <> z[2])::INT)) AS dd,
+    list_dot_product(a.ce, b.ce) / (a.norm * b.norm) AS corr
+  FROM prints a JOIN prints b ON {on}
+)"""
+
+
+def near(p: int, d: int, corr: float) -> str:
+    return f"WITH {PRINTS.format(on='a.vec_id < b.vec_id')} SELECT l AS left, r AS right, pd::INT AS phash_distance, dd::INT AS dhash_distance, round(corr, 6) AS correlation FROM pairs WHERE pd <= {p} AND dd <= {d} AND corr >= {corr}"
+
+
+NEAREST = """
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY l ORDER BY corr DESC, r) AS k FROM pairs) WHERE k = 1)"""
+
+EXACT = """
+h AS (SELECT doc_id, sha256(text) AS sha256 FROM documents),
+z AS (SELECT sha256, count(*) AS size, min(doc_id) AS first FROM h GROUP BY sha256 HAVING count(*) > 1),
+zn AS (SELECT *, 'exact_' || lpad(row_number() OVER (ORDER BY size DESC, first)::VARCHAR, 4, '0') AS group_id FROM z)"""
+
+MEASURED = ITEMS + """,
+poly AS (
+  SELECT image, gi, [{'x': 10*q, 'y': 10*disc}, {'x': 10*q + 20 + p % 40, 'y': 10*disc + p % 5}, {'x': 10*q + 20 + p % 40, 'y': 10*disc + 20 + s % 40}, {'x': 10*q, 'y': 10*disc + 20 + s % 40}] AS pts,
+    CASE WHEN (image // 4) % 10 < 7 THEN 'train' WHEN (image // 4) % 10 < 9 THEN 'val' ELSE 'test' END AS split
+  FROM items
+), measured AS (
+  SELECT image, gi, split, pts, abs(list_sum(list_transform(range(1, 5), lambda i: pts[i].x * pts[i % 4 + 1].y - pts[i % 4 + 1].x * pts[i].y))) / 2 AS area,
+    list_max(list_transform(pts, lambda a: a.x)) - list_min(list_transform(pts, lambda a: a.x)) AS w, list_max(list_transform(pts, lambda a: a.y)) - list_min(list_transform(pts, lambda a: a.y)) AS h
+  FROM poly
+)"""
+
+RAW = ITEMS + """,
+shapes AS (
+  SELECT image, gi, p, s, n, 10*q AS x, 10*disc AS y, 20 + p % 40 AS w, 20 + s % 40 AS h, p % 5 AS t,
+    CASE WHEN p % 29 = 0 THEN 'bow' WHEN p % 31 = 0 THEN 'two' WHEN p % 37 = 0 THEN 'closed' WHEN p % 41 = 0 THEN 'nan' ELSE 'plain' END AS defect, p % 43 = 0 AS rect, s % 47 = 0 AS unknown
+  FROM items
+), shaped AS (
+  SELECT *, x + w > 500 OR greatest(y + h, CASE WHEN defect <> 'bow' THEN y + t ELSE 0 END) > 140 AS out_full, x + w > 500 OR y + t > 140 AS out_two FROM shapes
+)"""
+
+SPLIT = """
+docs AS (SELECT doc_id, sha256(text) AS sha FROM documents),
+firsts AS (SELECT sha, min(doc_id) AS component, count(*) AS n FROM docs GROUP BY sha),
+grouped AS (SELECT doc_id, d.sha, CASE WHEN n > 1 THEN 'group_' || component ELSE 'singleton_' || doc_id END AS grp FROM docs d JOIN firsts f ON d.sha = f.sha),
+hashed AS (SELECT *, ('0x' || substr(md5(grp), 1, 8))::BIGINT % 100 AS r, ('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT % 100 AS ri FROM grouped),
+rows0 AS (SELECT h.doc_id, sha, grp, CASE WHEN r < 70 THEN 'train' WHEN r < 85 THEN 'val' ELSE 'test' END AS split, CASE WHEN ri < 70 THEN 'train' WHEN ri < 85 THEN 'val' ELSE 'test' END AS by_id,
+  CASE WHEN quality IS NOT NULL THEN ['quality' || quality, 'toxic' || toxic] ELSE [] END AS labels FROM hashed h LEFT JOIN labels l ON h.doc_id = l.doc_id),
+flat AS (SELECT doc_id, split, unnest(labels) AS cls FROM rows0),
+profiled AS (
+  SELECT r.split, NULL::VARCHAR AS cls, count(*) AS images, (SELECT count(*) FROM flat f WHERE f.split = r.split) AS instances FROM rows0 r GROUP BY r.split
+  UNION ALL SELECT split, cls, count(DISTINCT doc_id), count(*) FROM flat GROUP BY split, cls
+)"""
+
+RUNS = """
+runs AS (
+  SELECT (day(ts) - 1) // 6 AS seed, event_type AS model, round(avg(value), 6) AS metric FROM events WHERE event_type IN ('click', 'view', 'purchase') GROUP BY ALL
+), deltas AS (
+""" + " UNION ALL ".join(f"SELECT '{a}-{b}' AS effect, x.metric - y.metric AS delta FROM runs x JOIN runs y ON x.seed = y.seed WHERE x.model = '{a}' AND y.model = '{b}'" for a, b in EFFECTS) + """
+), paired AS (
+  SELECT effect, count(*) AS n, round(avg(delta), 6) AS mean, round(stddev_samp(delta), 6) AS sd, round(min(delta), 6) AS lowest, round(max(delta), 6) AS highest, count(*) FILTER (delta > 0) AS positive FROM deltas GROUP BY effect
+)"""
+
+CURVE = """
+curve0 AS (SELECT day(ts) AS epoch, round(avg(value), 6) AS loss, max(value) AS fitness FROM events GROUP BY 1),
+curve AS (SELECT epoch, CASE WHEN epoch % 7 = 0 THEN 'nan'::DOUBLE ELSE loss END AS loss, fitness FROM curve0)"""
+
+SWEPT = boxed(
+    f"t AS (SELECT unnest({THRESHOLDS})::DOUBLE AS threshold)",
+    "passed AS (SELECT threshold, c.* FROM cand c JOIN t ON conf >= threshold)",
+    greedy("m", "passed", "threshold, image"),
+    """
+lev AS (SELECT unnest([-1, 0, 1, 2])::INT AS cls),
+sw AS (
+  SELECT threshold, lev.cls, (SELECT count(*) FROM gt g WHERE lev.cls = -1 OR g.cls = lev.cls) AS actual,
+    (SELECT count(*) FROM pr p WHERE p.conf >= threshold AND (lev.cls = -1 OR p.cls = lev.cls)) AS predicted, (SELECT count(*) FROM m WHERE m.threshold = t.threshold AND (lev.cls = -1 OR m.gt_cls = lev.cls)) AS tp
+  FROM t, lev
+), swept AS (
+  SELECT threshold, cls, tp, predicted - tp AS fp, actual - tp AS fn, coalesce(tp / nullif(predicted, 0), 0) AS precision, coalesce(tp / nullif(actual, 0), 0) AS recall, coalesce(2 * tp / nullif(predicted + actual, 0), 0) AS f1 FROM sw WHERE actual > 0
+)""",
+)
+
+DRAWS = """
+srows AS (SELECT doc_id, doc_id % 10 < 3 AS is_hard, CASE WHEN doc_id % 10 < 3 THEN 2 ELSE 1 END AS w FROM documents),
+cum AS (SELECT doc_id, is_hard, w, sum(w) OVER (ORDER BY doc_id) AS hi FROM srows),
+dr AS (SELECT range AS draw, floor(('0x' || substr(md5('seed42:' || range), 1, 8))::BIGINT::DOUBLE / 4294967296.0 * (SELECT max(hi) FROM cum)) AS a FROM range(2048)),
+drawn AS (SELECT draw, doc_id, is_hard FROM dr JOIN cum ON a >= hi - w AND a < hi)"""
+
+ORACLES: dict[str, str] = {
+    "q01_class_stats": """
+WITH t AS (SELECT count(DISTINCT user_id) AS ai, count(*) AS an FROM events)
+SELECT event_type AS class, count(DISTINCT user_id) AS images, count(*) AS instances, count(DISTINCT user_id) / any_value(ai) AS image_share, count(*) / any_value(an) AS instance_share,
+  count(*) FILTER (value < 5) AS tiny, count(*) FILTER (value < 5) / count(*) AS tiny_share, quantile_cont(value, 0.5) AS median_area
+FROM events, t GROUP BY event_type""",
+    "q02_cooccurrence": """
+WITH h AS (SELECT DISTINCT user_id, event_type FROM events), n AS (SELECT DISTINCT event_type AS c FROM events)
+SELECT a.c AS class_a, b.c AS class_b, (SELECT count(*) FROM h x JOIN h y ON x.user_id = y.user_id WHERE x.event_type = a.c AND y.event_type = b.c) AS images FROM n a, n b""",
+    "q03_describe": """
+SELECT l_returnflag, count(l_extendedprice) AS n, min(l_extendedprice) AS lowest, quantile_cont(l_extendedprice, 0.25) AS p25, quantile_cont(l_extendedprice, 0.5) AS p50, quantile_cont(l_extendedprice, 0.75) AS p75,
+  quantile_cont(l_extendedprice, 0.9) AS p90, quantile_cont(l_extendedprice, 0.95) AS p95, max(l_extendedprice) AS highest, round(avg(l_extendedprice), 4) AS mean
+FROM lineitem GROUP BY l_returnflag""",
+    "q04_instances_hist": "SELECT children, count(*) AS parents FROM (SELECT o_orderkey, count(l_orderkey) AS children FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey) GROUP BY children",
+    "q05_exact_duplicates": f"WITH {EXACT} SELECT group_id, size, doc_id, h.sha256 FROM h JOIN zn ON h.sha256 = zn.sha256",
+    "q06_near_pairs": near(6, 8, 0.98),
+    "q06_near_pairs_relaxed": near(24, 64, 0.35),
+    "q07_components": f"""
+WITH RECURSIVE {PRINTS.format(on='a.vec_id < b.vec_id')}, {EXACT},
+e0 AS (SELECT l AS a, r AS b FROM pairs WHERE pd <= 24 AND dd <= 64 AND corr >= 0.35 UNION ALL SELECT first, doc_id FROM h JOIN zn ON h.sha256 = zn.sha256 WHERE doc_id <> first),
+e AS (SELECT a, b FROM e0 UNION SELECT b, a FROM e0),
+reach AS (SELECT DISTINCT a AS member, a AS other FROM e UNION SELECT r.member, e.b FROM reach r JOIN e ON r.other = e.a),
+comp AS (SELECT member, min(other) AS component FROM reach GROUP BY member),
+g AS (SELECT component, count(*) AS size, min(member) AS first FROM comp GROUP BY component),
+gn AS (SELECT *, 'near_' || lpad(row_number() OVER (ORDER BY size DESC, first)::VARCHAR, 4, '0') AS group_id FROM g)
+SELECT group_id, size, member FROM comp JOIN gn ON comp.component = gn.component""",
+    "q08_consistency": f"""
+WITH {EXACT},
+s AS (SELECT doc_id, 'quality' || quality || ':1|toxic' || toxic || ':1' AS signature, 'quality' || quality || '|toxic' || toxic AS labels FROM labels),
+j AS (SELECT group_id, signature IS NULL AS gone, coalesce(signature, '<NO_JSON>') AS signature, coalesce(labels, '<NO_JSON>') AS labels FROM h JOIN zn ON h.sha256 = zn.sha256 LEFT JOIN s ON h.doc_id = s.doc_id)
+SELECT group_id, count(*) AS size, count(DISTINCT signature) AS signatures, count(DISTINCT labels) AS label_sets, count(*) FILTER (gone) AS missing, count(DISTINCT labels) > 1 AS label_mismatch,
+  count(DISTINCT labels) = 1 AND count(DISTINCT signature) > 1 AS count_only_mismatch FROM j GROUP BY group_id""",
+    "q09_pair_audit": """
+SELECT coalesce(a.k, b.k) AS key, CASE WHEN a.k IS NULL THEN 'right_only' WHEN b.k IS NULL THEN 'left_only' ELSE 'paired' END AS status
+FROM (SELECT DISTINCT doc_id::VARCHAR AS k FROM documents) a FULL JOIN (SELECT DISTINCT doc_id::VARCHAR AS k FROM labels) b ON a.k = b.k""",
+    "q10_numeric_runs": """
+WITH i AS (SELECT v, v - row_number() OVER (ORDER BY v) AS g FROM (SELECT DISTINCT doc_id AS v FROM labels))
+SELECT min(v) AS first, max(v) AS last, count(*) AS length FROM i GROUP BY g HAVING count(*) >= 3""",
+    "q11_even_sample": """
+WITH r AS (SELECT doc_id, source, row_number() OVER (ORDER BY doc_id) - 1 AS place, count(*) OVER () AS n FROM documents)
+SELECT doc_id, source, place FROM r WHERE place IN (SELECT (i * (n - 1)) // (least(20, n) - 1) FROM range(20) t(i), (SELECT count(*) AS n FROM documents))""",
+    "q12_nearest_labeled": f"""
+WITH {PRINTS.format(on='a.label IN (8, 9) AND b.label NOT IN (8, 9)')}, {NEAREST}
+SELECT l AS left, r AS right, pd::INT AS phash_distance, dd::INT AS dhash_distance, round(corr, 6) AS correlation,
+  CASE WHEN pd <= 6 AND dd <= 8 AND corr >= 0.98 THEN 'near_duplicate' WHEN pd <= 12 AND dd <= 14 AND corr >= 0.95 THEN 'similar' ELSE 'unknown' END AS hint FROM best""",
+    "q13_polygon_metrics": f"WITH {MEASURED} SELECT image, gi, 4 AS vertices, area, w * h AS box_area, round(w / h, 6) AS aspect, round(area / 70000.0, 9) AS relative_area FROM measured",
+    "q14_polygon_issues": f"""
+WITH {RAW},
+issues AS (
+  SELECT image, gi, 'unknown_label' AS issue FROM shaped WHERE unknown UNION ALL SELECT image, gi, 'not_polygon' FROM shaped WHERE rect
+  UNION ALL SELECT image, gi, 'malformed_point' FROM shaped WHERE defect = 'nan' UNION ALL SELECT image, gi, 'too_few_points' FROM shaped WHERE defect = 'two'
+  UNION ALL SELECT image, gi, 'zero_area' FROM shaped WHERE defect = 'bow' UNION ALL SELECT image, gi, 'self_intersection' FROM shaped WHERE defect = 'bow'
+  UNION ALL SELECT image, gi, 'repeated_point' FROM shaped WHERE defect = 'closed' UNION ALL SELECT image, gi, 'out_of_bounds' FROM shaped WHERE CASE WHEN defect = 'two' THEN out_two ELSE out_full END
+) SELECT * FROM issues""",
+    "q14_conversion_rejects": f"""
+WITH {RAW}
+SELECT CASE WHEN rect THEN 'non_polygon' WHEN defect IN ('two', 'nan') THEN 'too_few_points' WHEN defect = 'bow' THEN 'degenerate' WHEN out_full THEN 'out_of_bounds' ELSE 'ok' END AS reason, count(*) AS shapes FROM shaped GROUP BY 1""",
+    "q15_canonical_dups": f"""
+WITH {ITEMS},
+k AS (SELECT image, gi, concat_ws('|', CASE WHEN s % 47 = 0 THEN 'unknown' ELSE 'class' || (n % 3) END, q, disc, p % 40, s % 40, p % 5) AS key FROM items),
+a AS (SELECT * FROM k UNION ALL SELECT image, gi + 100, key FROM k WHERE gi % 3 = 0)
+SELECT * FROM (SELECT image, gi, row_number() OVER (PARTITION BY image, key ORDER BY gi)::INT AS occurrence FROM a) WHERE occurrence > 1""",
+    "q16_split_profile": f"WITH {SPLIT} SELECT split, cls, images, instances FROM profiled",
+    "q16_split_objective": f"""
+WITH {SPLIT},
+want AS (SELECT * FROM (VALUES ('train', 0.7::DOUBLE), ('val', 0.15::DOUBLE), ('test', 0.15::DOUBLE)) t(split, share)),
+whole AS (SELECT * FROM profiled WHERE cls IS NULL), per AS (SELECT * FROM profiled WHERE cls IS NOT NULL),
+sz AS (SELECT 800 * sum(pow(coalesce(images, 0) / (SELECT sum(images) FROM whole) - share, 2)) AS c FROM want LEFT JOIN whole ON want.split = whole.split),
+sums AS (SELECT cls, sum(images) AS ai, sum(instances) AS an FROM per GROUP BY cls),
+grid AS (SELECT s.cls, ai, an, w.split, share, coalesce(images, 0) AS i, coalesce(instances, 0) AS n FROM sums s CROSS JOIN want w LEFT JOIN per p ON p.split = w.split AND p.cls = s.cls),
+cc AS (SELECT sum(pow((i - ai * share) / greatest(3.0, ai * share), 2)) + 0.35 * sum(pow((n - an * share) / greatest(3.0, an * share), 2)) AS c, 1000.0 * count(*) FILTER (i = 0) AS e FROM grid)
+SELECT round(sz.c, 6) AS size_cost, round(cc.c, 6) AS class_cost, round(e, 6)::DOUBLE AS empty_cost, round(sz.c + cc.c + e, 6) AS cost FROM sz, cc""",
+    "q17_train_only_bins": f"""
+WITH {MEASURED},
+qs AS (SELECT quantile_cont(area, 0.25) AS a, quantile_cont(area, 0.5) AS b, quantile_cont(area, 0.75) AS c FROM measured WHERE split = 'train'),
+bins AS (SELECT split, CASE WHEN area <= a THEN 'tiny' WHEN area <= b THEN 'small' WHEN area <= c THEN 'medium' ELSE 'large' END AS bin FROM measured, qs),
+grid AS (SELECT s.split, t.bin FROM (VALUES ('train'), ('val'), ('test')) s(split), (VALUES ('tiny'), ('small'), ('medium'), ('large')) t(bin))
+SELECT g.split, g.bin, count(b.split) AS shapes FROM grid g LEFT JOIN bins b ON g.split = b.split AND g.bin = b.bin GROUP BY ALL""",
+    "q18_greedy_match": boxed(greedy("m", "cand")) + " SELECT image, gt, pred, round(iou, 9) AS iou FROM m",
+    "q19_agnostic_match": boxed(
+        greedy("m", "cand", where="true"),
+        """
+same AS (SELECT image, gt, max(iou) AS iou FROM cand WHERE gt_cls = pred_cls GROUP BY ALL),
+g2 AS (
+  SELECT 'gt' AS side, g.cls, CASE WHEN m.gt_cls = m.pred_cls THEN 'TP' WHEN m.gt IS NOT NULL THEN 'wrong_class' WHEN same.iou >= 0.5 THEN 'low_mask_iou' WHEN same.iou IS NOT NULL THEN 'low_box_iou' ELSE 'FN_no_same_class_candidate' END AS category
+  FROM gt g LEFT JOIN m ON g.image = m.image AND g.gt = m.gt LEFT JOIN same ON g.image = same.image AND g.gt = same.gt
+), p2 AS (
+  SELECT 'pred' AS side, p.cls, CASE WHEN m.gt_cls = m.pred_cls THEN 'TP' WHEN m.pred IS NOT NULL THEN 'wrong_class_FP' ELSE 'FP_unmatched' END AS category FROM pr p LEFT JOIN m ON p.image = m.image AND p.pred = m.pred
+)""",
+    ) + " SELECT side, cls, category, count(*) AS n FROM (SELECT * FROM g2 UNION ALL SELECT * FROM p2) GROUP BY ALL",
+    "q20_threshold_sweep": SWEPT + " SELECT threshold, cls, tp, fp, fn, round(precision, 9) AS precision, round(recall, 9) AS recall, round(f1, 9) AS f1 FROM swept",
+    "q21_f1_best_recall95": SWEPT + """ SELECT max(threshold) FILTER (f1 >= (SELECT max(f1) FROM swept WHERE cls = -1) - 1e-12) AS best_f1_threshold, round(max(f1), 9) AS best_f1,
+  max(threshold) FILTER (recall >= 0.95 * (SELECT max(recall) FROM swept WHERE cls = -1)) AS recall95_threshold FROM swept WHERE cls = -1""",
+    "q22_fn_taxonomy": boxed(BASE, FN_LOW) + " SELECT image, gt, cls, category, chosen.pred AS pred, round(chosen.iou, 9) AS iou, chosen.conf AS conf FROM fn",
+    "q23_test_taxonomy": boxed(BASE, KEPT, FN_TEST, FALSE_ALARMS) + """
+SELECT side, cls, category, count(*) AS n FROM (
+  SELECT 'gt' AS side, cls, category FROM fn UNION ALL SELECT 'gt', gt_cls, CASE WHEN iou < 0.65 THEN 'POOR_BOUNDARY' ELSE 'TP' END FROM base UNION ALL SELECT 'pred', cls, 'FP' FROM fp
+) GROUP BY ALL""",
+    "q23_bottom_classes": boxed(BASE, KEPT, """
+per AS (SELECT g.cls, g.n AS actual, coalesce(p.n, 0) AS predicted, coalesce(b.n, 0) AS tp FROM (SELECT cls, count(*) AS n FROM gt GROUP BY 1) g
+  LEFT JOIN (SELECT cls, count(*) AS n FROM prk GROUP BY 1) p ON g.cls = p.cls LEFT JOIN (SELECT gt_cls AS cls, count(*) AS n FROM base GROUP BY 1) b ON g.cls = b.cls)""")
+    + " SELECT * FROM (SELECT row_number() OVER (ORDER BY tp / actual, cls)::INT AS place, cls, tp, predicted - tp AS fp, actual - tp AS fn, round(tp / actual, 9) AS recall FROM per) WHERE place <= 2",
+    "q24_hard_pool": POOLED + " SELECT image, fn, wrong, loc, fp, score, rank, is_hard FROM pool",
+    "q25_hard_pool_presence": POOLED + " SELECT 'class' || g.cls AS label, count(DISTINCT p.image) AS images, min(score) AS lowest, max(score) AS highest FROM pool p JOIN gt g ON p.image = g.image WHERE is_hard GROUP BY 1",
+    "q26_paired_deltas": f"WITH {RUNS} SELECT * FROM paired",
+    "q27_decision_rule": f"""WITH {RUNS} SELECT effect, CASE WHEN n < 2 THEN 'INSUFFICIENT' WHEN positive = n AND mean > 0 THEN 'CONSISTENT_GAIN' WHEN positive = 0 AND mean < 0 THEN 'CONSISTENT_LOSS' WHEN mean > 0 THEN 'MIXED_GAIN' ELSE 'MIXED_LOSS' END AS decision FROM paired""",
+    "q28_curve_audit": f"""WITH {CURVE}
+SELECT count(*) AS rows, list_sort(list(epoch::INT)) = range(1, 31)::INT[] AS complete, count(*) FILTER (isnan(loss)) AS bad_rows, min(epoch) FILTER (isnan(loss)) AS first_bad,
+  CASE WHEN count(*) FILTER (isnan(loss)) > 0 THEN 'loss' END AS first_bad_column, max(fitness) AS best, min(epoch) FILTER (fitness = (SELECT max(fitness) FROM curve)) AS best_epoch FROM curve""",
+    "q29_first_nonfinite": f"""WITH {CURVE}, f AS (SELECT min(epoch) AS first FROM curve WHERE isnan(loss))
+SELECT epoch, isnan(loss) AS bad, fitness, epoch - first AS offset FROM curve, f WHERE epoch BETWEEN first - 3 AND first + 3""",
+    "q30_confusion": f"""
+WITH {PRINTS.format(on='a.vec_id % 5 = 0 AND b.vec_id % 5 <> 0')}, {NEAREST},
+cls AS (SELECT range::INT AS c FROM range(10)),
+s AS (SELECT c, (SELECT count(*) FROM best WHERE ll = c) AS support, (SELECT count(*) FROM best WHERE rl = c) AS predicted, (SELECT count(*) FROM best WHERE ll = c AND rl = c) AS tp FROM cls),
+r AS (SELECT *, coalesce(tp / nullif(predicted, 0), 0) AS pr, coalesce(tp / nullif(support, 0), 0) AS re, coalesce(2 * tp / nullif(predicted + support, 0), 0) AS f FROM s)
+SELECT c AS cls, support, round(pr, 9) AS precision, round(re, 9) AS recall, round(f, 9) AS f1, NULL::DOUBLE AS accuracy, NULL::DOUBLE AS macro_f1, NULL::DOUBLE AS weighted_f1 FROM r
+UNION ALL SELECT NULL, sum(support)::BIGINT, NULL, NULL, NULL, round(sum(tp) / sum(support), 9), round(avg(f) FILTER (support + predicted > 0), 9), round(sum(f * support) / sum(support), 9) FROM r""",
+    "q31_sampler_audit": f"""WITH {DRAWS}, k AS (SELECT draw // 32 AS batch, doc_id, count(*) AS n, count(*) FILTER (is_hard) AS h FROM drawn GROUP BY ALL)
+SELECT batch, count(*) AS unique_keys, (sum(n) - count(*))::BIGINT AS duplicates, max(n) AS most, sum(h)::BIGINT AS hard FROM k GROUP BY batch""",
+    "q31_draw_summary": f"""WITH {DRAWS}, a AS (SELECT count(*) FILTER (is_hard) AS n_hard, count(*) FILTER (NOT is_hard) AS n_normal FROM srows), b AS (SELECT count(*) AS draws, count(*) FILTER (is_hard) AS hard_draws FROM drawn)
+SELECT n_hard, n_normal, draws, hard_draws, round(2 * n_hard / (2 * n_hard + n_normal), 9) AS expected FROM a, b""",
+    "q32_registry_upsert": "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 OR o_orderkey % 5 = 0 THEN 'N' ELSE o_orderstatus END AS o_orderstatus, o_totalprice FROM orders",
+    "q33_language_audit": """
+WITH c AS (SELECT doc_id, len(regexp_extract_all(text, '[\\x{4e00}-\\x{9fff}]')) AS n_wide, len(regexp_extract_all(text, '[A-Za-z]{3,}')) AS n_latin FROM documents),
+s AS (SELECT *, coalesce(n_latin / nullif(n_latin + n_wide, 0), 0) AS share FROM c), k AS (SELECT *, CASE WHEN share >= 0.8 THEN 'latin' WHEN share <= 0.2 THEN 'wide' ELSE 'mixed' END AS kind FROM s)
+SELECT doc_id, n_wide, n_latin, kind, CASE kind WHEN 'mixed' THEN 'review' WHEN 'wide' THEN 'keep' ELSE 'translate' END AS action FROM k""",
+    "q34_field_profile": """
+WITH e AS (SELECT unnest(json_keys(props)) AS key, props FROM events), v AS (SELECT key, json_extract_string(props, '$.' || key) AS value FROM e)
+SELECT key, CASE WHEN value IS NULL THEN 'null' WHEN regexp_full_match(value, '-?[0-9]+(\\.[0-9]+)?') THEN 'number' WHEN value IN ('true', 'false') THEN 'boolean' WHEN value[1] IN ('[', '{') THEN 'other' ELSE 'string' END AS kind,
+  count(*) AS n, count(DISTINCT value) AS n_values, min(length(value))::INT AS shortest, max(length(value))::INT AS longest FROM v GROUP BY ALL""",
+    "q35_config_diff": """
+WITH b AS (SELECT 'part' || (l_partkey % 50) AS name, count(*) AS a, count(*) FILTER (l_linenumber <> 7) AS b, min(l_partkey) % 50 AS k FROM lineitem GROUP BY 1),
+x AS (SELECT name, a::VARCHAR AS v FROM b WHERE k % 9 <> 0), y AS (SELECT name, (CASE WHEN k % 2 = 0 THEN a ELSE b END)::VARCHAR AS v FROM b WHERE k % 8 <> 0)
+SELECT * FROM (SELECT coalesce(x.name, y.name) AS name, x.v AS a, y.v AS b, CASE WHEN y.name IS NULL THEN 'missing' WHEN x.name IS NULL THEN 'unexpected' WHEN x.v = y.v THEN 'equal' WHEN x.name IN ('part1', 'part3') THEN 'expected' ELSE 'different' END AS status
+FROM x FULL JOIN y ON x.name = y.name) WHERE status <> 'equal'""",
+    "q36_leakage_gate": f"""
+WITH {SPLIT},
+a AS (SELECT count(*) AS v FROM (SELECT sha FROM rows0 GROUP BY sha HAVING count(DISTINCT by_id) > 1)), b AS (SELECT count(*) AS v FROM (SELECT sha FROM rows0 GROUP BY sha HAVING count(DISTINCT split) > 1)),
+c AS (SELECT count(*) AS v FROM (SELECT grp FROM rows0 GROUP BY grp HAVING count(DISTINCT split) > 1))
+SELECT 'sha_by_id' AS "check", v AS violations, v = 0 AS passed FROM a UNION ALL SELECT 'sha_by_group', v, v = 0 FROM b UNION ALL SELECT 'group_by_group', v, v = 0 FROM c""",
+    "q37_artifact_manifest": """
+SELECT r.page_id, CASE WHEN p.page_id IS NULL THEN 'missing' WHEN coalesce(length(p.html), 0) = 0 THEN 'empty' WHEN NOT starts_with(p.html, '<!DOCTYPE html>') THEN 'bad_head' ELSE 'ok' END AS status
+FROM (SELECT page_id * 2 AS page_id FROM pages) r LEFT JOIN pages p ON r.page_id = p.page_id""",
+    "q39_negative_sampling": boxed(BASE, "best AS (SELECT image, pred, max(iou) AS iou FROM cand GROUP BY ALL)")
+    + " SELECT p.image, p.pred, conf, round(coalesce(iou, 0), 9) AS best FROM pr p LEFT JOIN best b ON p.image = b.image AND p.pred = b.pred WHERE coalesce(iou, 0) < 0.5 ORDER BY conf DESC, p.image, p.pred LIMIT (SELECT count(*) // 2 FROM base)",
+    "q40_state_tree": """
+WITH t AS (SELECT vec_id, 'layer.' || vec_id || '.' || ['weight', 'bias', 'running_mean', 'num_batches_tracked', 'gamma'][vec_id % 5 + 1] AS name, list_transform(embedding, lambda x: CASE WHEN vec_id % 7 = 0 AND x > 0.25 THEN 'nan'::DOUBLE ELSE x::DOUBLE END) AS v FROM embeddings),
+o AS (SELECT *, list_filter(v, lambda x: isfinite(x)) AS ok FROM t)
+SELECT vec_id, name, ['weight', 'bias', 'running_stat', 'counter', 'other'][vec_id % 5 + 1] AS category, len(ok) / len(v) AS finite_ratio, list_min(ok) AS lowest, list_max(ok) AS highest, round(list_sum(ok) / len(ok), 6) AS mean,
+  (len(v) - len(ok))::INT AS n_nan, 0 AS n_inf FROM o""",
+    "q42_label_lines": f"""
+WITH {ITEMS} SELECT n % 3 AS class_id, NULL::VARCHAR AS problem, count(*) AS lines, 4 * count(*) AS points FROM items WHERE s % 47 <> 0 GROUP BY 1""",
+    "q44_probe_rollup": """
+WITH e AS (SELECT day(ts) AS day, event_type, event_id, CASE WHEN event_id % 97 = 0 THEN 'nan'::DOUBLE ELSE value END AS loss FROM events)
+SELECT day, event_type, count(*) AS batches, count(*) FILTER (isnan(loss)) AS non_finite, arg_min(loss, event_id) AS first_value FROM e GROUP BY ALL""",
+    "q45_integrity": "SELECT o_orderkey, o_orderkey % 101 = 0 AS gone FROM orders WHERE o_orderkey % 101 = 0 OR (o_orderkey % 103 = 0 AND o_orderstatus <> 'X')",
+    "q46_class_weights": "SELECT label, count(*) AS n, 1.0::DOUBLE AS total FROM embeddings GROUP BY label",
+    "q47_pool_tie_rules": POOLED + " SELECT count(*) FILTER (is_hard) AS rule_b, count(*) FILTER (is_hard_desc) AS rule_a, count(*) FILTER (is_hard AND is_hard_desc) AS both FROM pool",
+    "q49_grouped_recall": boxed(BASE) + """
+SELECT CASE WHEN (g.image // 4) % 10 < 7 THEN 'train' WHEN (g.image // 4) % 10 < 9 THEN 'val' ELSE 'test' END AS split, g.cls, count(*) AS instances, count(iou) AS hits, round(count(iou) / count(*), 9) AS recall, round(avg(iou), 6) AS mean_iou, round(quantile_cont(iou, 0.5), 6) AS median_iou
+FROM gt g LEFT JOIN base b ON g.image = b.image AND g.gt = b.gt GROUP BY ALL""",
+    "q50_top_values": "SELECT props AS value, count(*) AS n, min(event_id) AS first FROM events GROUP BY 1 ORDER BY n DESC, first LIMIT 20",
+    "q48_table_digest": """
+WITH r AS (SELECT sha256(concat_ws(chr(31), 'n_name=' || coalesce(n_name, '\\N'), 'n_nationkey=' || coalesce(n_nationkey::VARCHAR, '\\N'), 'n_regionkey=' || coalesce(n_regionkey::VARCHAR, '\\N'))) AS h FROM nation)
+SELECT count(*) AS rows, sha256(concat_ws(':', count(*)::VARCHAR, sum(('0x' || substr(h, 1, 15))::BIGINT::HUGEINT)::VARCHAR, sum(('0x' || substr(h, 16, 15))::BIGINT::HUGEINT)::VARCHAR,
+  sum(('0x' || substr(h, 31, 15))::BIGINT::HUGEINT)::VARCHAR, sum(('0x' || substr(h, 46, 15))::BIGINT::HUGEINT)::VARCHAR)) AS digest FROM r""",
+    "q39_background_boxes": boxed("""
+imgs AS (SELECT DISTINCT image FROM gt), tries AS (SELECT image, range AS a FROM imgs, range(1, 101)),
+u AS (SELECT image, a, ('0x' || substr(md5('bgw:' || image || ':' || a), 1, 8))::BIGINT::DOUBLE / 4294967296.0 AS uw, ('0x' || substr(md5('bgh:' || image || ':' || a), 1, 8))::BIGINT::DOUBLE / 4294967296.0 AS uh,
+  ('0x' || substr(md5('bgx:' || image || ':' || a), 1, 8))::BIGINT::DOUBLE / 4294967296.0 AS ux, ('0x' || substr(md5('bgy:' || image || ':' || a), 1, 8))::BIGINT::DOUBLE / 4294967296.0 AS uy FROM tries),
+s AS (SELECT image, a, 32 * (0.8::DOUBLE + 0.4::DOUBLE * uw) AS w, 32 * (0.8::DOUBLE + 0.4::DOUBLE * uh) AS h, ux, uy FROM u),
+b AS (SELECT image, a, w, h, ux * (640.0::DOUBLE - w) AS x1, uy * (160.0::DOUBLE - h) AS y1 FROM s), bb AS (SELECT *, x1 + w AS x2, y1 + h AS y2 FROM b),
+hit AS (SELECT DISTINCT b.image, a FROM (SELECT b.image, b.a, b.w * b.h + (t.x2 - t.x1) * (t.y2 - t.y1) AS areas, greatest(0.0::DOUBLE, least(b.x2, t.x2) - greatest(b.x1, t.x1)) * greatest(0.0::DOUBLE, least(b.y2, t.y2) - greatest(b.y1, t.y1)) AS common
+  FROM bb b JOIN gt t ON b.image = t.image) b WHERE common >= 0.05::DOUBLE * (areas - common)),
+free AS (SELECT b.*, row_number() OVER (PARTITION BY b.image ORDER BY b.a) AS place FROM bb b WHERE NOT EXISTS (SELECT 1 FROM hit WHERE hit.image = b.image AND hit.a = b.a))""")
+    + " SELECT image, place, round(x1, 6) AS x1, round(y1, 6) AS y1, round(x2, 6) AS x2, round(y2, 6) AS y2 FROM free WHERE place <= 2",
+}
