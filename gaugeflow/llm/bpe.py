@@ -14,20 +14,19 @@ the cache of words are dropped when they pass ``NODES`` nodes; dropped words are
 No shuffle: each partition encodes its own rows, so a lost executor costs only its tasks.
 """
 
-from __future__ import annotations
-
 import hashlib
 import json
 import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeflow.llm.common import chunks, ids_and_texts
+from gaugeflow.llm.common import chunks, ids_and_texts, worker_object
 from gaugeflow.session import ship
 
 NODES = 500_000
@@ -86,16 +85,9 @@ class Vocabulary:
         return parts[0], parts[1]
 
 
-_encoders: dict[int, "TrieEncoder"] = {}
-
-
 def worker_encoder(source: str) -> "TrieEncoder":
     """This worker process's encoder of a vocabulary; the trie outlives a task."""
-    key = hash(source)
-    if key not in _encoders:
-        _encoders.clear()
-        _encoders[key] = TrieEncoder(Vocabulary(source))
-    return _encoders[key]
+    return worker_object(("bpe", hash(source)), lambda: TrieEncoder(Vocabulary(source)))
 
 
 class TrieEncoder:
@@ -260,9 +252,7 @@ def decode(tokens: DataFrame, path: str | None = None, ids_column: str = "ids")
     source = spark.sparkContext.broadcast(read_vocabulary(path or default_path()))
 
     @F.pandas_udf("string")
-    def text(batches: Iterator["pd.Series"]) -> Iterator["pd.Series"]:  # noqa: F821
-        import pandas as pd
-
+    def text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encoder = worker_encoder(source.value)
         for ids in batches:
             yield pd.Series([encoder.decode(np.asarray([] if x is None else x, "<u4").tobytes()) for x in ids], dtype="object")

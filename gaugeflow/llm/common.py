@@ -3,14 +3,50 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters of text that a worker holds decoded at a time; a longer text makes a chunk of its own.
-CHUNK_CHARS = 2_000_000
+CHUNK_CHARS = 1_000_000
+
+_held: dict = {}
+
+
+def worker_object(key: tuple, make):
+    """This worker process's object for ``key``. A worker holds one at a time, so operators that run one after another in it do not add up."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
+def worker_release() -> None:
+    """Drops what an earlier operator left in this worker."""
+    _held.clear()
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """For an action inside: Arrow batches of at most ``rows`` rows, where a row holds several texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def text_or_empty(column: str = "text") -> Column:

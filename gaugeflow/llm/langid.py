@@ -27,12 +27,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugeflow.llm.common import chunks, ids_and_texts
+from gaugeflow.llm.common import chunks, ids_and_texts, worker_object
 from gaugeflow.session import ship
 
 SAMPLE_ROWS, MAX_WORDS, MAX_GRAMS, MIN_COUNT, ORDER = 3000, 20_000, 40_000, 2, 5
 WORD = re.compile(r"[^\W\d_]+")
-CACHE = 300_000
+CACHE = 200_000
 
 
 class Model:
@@ -134,18 +134,10 @@ class Scorer:
 def training_sample(docs: DataFrame, where: Column, rows: int = SAMPLE_ROWS) -> list[tuple[str, str]]:
     """(language, text) of at most ``rows`` labelled rows: those whose ids have the lowest hashes."""
     d = docs.where(where & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    d = d.select(F.col("lang").cast("string"), F.col("text").cast("string"), F.xxhash64("doc_id").alias("h"), "doc_id")
-    return [(r[0], r[1]) for r in d.orderBy("h", "doc_id", "lang", "text").limit(rows).select("lang", "text").collect()]
-
-
-_scorers: dict[int, Scorer] = {}
-
-
-def worker_scorer(key: int, model: Model) -> Scorer:
-    if key not in _scorers:
-        _scorers.clear()
-        _scorers[key] = Scorer(model)
-    return _scorers[key]
+    # ids alone are ranked; the texts of ``rows`` ids at most follow
+    ids = d.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    found = d.join(F.broadcast(ids), "doc_id", "left_semi").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.xxhash64("doc_id").alias("h"), "doc_id")
+    return [(r[0], r[1]) for r in found.orderBy("h", "doc_id", "lang", "text").limit(rows).select("lang", "text").collect()]
 
 
 def predict(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -155,7 +147,7 @@ def predict(docs: DataFrame, model: Model, id_column: str = "doc_id", text_colum
     sent = spark.sparkContext.broadcast(model)  # bounded by max_words and max_grams a language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = worker_scorer(id(sent.value), sent.value)
+        scorer = worker_object(("langid", id(sent.value)), lambda: Scorer(sent.value))
         for part, texts in chunks(batches):
             langs, scores = scorer.predict(texts)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])

@@ -90,4 +90,4 @@ def mix(docs: DataFrame, shares: dict[str | None, int] | None = None, block_rows
     d = d.join(F.broadcast(places), "__source", "left")  # P entries in all
     slot = F.floor(F.col("__block") / F.col("__shares")) * length + F.get("__places", F.pmod("__block", "__shares").cast("int"))
     d = d.withColumns({slot_column: slot.cast("long"), place_column: F.when(F.col("__shares").isNotNull(), F.pmod(F.col("__row"), F.lit(block_rows))).otherwise(F.col("__row")).cast("long")})
-    return d.select(*docs.columns, slot_column, place_column)
+    return d.select(*[f"`{c}`" for c in docs.columns], slot_column, place_column)

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugeflow.llm.common import chunks, ids_and_texts
+from gaugeflow.llm.common import chunks, fresh, ids_and_texts, small_batches, worker_release
 from gaugeflow.operators import dedup as graph
 from gaugeflow.session import materialise, ship
 
@@ -45,7 +45,7 @@ SHINGLE, SIMILARITY = 5, 0.8
 BINS, ROWS = 48, 3
 BANDS = BINS // ROWS
 SKETCH, SLICES = 1 << 17, 16
-COMMON, FLOOR = 0.02, 0.5
+COMMON, FLOOR = 0.05, 0.75
 PARTNERS, LEAST, BLOCK = 4, 0.6, 1024
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 
@@ -102,6 +102,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     width = 2 * SKETCH // SLICES
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_release()
         table, n = np.zeros(2 * SKETCH, np.int64), 0
         for _, texts in chunks(batches):
             _, s, _ = shingles(texts)
@@ -316,11 +317,13 @@ def links(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, D
     wanted = involved.select(F.coalesce("rep", F.lit(-1 << 63)).alias("rep"), F.lower(F.hex("key")).alias("hex"), "key")
     # rows of one id and text are alike; one of them is enough
     texts = materialise(named.join(wanted, ["rep", "hex"]).select("key", "text").dropDuplicates(["key"]), "dup-texts", wide=True)
-    edges = materialise(verified(tested, texts, shares, similarity), "dup-links")
+    with small_batches(docs.sparkSession, 512):
+        edges = materialise(verified(tested, texts, shares, similarity), "dup-links")
     classes = components(edges)
     while True:
         new = materialise(partners(placed, classes).join(tested, ["a", "b"], "left_anti"), "dup-pairs")
-        more = materialise(verified(new, texts, shares, similarity), "dup-links")
+        with small_batches(docs.sparkSession, 512):
+            more = materialise(verified(new, texts, shares, similarity), "dup-links")
         if more.isEmpty():
             return signed.select("doc_id", "key"), nodes.select("key", "rep"), classes
         tested, edges = tested.unionByName(new), edges.unionByName(more)
@@ -341,11 +344,12 @@ def dedup(docs: DataFrame, similarity: float = SIMILARITY, id_column: str = "doc
     rows, nodes, linked = links(ids_and_texts(docs, id_column, text_column), similarity)
     named = nodes.join(linked, "key", "left").select("key", "rep", F.coalesce("comp", "key").alias("comp"))
     lowest = F.min(F.struct(F.col("rep").isNull().alias("no"), F.col("rep").alias("rep"), F.col("key").alias("key")))
-    kept = materialise(named.groupBy("comp").agg(lowest.alias("x")).select(F.coalesce("x.rep", F.lit(-1 << 63)).alias("__rep"), F.lower(F.hex("x.key")).alias("__hex")), "dup-kept")
-    named_docs = docs.withColumns({"__rep": F.coalesce(F.col(id_column).cast("long"), F.lit(-1 << 63)), "__hex": F.md5(F.coalesce(F.col(text_column).cast("string"), F.lit("")).cast("binary"))})
-    out = named_docs.join(kept, ["__rep", "__hex"], "left_semi")
+    rep, text_key, place = (fresh(docs, x) for x in ("__rep", "__text_key", "__place"))
+    kept = materialise(named.groupBy("comp").agg(lowest.alias("x")).select(F.coalesce("x.rep", F.lit(-1 << 63)).alias(rep), F.lower(F.hex("x.key")).alias(text_key)), "dup-kept")
+    named_docs = docs.withColumns({rep: F.coalesce(F.col(id_column).cast("long"), F.lit(-1 << 63)), text_key: F.md5(F.coalesce(F.col(text_column).cast("string"), F.lit("")).cast("binary"))})
+    out = named_docs.join(kept, [rep, text_key], "left_semi")
     repeated = rows.groupBy("doc_id", "key").agg(F.count("*").alias("n")).where(F.col("n") > 1)
     if not repeated.isEmpty():
-        first = Window.partitionBy("__rep", "__hex").orderBy(*[F.col(c).cast("string") for c in docs.columns])
-        out = out.withColumn("__i", F.row_number().over(first)).where(F.col("__i") == 1)
-    return out.select(*docs.columns)
+        first = Window.partitionBy(rep, text_key).orderBy(*[F.col(f"`{c}`").cast("string") for c in docs.columns])
+        out = out.withColumn(place, F.row_number().over(first)).where(F.col(place) == 1)
+    return out.select(*[f"`{c}`" for c in docs.columns])

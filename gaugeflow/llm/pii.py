@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeflow.llm.common import CHUNK_CHARS, chunks, ids_and_texts
+from gaugeflow.llm.common import CHUNK_CHARS, chunks, fresh, ids_and_texts, worker_release
 from gaugeflow.session import materialise, ship
 
 KINDS = ("email", "ip", "card", "phone")
@@ -134,6 +134,7 @@ def find_windows(docs: DataFrame) -> DataFrame:
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_release()
         for _, texts in chunks(batches):
             rows = []
             for t in texts:
@@ -198,15 +199,16 @@ def term_spans(text: str, spans: list[tuple[int, int, int]], hits: dict[str, str
 
 
 def with_hits(docs: DataFrame, hits: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with the terms of its text; the planner broadcasts ``hits``, a written table of known size, only if it is small."""
-    key = F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
-    return docs.withColumn("__key", key).join(hits.withColumnsRenamed({"key": "__key", "hits": "__hits"}), "__key", "left").drop("__key")
+    """``docs`` with, as its last column, the terms of its text; the planner broadcasts ``hits``, a written table of known size, only if it is small."""
+    key, found = fresh(docs, "__key"), fresh(docs, "__hits")
+    keyed = docs.withColumn(key, F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
+    return keyed.join(hits.select(F.col("key").alias(key), F.col("hits").alias(found)), key, "left").select(*[f"`{c}`" for c in docs.columns], found)
 
 
 def annotate(docs: DataFrame, policy: Policy = Policy(), id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, kind counts, base_spans and spans (arrays of kind, start, end) of every text; added spans have the kind `generalise` or `remove`."""
     d = ids_and_texts(docs, id_column, text_column)
-    d = with_hits(d, disclosing_terms(d, policy)).select("doc_id", "text", "__hits")
+    d = with_hits(d, disclosing_terms(d, policy))
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,7 +245,7 @@ def sanitise(docs: DataFrame, policy: Policy = Policy(), id_column: str = "doc_i
     """``docs`` with its columns, and personal data and disclosing terms taken out of the text."""
     names = docs.columns
     hits = disclosing_terms(ids_and_texts(docs, id_column, text_column), policy)
-    d = with_hits(docs, hits, text_column).select(*names, "__hits")
+    d = with_hits(docs, hits, text_column)
     at = names.index(text_column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

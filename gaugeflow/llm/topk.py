@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from gaugeflow.session import ship
 
-BLOCK_ROWS, CHUNK_ROWS, LEAF, BASE = 4096, 20_000, 64, 1.3
+BLOCK_ROWS, CHUNK_ROWS, LEAF, GROUP, BASE = 4096, 20_000, 64, 4, 1.3
 #: A score below every inner product of numbers under 2**52.
 NONE = -(1 << 62)
 
@@ -84,7 +84,7 @@ class Search:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int):
         self.ids, self.vectors, self.k = ids, vectors, k
-        self.tree = cover_tree(vectors.astype(np.float64))
+        self.tree = cover_tree(vectors.astype(np.float64), leaf=GROUP)
         self.scores = np.full((len(ids), k), NONE)
         self.found = np.full((len(ids), k), np.iinfo(np.int64).max)
         self.pruned = self.met = 0

@@ -8,7 +8,8 @@ on the training texts turn it into a probability.
 
 Fitting takes a bounded sample of labelled rows (``sample_rows``, lowest hashes of the id). A toxic text does not
 say where it is toxic, so each pass trains on its highest window, at first the one with the word that
-most favours toxic texts; of other texts the highest windows and some at random are trained on.
+most favours toxic texts; of other texts the highest windows and some at random are trained on. A fifth of the
+rows is kept apart to choose the pass and to calibrate the score.
 
 Behaviour: null text counts as empty, which is one window of padding; its score is the network's. Without
 labelled rows of both classes the score is the share of toxic rows (0 without rows). Ties, repeated
@@ -17,6 +18,7 @@ rows and extra columns change nothing. Scoring happens in the rows' own partitio
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -25,12 +27,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugeflow.llm.common import chunks, ids_and_texts
+from gaugeflow.llm.common import chunks, ids_and_texts, worker_object
 from gaugeflow.session import ship
 
 SAMPLE_ROWS, MAX_WORDS = 5000, 20_000
 WINDOW, STEP, HIDDEN, EMBED, TRIGRAMS, ATTEND = 24, 12, 8, 8, 1 << 11, 8
-CACHE = 250_000
+CACHE = 120_000
 STRIP = ".,;:!?\"'()[]{}*#$%&|<>-_"
 
 
@@ -165,8 +167,8 @@ class Network:
         return loss, g
 
 
-def fit(rows: list[tuple[str, int]], passes: int = 5, seed: int = 7, max_words: int = MAX_WORDS, rate: float = 0.01, batch: int = 512) -> Network:
-    """A network from (text, label) rows."""
+def fit(rows: list[tuple[str, int]], passes: int = 5, steps: int = 240, seed: int = 7, max_words: int = MAX_WORDS, rate: float = 0.01, batch: int = 512) -> Network:
+    """A network from (text, label) rows. Passes go on until there were ``steps`` steps, so few rows are gone through more often."""
     rng = np.random.default_rng(seed)
     labels = np.array([y for _, y in rows], np.float32)
     if not len(rows) or labels.min() == labels.max():
@@ -181,12 +183,16 @@ def fit(rows: list[tuple[str, int]], passes: int = 5, seed: int = 7, max_words:
         if y:
             toxic.update(kinds)
     n, n1 = len(rows), float(labels.sum())
-    odds = {w: np.log((toxic[w] + 0.5) / (n1 + 1)) - np.log((c - toxic[w] + 0.5) / (n - n1 + 1)) for w, c in df.items() if c >= 3}
-    kept = sorted(odds, key=lambda w: (-df[w], w))[:max_words]
+    tests = {w: c for w, c in df.items() if c >= 3}
+    strength = {w: significance(toxic[w], c, n1 / n) for w, c in tests.items()}
+    least = np.log10(max(1, len(tests))) + 1.3
+    telling = {w: v for w, v in strength.items() if v >= least}
+    # Own embeddings go to words that favour toxic texts beyond chance, and to common ones; rare words would only be learned by heart.
+    kept = sorted({w for w, c in tests.items() if c >= max(20, 0.02 * n)} | telling.keys(), key=lambda w: (-df[w], w))[:max_words]
     net = Network({w: i + 1 for i, w in enumerate(kept)}, seed)
-    # The first word feature starts as the word's log odds, damped for rare words.
-    for w, i in net.words.items():
-        net.p["word"][i, 0] = np.clip(odds[w], -2, 4) * df[w] / (df[w] + 10)
+    for w, v in telling.items():
+        if w in net.words:
+            net.p["word"][net.words[w], 0] = min(v, 16.0) / 4
     vocabulary = sorted({w for ws in texts for w in ws} | {""})
     number = {w: i for i, w in enumerate(vocabulary)}
     width = 8
@@ -203,10 +209,19 @@ def fit(rows: list[tuple[str, int]], passes: int = 5, seed: int = 7, max_words:
     first = net.p["word"][word_ids, 0][index].max(1)
     scores, moments, step = first, {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}, 0
     y = labels[owner]
-    for _ in range(passes):
-        best = np.array([lo + int(np.argmax(scores[lo:hi])) for lo, hi in spans(owner, len(rows))])
-        others = np.flatnonzero((y == 0) & (rng.random(len(y)) < 2 * len(rows) / max(1, len(y))))
-        chosen = np.concatenate([best, others])
+    each = spans(owner, len(rows))
+    # A part of the rows, with both labels in it, tells when to stop and calibrates the score.
+    apart = np.zeros(len(rows), bool)
+    for value in (0, 1):
+        own = np.flatnonzero(labels == value)
+        apart[rng.permutation(own)[: len(own) // 5 if len(own) >= 10 else 0]] = True
+    judged = apart if apart.any() and labels[apart].min() != labels[apart].max() else np.ones(len(rows), bool)
+    best_loss, best, turn = np.inf, (net.p, 1.0, 0.0), 0
+    while turn < passes or (step < steps and turn < 4 * passes):
+        turn += 1
+        top = np.array([lo + int(np.argmax(scores[lo:hi])) for lo, hi in each])
+        others = np.flatnonzero((y == 0) & ~apart[owner] & (rng.random(len(y)) < 2 * len(rows) / max(1, len(y))))
+        chosen = np.concatenate([top[~apart], others])
         weight = np.where(y[chosen] > 0, max(1.0, 0.25 * (len(chosen) - n1) / n1), 1).astype(np.float32)
         order = rng.permutation(len(chosen))
         for i in range(0, len(order), batch):
@@ -218,13 +233,27 @@ def fit(rows: list[tuple[str, int]], passes: int = 5, seed: int = 7, max_words:
                 m, v = moments[name]
                 m += 0.1 * (grad - m)
                 v += 0.01 * (grad * grad - v)
-                net.p[name] -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+                net.p[name] -= rate * ((m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8) + (0.02 if name == "tri" else 0.001) * net.p[name])
         scores = net.logits(net.gates(net.inputs(vocabulary)), index, mask)
-    top = np.array([scores[lo:hi].max() for lo, hi in spans(owner, len(rows))])
-    net.scale, net.shift = logistic(top, labels)
+        high = np.array([scores[lo:hi].max() for lo, hi in each])[judged]
+        scale, shift = logistic(high, labels[judged])
+        p = np.clip(sigmoid(scale * high + shift), 1e-6, 1 - 1e-6)
+        loss = -float(np.mean(labels[judged] * np.log(p) + (1 - labels[judged]) * np.log(1 - p)))
+        if loss < best_loss:
+            best_loss, best = loss, ({k: v.copy() for k, v in net.p.items()}, scale, shift)
+    net.p, net.scale, net.shift = best
     return net
 
 
+def significance(hits: int, n: int, share: float) -> float:
+    """-log10 of the chance of at least ``hits`` of ``n`` at the given share; 0 if that is no more than expected."""
+    if hits < 3 or hits <= n * share:
+        return 0.0
+    terms = [math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(share) + (n - k) * math.log(1 - share) for k in range(hits, min(n, hits + 60) + 1)]
+    top = max(terms)
+    return max(0.0, -(top + math.log(sum(math.exp(t - top) for t in terms))) / math.log(10))
+
+
 def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Slope and intercept of a logistic regression of one variable, lightly held to slope 1."""
     a, b = 1.0, 0.0
@@ -308,16 +337,6 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, where: Colum
     return [(r["text"], r["y"]) for r in d.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(rows).select("text", "y").collect()]
 
 
-_scorers: dict[int, Scorer] = {}
-
-
-def worker_scorer(key: int, net: Network) -> Scorer:
-    if key not in _scorers:
-        _scorers.clear()
-        _scorers[key] = Scorer(net)
-    return _scorers[key]
-
-
 def score(docs: DataFrame, net: Network, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id and score of every row."""
     spark = docs.sparkSession
@@ -325,7 +344,7 @@ def score(docs: DataFrame, net: Network, id_column: str = "doc_id", text_column:
     sent = spark.sparkContext.broadcast(net)  # bounded by max_words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = worker_scorer(id(sent.value), sent.value)
+        scorer = worker_object(("toxicity", id(sent.value)), lambda: Scorer(sent.value))
         for part, texts in chunks(batches):
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scorer.scores(texts).astype(np.float64), pa.float64())], ["doc_id", "score"])
 
@@ -340,7 +359,7 @@ def keep(docs: DataFrame, net: Network, threshold: float = 0.5, text_column: str
     at = docs.columns.index(text_column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = worker_scorer(id(sent.value), sent.value)
+        scorer = worker_object(("toxicity", id(sent.value)), lambda: Scorer(sent.value))
         for part, texts in chunks(batches, at):
             yield part.filter(pa.array(scorer.scores(texts) < threshold))
 
