@@ -113,4 +113,38 @@ WITH v AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
+    "op5_mix_sources": """
+WITH RECURSIVE c AS (
+  SELECT source, count(*) AS n FROM documents GROUP BY source
+), o AS (
+  SELECT source, sqrt(n::DOUBLE) AS r, row_number() OVER (ORDER BY source NULLS LAST) AS i, count(*) OVER () AS k, sum(sqrt(n::DOUBLE)) OVER () AS total FROM c
+), e AS (
+  SELECT *, greatest(1000, k) AS shares, (greatest(1000, k) - k) * r / total AS exact FROM o
+), b AS (
+  SELECT *, 1 + floor(exact)::BIGINT AS base, row_number() OVER (ORDER BY floor(exact) - exact, i) AS turn FROM e
+), w0 AS (
+  SELECT source, i, base + CASE WHEN turn <= shares - sum(base) OVER () THEN 1 ELSE 0 END AS w FROM b
+), g AS (
+  SELECT list_reduce(list(w ORDER BY i), lambda x, y: gcd(x, y)) AS d FROM w0
+), w AS (
+  SELECT source, i, w // d AS w FROM w0, g
+), p AS (
+  SELECT list(w ORDER BY i) AS ws, sum(w)::BIGINT AS total FROM w
+), sim AS (
+  -- a slot goes to the released block of the earliest deadline
+  SELECT 0::BIGINT AS slot, list_transform(ws, lambda x: 0::BIGINT) AS done, NULL::BIGINT AS i, NULL::BIGINT AS j FROM p
+  UNION ALL
+  SELECT slot + 1, list_transform(done, lambda x, q: x + CASE WHEN q = best.i THEN 1 ELSE 0 END), best.i, done[best.i]
+  FROM (
+    SELECT slot, done, total, list_min(list_filter(list_transform(ws, lambda x, q: CASE WHEN done[q] < x AND done[q] * total // x <= slot
+      THEN {'due': ((done[q] + 1) * total + x - 1) // x, 'i': q::BIGINT} END), lambda z: z IS NOT NULL)) AS best
+    FROM sim, p WHERE slot < total
+  )
+), places AS (
+  SELECT i, j, slot - 1 AS place FROM sim WHERE i IS NOT NULL
+), d AS (
+  SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY ('0x' || substr(md5(doc_id::VARCHAR), 1, 15))::BIGINT, doc_id) - 1 AS r FROM documents
+)
+SELECT doc_id, d.source, (r // 16) // w.w * total + places.place AS mix_slot, r % 16 AS mix_place
+FROM d JOIN w ON d.source IS NOT DISTINCT FROM w.source JOIN places ON places.i = w.i AND places.j = (r // 16) % w.w, p""",
 }
