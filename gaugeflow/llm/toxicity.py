@@ -1,7 +1,8 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, trained in numpy.
 
 Every word enters as its own embedding (if it was seen in training) beside the mean embedding of its
-hashed character trigrams (always). A gated recurrent unit reads a window of ``WINDOW`` words in each
+hashed character trigrams (always). Words and trigrams that occur in toxic texts beyond chance start
+from how far beyond. A gated recurrent unit reads a window of ``WINDOW`` words in each
 direction; attention weights pool the states, and a linear unit gives the window's logit. Windows
 overlap by half and cover the whole text; the text's logit is its windows' highest, and two numbers fitted
 on the training texts turn it into a probability.
@@ -19,7 +20,6 @@ rows and extra columns change nothing. Scoring happens in the rows' own partitio
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,10 +28,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugeflow.llm.common import chunks, ids_and_texts, worker_object
+from gaugeflow.llm.neardup import mix, shingles
 from gaugeflow.session import ship
 
-SAMPLE_ROWS, MAX_WORDS = 5000, 20_000
-WINDOW, STEP, HIDDEN, EMBED, TRIGRAMS, ATTEND = 24, 12, 8, 8, 1 << 11, 8
+SAMPLE_ROWS, MAX_WORDS = 4000, 20_000
+WINDOW, STEP, HIDDEN, EMBED, TRIGRAM_BITS, ATTEND = 24, 12, 8, 8, 15, 8
+TRIGRAMS = 1 << TRIGRAM_BITS
 CACHE = 120_000
 STRIP = ".,;:!?\"'()[]{}*#$%&|<>-_"
 
@@ -48,7 +50,7 @@ def trigrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     if len(letters) < 3:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     mixed = (letters[:-2] * np.uint32(65_599) + letters[1:-1]) * np.uint32(65_599) + letters[2:]
-    mixed = (mixed * np.uint32(2_654_435_761)) >> np.uint32(32 - 11)
+    mixed = (mixed * np.uint32(2_654_435_761)) >> np.uint32(32 - TRIGRAM_BITS)
     ends = np.cumsum(sizes)
     inside = np.ones(len(letters), bool)
     inside[ends - 1] = inside[ends - 2] = False
@@ -88,6 +90,11 @@ class Network:
     def gates(self, x: np.ndarray) -> dict[str, np.ndarray]:
         return {d: x @ self.p[f"x{d}"] + self.p[f"c{d}"] for d in "fb"}
 
+    def all_gates(self, tokens: list[str], part: int = 20_000) -> dict[str, np.ndarray]:
+        """Gates of many words, taken in parts to bound what lies beside the result."""
+        parts = [self.gates(self.inputs(tokens[i : i + part])) for i in range(0, len(tokens), part)]
+        return {d: np.concatenate([p[d] for p in parts]) for d in "fb"}
+
     def states(self, gates: dict[str, np.ndarray], index: np.ndarray, mask: np.ndarray, keep: bool = False) -> tuple[np.ndarray, dict]:
         """States (steps x B x 2H) of windows given as rows of ``gates``; masked steps leave the state as it is."""
         b, steps = index.shape
@@ -175,38 +182,48 @@ def fit(rows: list[tuple[str, int]], passes: int = 5, steps: int = 240, seed: in
         net = Network({}, seed)
         net.constant = float(labels.mean()) if len(rows) else 0.0
         return net
-    texts = [[normal(w) for w in t.split()] for t, _ in rows]
-    df, toxic = Counter(), Counter()
-    for ws, y in zip(texts, labels, strict=True):
-        kinds = set(ws)
-        df.update(kinds)
-        if y:
-            toxic.update(kinds)
+    number: dict[str, int] = {"": 0}
+    texts = [np.array([number.setdefault(normal(w), len(number)) for w in t.split()], np.int64) for t, _ in rows]
+    vocabulary = list(number)
+    grams, sizes = trigrams(vocabulary)
+    starts = np.cumsum(sizes) - sizes
+    df, toxic = np.zeros(len(number), np.int64), np.zeros(len(number), np.int64)
+    tri_df, tri_toxic = np.zeros(TRIGRAMS, np.int64), np.zeros(TRIGRAMS, np.int64)
+    for own, y, first_seen in zip(texts, labels, originals([t for t, _ in rows]), strict=True):
+        if first_seen:  # copies of one text prove nothing about its words
+            kinds = np.unique(own)
+            df[kinds] += 1
+            toxic[kinds] += int(y)
+            held = np.zeros(TRIGRAMS, bool)
+            held[grams[np.repeat(starts[kinds], sizes[kinds]) + np.arange(sizes[kinds].sum()) - np.repeat(np.cumsum(sizes[kinds]) - sizes[kinds], sizes[kinds])]] = True
+            tri_df += held
+            tri_toxic += held & bool(y)
     n, n1 = len(rows), float(labels.sum())
-    tests = {w: c for w, c in df.items() if c >= 3}
-    strength = {w: significance(toxic[w], c, n1 / n) for w, c in tests.items()}
+    tests = np.flatnonzero(df >= 3)
     least = np.log10(max(1, len(tests))) + 1.3
-    telling = {w: v for w, v in strength.items() if v >= least}
+    telling = {int(i): v for i in tests if toxic[i] >= 3 and (v := significance(int(toxic[i]), int(df[i]), n1 / n)) >= least}
     # Own embeddings go to words that favour toxic texts beyond chance, and to common ones; rare words would only be learned by heart.
-    kept = sorted({w for w, c in tests.items() if c >= max(20, 0.02 * n)} | telling.keys(), key=lambda w: (-df[w], w))[:max_words]
+    kept = [vocabulary[i] for i in sorted({int(i) for i in tests if df[i] >= max(20, 0.02 * n)} | telling.keys(), key=lambda i: (-df[i], vocabulary[i]))][:max_words]
     net = Network({w: i + 1 for i, w in enumerate(kept)}, seed)
-    for w, v in telling.items():
-        if w in net.words:
-            net.p["word"][net.words[w], 0] = min(v, 16.0) / 4
-    vocabulary = sorted({w for ws in texts for w in ws} | {""})
-    number = {w: i for i, w in enumerate(vocabulary)}
+    for i, v in telling.items():
+        if vocabulary[i] in net.words:
+            net.p["word"][net.words[vocabulary[i]], 0] = min(v, 16.0) / 4
     width = 8
+    tests = np.flatnonzero(tri_df >= 3)
+    strong = np.log10(max(1, len(tests))) + 1.3
+    for i in tests:
+        if tri_toxic[i] >= 3 and (v := significance(int(tri_toxic[i]), int(tri_df[i]), n1 / n)) >= strong:
+            net.p["tri"][i, 0] = min(v, 16.0)
     tri_ids = np.zeros((len(vocabulary), width), np.int64)
     tri_share = np.zeros((len(vocabulary), width), np.float32)
-    grams, sizes = trigrams(vocabulary)
-    starts = np.cumsum(sizes) - sizes
     for j in range(width):  # training looks at the first eight trigrams, scoring at all
         has = sizes > j
         tri_ids[has, j] = grams[starts[has] + j]
         tri_share[has, j] = 1 / np.minimum(sizes[has], width)
     word_ids = np.array([net.words.get(w, 0) for w in vocabulary])
-    index, mask, owner = windows([np.array([number[w] for w in ws], np.int64) for ws in texts], number[""])
-    first = net.p["word"][word_ids, 0][index].max(1)
+    index, mask, owner = windows(texts, 0)
+    telling_tri = np.add.reduceat(net.p["tri"][grams, 0], starts) / sizes
+    first = (net.p["word"][word_ids, 0] + telling_tri)[index].max(1)
     scores, moments, step = first, {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}, 0
     y = labels[owner]
     each = spans(owner, len(rows))
@@ -233,8 +250,8 @@ def fit(rows: list[tuple[str, int]], passes: int = 5, steps: int = 240, seed: in
                 m, v = moments[name]
                 m += 0.1 * (grad - m)
                 v += 0.01 * (grad * grad - v)
-                net.p[name] -= rate * ((m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8) + (0.02 if name == "tri" else 0.001) * net.p[name])
-        scores = net.logits(net.gates(net.inputs(vocabulary)), index, mask)
+                net.p[name] -= rate * ((m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8) + (0.005 if name == "tri" else 0.001) * net.p[name])
+        scores = net.logits(net.all_gates(vocabulary), index, mask)
         high = np.array([scores[lo:hi].max() for lo, hi in each])[judged]
         scale, shift = logistic(high, labels[judged])
         p = np.clip(sigmoid(scale * high + shift), 1e-6, 1 - 1e-6)
@@ -245,6 +262,23 @@ def fit(rows: list[tuple[str, int]], passes: int = 5, steps: int = 240, seed: in
     return net
 
 
+def originals(texts: list[str]) -> list[bool]:
+    """Whether a text is the first of its near copies: none before it has the same least shingle by either of two hashes."""
+    seen: set[int] = set()
+    out = []
+    for i in range(0, len(texts), 256):
+        owner, s, _ = shingles(texts[i : i + 256])
+        least = []
+        for h in (s, mix(s)):
+            low = np.full(len(texts[i : i + 256]), np.iinfo(np.uint64).max, np.uint64)
+            np.minimum.at(low, owner, h)
+            least.append(low)
+        for one, two in zip(*(x.tolist() for x in least), strict=True):
+            out.append(one not in seen and two not in seen)
+            seen.update((one, two))
+    return out
+
+
 def significance(hits: int, n: int, share: float) -> float:
     """-log10 of the chance of at least ``hits`` of ``n`` at the given share; 0 if that is no more than expected."""
     if hits < 3 or hits <= n * share:
