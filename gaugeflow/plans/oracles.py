@@ -361,4 +361,24 @@ hit AS (SELECT DISTINCT b.image, a FROM (SELECT b.image, b.a, b.w * b.h + (t.x2
   FROM bb b JOIN gt t ON b.image = t.image) b WHERE common >= 0.05::DOUBLE * (areas - common)),
 free AS (SELECT b.*, row_number() OVER (PARTITION BY b.image ORDER BY b.a) AS place FROM bb b WHERE NOT EXISTS (SELECT 1 FROM hit WHERE hit.image = b.image AND hit.a = b.a))""")
     + " SELECT image, place, round(x1, 6) AS x1, round(y1, 6) AS y1, round(x2, 6) AS x2, round(y2, 6) AS y2 FROM free WHERE place <= 2",
+    "q43_two_stage": boxed(
+        BASE,
+        KEPT,
+        """
+probs AS (
+  SELECT image, pred, cls, CASE WHEN cls = 1 THEN [round(1 - u, 6), round(u * 0.3, 6), round(u * 0.5, 6), round(u * 0.2, 6)] ELSE [round(1 - u, 6), round(u * 0.5, 6), round(u * 0.3, 6), round(u * 0.2, 6)] END AS p
+  FROM (SELECT *, (conf * 7) % 1 AS u FROM prk)
+), settings AS (SELECT * FROM (VALUES ('A'), ('B')) m(mode), (VALUES (0.3::DOUBLE), (0.45::DOUBLE)) t(threshold)),
+second AS (
+  SELECT mode, threshold, image, pred, CASE WHEN mode = 'A' THEN cls ELSE list_position(p, list_max(p)) - 2 END AS cls FROM probs, settings
+  WHERE CASE WHEN mode = 'A' THEN 1 - p[1] >= threshold ELSE list_position(p, list_max(p)) > 1 AND list_max(p) >= threshold END
+), again AS (SELECT s.mode, s.threshold, c.image, c.gt, c.pred, c.gt_cls, s.cls AS pred_cls, c.conf, c.iou FROM cand c JOIN second s ON c.image = s.image AND c.pred = s.pred)""",
+        greedy("after", "again", "mode, threshold, image"),
+        """
+counts AS (
+  SELECT mode, threshold, (SELECT count(*) FROM gt) AS actual, (SELECT count(*) FROM second s WHERE s.mode = x.mode AND s.threshold = x.threshold) AS predicted, (SELECT count(*) FROM after a WHERE a.mode = x.mode AND a.threshold = x.threshold) AS tp,
+    (SELECT count(*) FROM base) AS eligible, (SELECT count(*) FROM base b JOIN after a ON a.image = b.image AND a.gt = b.gt WHERE a.mode = x.mode AND a.threshold = x.threshold) AS kept FROM settings x
+)""",
+    )
+    + " SELECT mode, threshold, tp, predicted - tp AS fp, actual - tp AS fn, round(tp / predicted, 9) AS precision, round(tp / actual, 9) AS recall, round(2 * tp / (predicted + actual), 9) AS f1, eligible, kept, tp - kept AS corrected, eligible - kept AS harmed FROM counts",
 }
