@@ -6,18 +6,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugeflow.functions.exprs import bits_to_long, dot, hamming, total
+from gaugeflow.operators.ranking import global_place
 from gaugeflow.session import materialise, ship
 
 
 def ranked_groups(members: DataFrame, key: str, member: str, prefix: str) -> DataFrame:
-    """group_id by size down then least member, for keys of two members or more. The ranking sees one row a group."""
+    """group_id by size down then least member, for keys of two members or more."""
     sizes = members.groupBy(key).agg(F.count("*").alias("size"), F.min(member).alias("first")).where(F.col("size") > 1)
-    named = sizes.withColumn("group_id", F.format_string(prefix + "_%04d", F.row_number().over(Window.orderBy(F.col("size").desc(), "first"))))
-    return members.join(named.drop("first"), key)
+    placed = global_place(sizes, [F.col("size").desc(), F.col("first")])
+    named = placed.select(key, "size", F.format_string(prefix + "_%04d", F.col("place") + 1).alias("group_id"))
+    return members.join(named, key)
 
 
 def exact_groups(rows: DataFrame, content: str, member: str, prefix: str = "exact") -> DataFrame:

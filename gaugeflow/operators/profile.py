@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeflow.functions.exprs import percentiles, ratio
+from gaugeflow.operators.ranking import global_place
 
 DESCRIBE = (0.25, 0.5, 0.75, 0.9, 0.95)
 
@@ -60,27 +61,26 @@ def runs(values: DataFrame, value: str, least: int = 3) -> DataFrame:
     d = values.select(F.col(value).cast("long").alias("v")).where(F.col("v").isNotNull()).distinct()
     d = d.withColumn("range", F.shiftright("v", 16))
     own = d.withColumn("i", F.row_number().over(Window.partitionBy("range").orderBy("v")))
-    # an island that goes on from one range to the next is joined again below
+    # only islands that touch a range's end may go on in the next: two a range at most are put in order
     parts = own.groupBy("range", (F.col("v") - F.col("i")).alias("island")).agg(F.min("v").alias("first"), F.max("v").alias("last"))
-    edge = Window.orderBy("first")  # islands, not values; at most one row a gap
-    joined = parts.withColumn("new", (F.coalesce(F.lag("last").over(edge) + 1 != F.col("first"), F.lit(True))).cast("int"))
+    touches = (F.col("first") == F.shiftleft("range", 16)) | (F.col("last") == F.shiftleft(F.col("range") + 1, 16) - 1)
+    edge = Window.orderBy("first")
+    joined = parts.where(touches).withColumn("new", (F.coalesce(F.lag("last").over(edge) + 1 != F.col("first"), F.lit(True))).cast("int"))
     joined = joined.withColumn("group", F.sum("new").over(edge.rowsBetween(Window.unboundedPreceding, 0)))
-    return joined.groupBy("group").agg(F.min("first").alias("first"), F.max("last").alias("last")).select("first", "last", (F.col("last") - F.col("first") + 1).alias("length")).where(F.col("length") >= least)
+    merged = joined.groupBy("group").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("group")
+    return parts.where(~touches).select("first", "last").unionByName(merged).select("first", "last", (F.col("last") - F.col("first") + 1).alias("length")).where(F.col("length") >= least)
 
 
 def even_sample(rows: DataFrame, order: str, k: int) -> DataFrame:
     """At most k rows, evenly spaced in the order: places floor(i (n - 1) / (k - 1)). ``order`` must be unique.
 
-    Places are numbered within ranges of the order and offset by the ranges' counts.
+    Only the order travels to find the places; the chosen keys then pick their rows.
     """
-    d = rows.repartitionByRange(F.col(order)).withColumn("__part", F.spark_partition_id())
-    counts = d.groupBy("__part").agg(F.count("*").alias("n"))
-    before = counts.select("__part", F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("n").over(Window.partitionBy(F.lit(0))).alias("all"))
-    d = d.join(F.broadcast(before), "__part")  # one row a partition
-    d = d.withColumn("place", F.col("before") + F.row_number().over(Window.partitionBy("__part").orderBy(order)) - 1)
-    size = F.least(F.lit(k), F.col("all"))
-    chosen = F.transform(F.sequence(F.lit(0), size.cast("int") - 1), lambda i: F.when(size > 1, F.floor(i * (F.col("all") - 1) / (size - 1))).otherwise(F.lit(0)))
-    return d.where(F.array_contains(chosen, F.col("place"))).select(*rows.columns, "place")
+    placed = global_place(rows.select(order), [F.col(order)])
+    size = placed.agg(F.count("*").alias("all")).select("all", F.least(F.lit(k), F.col("all")).alias("size"))
+    chosen = size.where("size > 0").select(F.explode(F.expr("transform(sequence(0, cast(size AS int) - 1), i -> if(size > 1, floor(i * (all - 1) / (size - 1)), 0))")).alias("place"))
+    keys = placed.join(F.broadcast(chosen), "place").select(order, "place")  # k places
+    return rows.join(F.broadcast(keys), order).select(*rows.columns, "place")
 
 
 def field_profile(rows: DataFrame, json: str) -> DataFrame:
