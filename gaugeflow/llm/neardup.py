@@ -15,9 +15,11 @@ Equal texts are one node from the start. In every bucket of candidates the node
 with others is the leader and every other node is compared with it, exactly, by the weighted Jaccard
 similarity of the whole texts: a bucket of m nodes gives m - 1 pairs, however large it is. Further rounds
 look for links between classes that share a bucket: each node outside its bucket's largest class is compared with the ``PARTNERS`` nodes of other
-classes in its bucket whose samples agree most with its own, if at least ``LEAST`` of them do (at a
-similarity of 0.8 fewer do in one case of 2,000). Rounds go on while they find links, so partners that were not
-among the first come later. Samples are compared in blocks of bounded size, so a large bucket is many
+classes in its bucket whose samples agree most with its own, if at least ``LEAST`` of them do. These rounds
+only join most classes early and go on while they find links. The last round leaves nothing out: it verifies every
+pair of two classes in a bucket that was not tested yet, but for those whose weights, summed by bin, prove
+that they cannot reach the similarity (the common weight of two texts is at most the sum of the bins' lesser weights).
+Nodes are compared in blocks of bounded size, so a large bucket is many
 small tasks. Classes are the components of the verified links.
 
 Behaviour: null text counts as empty. Texts without a word are linked to equal texts only. A text
@@ -141,17 +143,24 @@ def weights(s: np.ndarray, tf: np.ndarray, shares: np.ndarray) -> np.ndarray:
 
 def samples(texts: list[str], shares: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Bin samples (texts x BINS) and whether the text has a shingle."""
+    return sampled(texts, shares)[:2]
+
+
+def sampled(texts: list[str], shares: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bin samples, whether the text has a shingle, and the weight in each bin (texts x BINS)."""
     owner, s, tf = shingles(texts)
     out = np.zeros((len(texts), BINS), np.uint64)
     if not len(s):
-        return out, np.zeros(len(texts), bool)
+        return out, np.zeros(len(texts), bool), np.zeros((len(texts), BINS))
     uniform = lambda k: ((mix(s + np.uint64(k * int(PRIME) % (1 << 64))) >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53
     r = -np.log(uniform(1) * uniform(2))
     c = -np.log(uniform(3) * uniform(4))
     beta = uniform(5)
-    t = np.floor(np.log(weights(s, tf, shares)) / r + beta)
+    w = weights(s, tf, shares)
+    t = np.floor(np.log(w) / r + beta)
     a = np.log(c) - r * (t - beta + 1)
     cell = owner * BINS + (mix(s ^ PRIME) % np.uint64(BINS)).astype(np.int64)
+    mass = np.bincount(cell, w, len(texts) * BINS).reshape(-1, BINS)
     least = np.full(len(texts) * BINS, np.inf)
     np.minimum.at(least, cell, a)
     won = a == least[cell]
@@ -166,7 +175,23 @@ def samples(texts: list[str], shares: np.ndarray) -> tuple[np.ndarray, np.ndarra
             break
         rolled = np.roll(out, -d, 1)
         filled = np.where(todo & (rolled != 0), mix(rolled + np.uint64(d)) | np.uint64(1), filled)
-    return filled, some
+    return filled, some, mass
+
+
+def rounded_up(mass: np.ndarray) -> np.ndarray:
+    """Half-precision numbers that are not less."""
+    with np.errstate(over="ignore"):
+        half = mass.astype(np.float16)
+    return np.where(half < mass, np.nextafter(half, np.float16(np.inf)), half)
+
+
+def may_reach(mass: np.ndarray, total: float, masses: np.ndarray, totals: np.ndarray, similarity: float) -> np.ndarray:
+    """Which texts one text may be similar to: an upper bound of the weighted Jaccard similarity by the weights in the bins, with room for rounding."""
+    ok = np.minimum(total, totals) >= similarity * np.maximum(total, totals) * (1 - 1e-5)
+    at = np.flatnonzero(ok)
+    common = np.minimum(np.minimum(mass, masses[at]).sum(1, dtype=np.float64), np.minimum(total, totals[at]))
+    ok[at] = common >= similarity * (total + totals[at] - common) * (1 - 1e-5)
+    return ok
 
 
 def band_keys(bins: np.ndarray) -> np.ndarray:
@@ -178,19 +203,19 @@ def band_keys(bins: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, shares: np.ndarray) -> DataFrame:
-    """doc_id, key (MD5 of the text, 16 bytes), band keys (none without a word) and a byte of each bin's sample, of every row."""
+    """doc_id, key (MD5 of the text, 16 bytes), band keys (none without a word), a byte of each bin's sample, each bin's weight and their sum, of every row."""
     spark = docs.sparkSession
     ship(spark)
     sent = spark.sparkContext.broadcast(shares)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in chunks(batches):
-            bins, some = samples(texts, sent.value)
+            bins, some, mass = sampled(texts, sent.value)
             keys = band_keys(bins)
             low = (bins >> np.uint64(8)).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([hashlib.md5(t.encode()).digest() for t in texts], pa.binary()), pa.array([k if ok else [] for k, ok in zip(keys, some, strict=True)], pa.list_(pa.int64())), pa.array([x.tobytes() for x in low], pa.binary())], ["doc_id", "key", "bands", "bins"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([hashlib.md5(t.encode()).digest() for t in texts], pa.binary()), pa.array([k if ok else [] for k, ok in zip(keys, some, strict=True)], pa.list_(pa.int64())), pa.array([x.tobytes() for x in low], pa.binary()), pa.array([x.tobytes() for x in rounded_up(mass)], pa.binary()), pa.array(mass.sum(1))], ["doc_id", "key", "bands", "bins", "mass", "total"])
 
-    return docs.mapInArrow(run, "doc_id long, key binary, bands array<long>, bins binary")
+    return docs.mapInArrow(run, "doc_id long, key binary, bands array<long>, bins binary, mass binary, total double")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, shares: np.ndarray, similarity: float) -> DataFrame:
@@ -245,35 +270,38 @@ def components(edges: DataFrame) -> DataFrame:
     return graph.components(edges, "a", "b").select(F.col("member").alias("key"), F.col("component").alias("comp"))
 
 
-def partners(placed: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of nodes of different classes in a bucket: each node's PARTNERS best by agreeing samples. ``placed`` has band, key and bins."""
-    d = placed.join(classes, "key", "left").select("band", "key", "bins", F.coalesce("comp", "key").alias("comp"))
-    mixed = d.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where(F.col("lo") != F.col("hi")).select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    # every two blocks of a bucket meet in one group; most buckets are one block
-    d = d.join(mixed, "band").withColumn("mine", F.pmod(F.xxhash64("key"), "blocks").cast("int"))
-    d = d.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    d = d.select("band", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "key", "comp", "bins")
-    d = d.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
-
-    def compare(keys: list[bytes], comps: list[bytes], bins: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
-        if len(set(comps)) < 2:
+def meetings(placed: DataFrame, classes: DataFrame, *columns: str) -> DataFrame:
+    """The nodes of every bucket of several classes, dealt to groups (band, i, j) of block i of the nodes that ask and block j of all.
+
+    The largest class asks for nothing: every pair of two classes has an end outside it. ``asks`` and ``asked`` are a row's roles in its group;
+    each group's rows lie together.
+    """
+    d = placed.join(classes, "key", "left").select("band", "key", F.coalesce("comp", "key").alias("comp"), *columns)
+    per = d.groupBy("band", "comp").agg(F.count("*").alias("n"))
+    sizes = per.groupBy("band").agg(F.max(F.struct("n", "comp")).alias("x"), F.sum("n").alias("n"))
+    mixed = sizes.where(F.col("n") > F.col("x.n")).select("band", F.col("x.comp").alias("largest"), F.ceil((F.col("n") - F.col("x.n")) / BLOCK).cast("int").alias("asking"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    d = d.join(mixed, "band").withColumns({"i": F.pmod(F.xxhash64("key"), "asking").cast("int"), "j": F.pmod(F.xxhash64("key"), "blocks").cast("int"), "asks": F.col("comp") != F.col("largest")})
+    role = lambda i, j, asks, asked: F.struct(i.alias("i"), j.alias("j"), asks.alias("asks"), F.lit(asked).alias("asked"))
+    own = F.transform(F.sequence(F.lit(0), F.col("asking") - 1), lambda i: role(i, F.col("j"), F.col("asks") & (i == F.col("i")), True))
+    away = F.transform(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.col("asks") & (j != F.col("j"))), lambda j: role(F.col("i"), j, F.lit(True), False))
+    d = d.select("band", F.explode(F.concat(own, away)).alias("x"), "key", "comp", *columns).select("band", "x.*", "key", "comp", *columns)
+    return d.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+
+
+def pairs_of(met: DataFrame, compare) -> DataFrame:
+    """Distinct pairs (a, b), a > b, that ``compare`` yields for the groups of ``met``: it gets asking and asked rows' numbers, class numbers, and the columns after comp as lists."""
+
+    def found(rows: list[tuple]) -> Iterator[tuple[bytes, bytes]]:
+        if len({r[2] for r in rows}) < 2:
             return
-        x = np.frombuffer(b"".join(bins), np.uint8).reshape(len(keys), BINS)
+        asks, asked, comps, keys, *columns = zip(*((r[0], r[1], r[2], r[3], *r[4:]) for r in rows), strict=True)
         c = np.unique(np.array(comps, object).astype("S16"), return_inverse=True)[1]
-        # the largest class looks for no partners: every link to it has another end
-        asking = np.flatnonzero(c != np.bincount(c).argmax())
-        for k in np.split(asking, range(256, len(asking), 256)):
-            agree = (x[k, None, :] == x[None]).sum(2, dtype=np.int16)
-            agree[c[k, None] == c[None]] = -1
-            best = np.argpartition(-agree, min(PARTNERS, len(keys) - 1), axis=1)[:, :PARTNERS]
-            for row, others in enumerate(best):
-                for y in others:
-                    if agree[row, y] >= LEAST * BINS:
-                        a, b = keys[k[row]], keys[y]
-                        yield (a, b) if a > b else (b, a)
+        for x, y in compare(np.flatnonzero(asks), np.flatnonzero(asked), c, *columns):
+            a, b = keys[x], keys[y]
+            yield (a, b) if a > b else (b, a)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held = None, ([], [], [])
+        at, held = None, []
         seen: set = set()
 
         def out() -> pa.RecordBatch:
@@ -281,35 +309,71 @@ def partners(placed: DataFrame, classes: DataFrame) -> DataFrame:
             seen.clear()
             return pa.RecordBatch.from_arrays([pa.array([a for a, _ in rows], pa.binary()), pa.array([b for _, b in rows], pa.binary())], ["a", "b"])
 
+        def group() -> Iterator[pa.RecordBatch]:
+            for pair in found(held):
+                seen.add(pair)
+                if len(seen) > 50_000:
+                    yield out()
+
         for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in range(6)]
-            for band, i, j, key, comp, bins in zip(*columns, strict=True):
+            columns = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
+            for band, i, j, asks, asked, key, comp, *more in zip(*columns, strict=True):
                 if (band, i, j) != at:
-                    seen.update(compare(*held))
-                    at, held = (band, i, j), ([], [], [])
-                for x, v in zip(held, (key, comp, bins), strict=True):
-                    x.append(v)
-            if len(seen) > 50_000:
-                yield out()
-        seen.update(compare(*held))
+                    yield from group()
+                    at, held = (band, i, j), []
+                held.append((asks, asked, comp, key, *more))
+        yield from group()
         yield out()
 
-    return d.mapInArrow(run, "a binary, b binary").distinct()
+    return met.mapInArrow(run, "a binary, b binary").distinct()
+
+
+def partners(placed: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes of different classes in a bucket: each node's PARTNERS best by agreeing samples. ``placed`` has band, key and bins."""
+
+    def compare(asking: np.ndarray, asked: np.ndarray, c: np.ndarray, bins: list[bytes]) -> Iterator[tuple[int, int]]:
+        if not len(asked):
+            return
+        x = np.frombuffer(b"".join(bins), np.uint8).reshape(len(bins), BINS)
+        for k in np.split(asking, range(256, len(asking), 256)):
+            agree = (x[k, None, :] == x[None, asked]).sum(2, dtype=np.int16)
+            agree[c[k, None] == c[None, asked]] = -1
+            best = np.argpartition(-agree, min(PARTNERS, len(asked)) - 1, axis=1)[:, :PARTNERS]
+            for row, others in enumerate(best):
+                for y in others:
+                    if agree[row, y] >= LEAST * BINS:
+                        yield k[row], asked[y]
+
+    return pairs_of(meetings(placed, classes, "bins"), compare)
+
+
+def remaining(placed: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    """All pairs (a, b) of nodes of different classes in a bucket that may reach the similarity. ``placed`` has band, key, mass and total."""
+
+    def compare(asking: np.ndarray, asked: np.ndarray, c: np.ndarray, mass: list[bytes], total: list[float]) -> Iterator[tuple[int, int]]:
+        m = np.frombuffer(b"".join(mass), np.float16).reshape(len(mass), BINS).astype(np.float32)
+        t = np.array(total)
+        for x in asking:
+            others = asked[c[asked] != c[x]]
+            for y in others[may_reach(m[x], t[x], m[others], t[others], similarity)]:
+                yield x, y
+
+    return pairs_of(meetings(placed, classes, "mass", "total"), compare)
 
 
 def links(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows (doc_id, key), nodes (key, rep) and classes (key, comp) of the nodes that have links. ``docs`` has doc_id and text."""
     shares, _ = document_frequencies(docs)
     signed = materialise(signatures(docs, shares), "dup-signatures")
-    first = F.first(F.struct("bands", "bins"))
+    first = F.first(F.struct("bands", "bins", "mass", "total"))
     nodes = materialise(signed.groupBy("key").agg(F.min("doc_id").alias("rep"), first.alias("x")).select("key", "rep", "x.*"), "dup-nodes")
     bucketed = nodes.select("key", F.explode("bands").alias("band"))
     sizes = bucketed.groupBy("band").agg(F.count("*").alias("n")).where(F.col("n") > 1)
     members = materialise(bucketed.join(sizes, "band"), "dup-members")
     # a node's centrality: how many nodes it meets in all its buckets
     central = members.groupBy("key").agg(F.sum("n").alias("met"))
-    involved = materialise(nodes.join(central, "key").select("key", "rep", "bins", "met"), "dup-involved")
-    placed = materialise(members.join(involved, "key").select("band", "key", "met", "bins"), "dup-placed")
+    involved = materialise(nodes.join(central, "key").select("key", "rep", "bins", "mass", "total", "met"), "dup-involved")
+    placed = materialise(members.join(involved.select("key", "met", "bins"), "key").select("band", "key", "met", "bins"), "dup-placed")
     leaders = placed.groupBy("band").agg(F.max(F.struct("met", "key"))["key"].alias("b"))
     pairs = placed.join(leaders, "band").where(F.col("key") != F.col("b")).select(F.greatest("key", "b").alias("a"), F.least("key", "b").alias("b")).distinct()
     tested = materialise(pairs, "dup-pairs")
@@ -320,14 +384,24 @@ def links(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, D
     with small_batches(docs.sparkSession, 512):
         edges = materialise(verified(tested, texts, shares, similarity), "dup-links")
     classes = components(edges)
+    last = False
     while True:
-        new = materialise(partners(placed, classes).join(tested, ["a", "b"], "left_anti"), "dup-pairs")
+        if last:
+            several = placed.select("band", "key").join(classes, "key", "left").groupBy("band").agg(F.min(F.coalesce("comp", "key")).alias("lo"), F.max(F.coalesce("comp", "key")).alias("hi")).where(F.col("lo") != F.col("hi")).select("band")
+            found = remaining(placed.select("band", "key").join(several, "band").join(involved.select("key", "mass", "total"), "key"), classes, similarity)
+        else:
+            found = partners(placed, classes)
+        new = materialise(found.join(tested, ["a", "b"], "left_anti"), "dup-pairs")
         with small_batches(docs.sparkSession, 512):
             more = materialise(verified(new, texts, shares, similarity), "dup-links")
-        if more.isEmpty():
+        if not more.isEmpty():
+            tested, edges = tested.unionByName(new), edges.unionByName(more)
+            classes = components(edges)
+        elif not last:
+            tested = tested.unionByName(new)
+        if last:
             return signed.select("doc_id", "key"), nodes.select("key", "rep"), classes
-        tested, edges = tested.unionByName(new), edges.unionByName(more)
-        classes = components(edges)
+        last = more.isEmpty()
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

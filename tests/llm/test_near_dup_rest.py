@@ -1,0 +1,50 @@
+"""No pair of a bucket is left out because other partners agree more, and the bound that spares pairs is one."""
+
+import numpy as np
+
+from gaugeflow.llm import neardup
+
+
+def test_fifth_partner_is_found(spark, monkeypatch):
+    # one similarity is known of each pair: only the pair of the least agreement is a true one
+    keys = [bytes([i]) * 16 for i in range(7)]
+    bins = [np.zeros(neardup.BINS, np.uint8) for _ in keys]
+    for i in range(1, 7):
+        bins[i][: 2 * i] = i  # agrees less and less with the first
+    h = np.ones((len(keys), neardup.BINS))
+    rows = [(1, k, b.tobytes(), neardup.rounded_up(m).tobytes(), float(m.sum())) for k, b, m in zip(keys, bins, h, strict=True)]
+    placed = spark.createDataFrame(rows, "band long, key binary, bins binary, mass binary, total double")
+    classes = spark.createDataFrame([], "key binary, comp binary")
+    pairs = lambda d: {(bytes(r["a"]), bytes(r["b"])) for r in d.collect()}
+    every = {(a, b) for a in keys for b in keys if a > b}
+    assert pairs(neardup.partners(placed, classes)) < every
+    assert pairs(neardup.remaining(placed, classes, 0.8)) == every
+    monkeypatch.setattr(neardup, "BLOCK", 2)
+    assert pairs(neardup.remaining(placed, classes, 0.8)) == every
+    same = spark.createDataFrame([(k, keys[0]) for k in keys[:4]], "key binary, comp binary")
+    assert pairs(neardup.remaining(placed, same, 0.8)) == {(a, b) for a, b in every if a not in keys[:4]}
+
+
+def test_bound_never_lies_under_the_similarity():
+    rng = np.random.default_rng(0)
+    words = [f"w{i}" for i in range(400)]
+    texts = []
+    for n in (9, 30, 200, 2000):
+        base = list(rng.choice(words, n))
+        for edits in (0, 1, n // 50, n // 20, n // 10):
+            w = list(base)
+            for i in rng.integers(0, n, edits):
+                w[i] = "x"
+            texts.append(" ".join(w))
+    shares = np.full(2 * neardup.SKETCH, -1, np.float32)
+    _, _, mass = neardup.sampled(texts, shares)
+    owner, s, tf = neardup.shingles(texts)
+    w = neardup.weights(s, tf, shares)
+    one = lambda i: (np.sort(s[owner == i]), w[owner == i][np.argsort(s[owner == i])])
+    m, t = neardup.rounded_up(mass).astype(np.float32), mass.sum(1)
+    spared = 0
+    for i in range(len(texts)):
+        ok = neardup.may_reach(m[i], t[i], m, t, 0.8)
+        spared += (~ok).sum()
+        assert all(ok[j] for j in range(len(texts)) if neardup.jaccard(*one(i), *one(j)) >= 0.8)
+    assert spared
