@@ -27,18 +27,18 @@ from gaugeflow.llm.common import text_or_empty
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "[#*$%&|<>]"
 #: Patterns of rare characters; with white space, symbols, bytes beyond the first of a character, and the rest they make the histogram of classes.
-CLASSES = {"upper": "[A-Z]", "digit": "[0-9]", "mark": "[.,;:!?'\"()-]"}
+CLASSES = {"upper": "[A-ZÀ-ÖØ-Þ]", "digit": "[0-9]", "mark": "[.,;:!?'\"()-]"}
 N_CLASSES = len(CLASSES) + 4
 MIN_WORDS, REPEATED_PERCENT, WINDOW = 10, 20, 5
-#: Longest common word.
-LETTERS = 5
+#: Longest common word: there is no limit.
+LETTERS = float("inf")
 
 
 @dataclass(frozen=True)
 class Rules:
     """Limits of the divergence rule; distances lie between 0 and 1."""
 
-    common: int = 20
+    common: int = 24
     class_limit: float = 0.3
     word_limit: float = 0.48
     min_chars: int = 300
@@ -114,8 +114,8 @@ def learn(docs: DataFrame, rules: Rules = Rules(), text_column: str = "text", la
     sums = d.select("lang", counts.alias("c"), F.size("words").alias("n")).groupBy("lang").agg(*[F.sum(F.col("c")[i]).alias(f"c{i}") for i in range(N_CLASSES)], F.sum("n").alias("n")).orderBy("lang").collect()
     classes = {r["lang"]: [r[f"c{i}"] / max(1.0, sum(r[f"c{j}"] for j in range(N_CLASSES))) for i in range(N_CLASSES)] for r in sums}
     totals = {r["lang"]: r["n"] for r in sums}
-    # Common words have LETTERS characters at most, by definition; shares are of all words.
-    per_word = d.select("lang", F.explode(F.filter(F.split(F.lower("text"), SPACE), lambda w: F.char_length(w).between(1, LETTERS))).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
+    # Every word counts, whatever its length; shares are of all words.
+    per_word = d.select("lang", F.explode(words_of(F.lower("text"))).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
     # Top words in two steps, so that no task ranks all words of a language.
     order = [F.col("n").desc(), F.col("word")]
     part = Window.partitionBy("lang", F.pmod(F.xxhash64("word"), F.lit(64))).orderBy(*order)
