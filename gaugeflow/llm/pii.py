@@ -185,8 +185,8 @@ def disclosing_terms(docs: DataFrame, policy: Policy = Policy()) -> DataFrame:
     ic = F.log(F.lit(float(total)) / F.col("n_c"))
     scored = pairs.join(counts, "term").withColumn("disclosure", F.when(ic > 0, pmi / ic).otherwise(F.lit(0.0)))
     flagged = materialise(scored.where(F.col("disclosure") >= policy.generalise).select("entity", "term", F.when(F.col("disclosure") >= policy.remove, "remove").otherwise("generalise").alias("action")), "pii-terms")
-    held = found.select("key", "entity", F.explode("terms").alias("term"))
-    hits = held.join(flagged, ["entity", "term"]).groupBy("key", "term").agg(F.max("action").alias("action"))  # "remove" is the greater word
+    # a text's terms are those of all its entities, wherever in it they stand
+    hits = found.select("key", "entity").distinct().join(flagged, "entity").groupBy("key", "term").agg(F.max("action").alias("action"))  # "remove" is the greater word
     return materialise(hits.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("term", "action"))).alias("hits")), "pii-hits")
 
 
