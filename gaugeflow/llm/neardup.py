@@ -11,16 +11,14 @@ t = floor(ln w / r + b), r and c ~ Gamma(2, 1), b uniform, all from the shingle'
 (with t); two texts share it with a probability of their weighted Jaccard similarity in that bin. Empty bins
 borrow from the next full one. Three bins make a band; texts with an equal band are candidates.
 
-Equal texts are one node from the start. In every bucket of candidates the node that shares most buckets
-with others is the leader and every other node is compared with it, exactly, by the weighted Jaccard
-similarity of the whole texts: a bucket of m nodes gives m - 1 pairs, however large it is. Further rounds
-look for links between classes that share a bucket: each node outside its bucket's largest class is compared with the ``PARTNERS`` nodes of other
-classes in its bucket whose samples agree most with its own, if at least ``LEAST`` of them do. These rounds
-only join most classes early and go on while they find links. The last round leaves nothing out: it verifies every
-pair of two classes in a bucket that was not tested yet, but for those whose weights, summed by bin, prove
-that they cannot reach the similarity (the common weight of two texts is at most the sum of the bins' lesser weights).
-Nodes are compared in blocks of bounded size, so a large bucket is many
-small tasks. Classes are the components of the verified links.
+Equal texts are one node from the start. A bucket's nodes meet in one task as whole weighted sets, and
+those outside its largest class ask all others for their exact weighted Jaccard similarity; the first to
+ask is the node that shares most with the rest. Only links that join two classes come out, so a bucket of m
+nodes gives m - 1 pairs at most, and no link between two classes is missed. Buckets with the same nodes are one.
+A bucket of more than ``NODES`` nodes (or ``ENTRIES`` shingles) is dealt into blocks. Each block meets by itself and with the bucket's leader, the
+node that meets most others in all its buckets. Then only nodes outside the bucket's largest class ask the other
+blocks: what the leader did not join is compared in full, block by block, since no shorter way is exact.
+Nothing is capped; banding alone is probabilistic. Classes are the components of the links.
 
 Behaviour: null text counts as empty. Texts without a word are linked to equal texts only. A text
 of one to four words is one shingle. class_id is the least doc_id of the class (null only if all are);
@@ -31,6 +29,7 @@ All intermediate tables are written to the shared folder; nothing unbounded reac
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,7 +47,10 @@ BINS, ROWS = 48, 3
 BANDS = BINS // ROWS
 SKETCH, SLICES = 1 << 17, 16
 COMMON, FLOOR = 0.05, 0.75
-PARTNERS, LEAST, BLOCK = 4, 0.6, 1024
+#: Nodes and shingles of a group that meets in one task; larger buckets are dealt into such groups.
+NODES, ENTRIES = 2048, 2_000_000
+#: Weights are 32-bit floats: a similarity is reached if it is missed by less than this.
+EPSILON = 1e-6
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -147,11 +149,11 @@ def samples(texts: list[str], shares: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def sampled(texts: list[str], shares: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bin samples, whether the text has a shingle, and the weight in each bin (texts x BINS)."""
+    """Bin samples, whether the text has a shingle, and its number of distinct shingles."""
     owner, s, tf = shingles(texts)
     out = np.zeros((len(texts), BINS), np.uint64)
     if not len(s):
-        return out, np.zeros(len(texts), bool), np.zeros((len(texts), BINS))
+        return out, np.zeros(len(texts), bool), np.zeros(len(texts), np.int64)
     uniform = lambda k: ((mix(s + np.uint64(k * int(PRIME) % (1 << 64))) >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53
     r = -np.log(uniform(1) * uniform(2))
     c = -np.log(uniform(3) * uniform(4))
@@ -160,7 +162,6 @@ def sampled(texts: list[str], shares: np.ndarray) -> tuple[np.ndarray, np.ndarra
     t = np.floor(np.log(w) / r + beta)
     a = np.log(c) - r * (t - beta + 1)
     cell = owner * BINS + (mix(s ^ PRIME) % np.uint64(BINS)).astype(np.int64)
-    mass = np.bincount(cell, w, len(texts) * BINS).reshape(-1, BINS)
     least = np.full(len(texts) * BINS, np.inf)
     np.minimum.at(least, cell, a)
     won = a == least[cell]
@@ -175,23 +176,7 @@ def sampled(texts: list[str], shares: np.ndarray) -> tuple[np.ndarray, np.ndarra
             break
         rolled = np.roll(out, -d, 1)
         filled = np.where(todo & (rolled != 0), mix(rolled + np.uint64(d)) | np.uint64(1), filled)
-    return filled, some, mass
-
-
-def rounded_up(mass: np.ndarray) -> np.ndarray:
-    """Half-precision numbers that are not less."""
-    with np.errstate(over="ignore"):
-        half = mass.astype(np.float16)
-    return np.where(half < mass, np.nextafter(half, np.float16(np.inf)), half)
-
-
-def may_reach(mass: np.ndarray, total: float, masses: np.ndarray, totals: np.ndarray, similarity: float) -> np.ndarray:
-    """Which texts one text may be similar to: an upper bound of the weighted Jaccard similarity by the weights in the bins, with room for rounding."""
-    ok = np.minimum(total, totals) >= similarity * np.maximum(total, totals) * (1 - 1e-5)
-    at = np.flatnonzero(ok)
-    common = np.minimum(np.minimum(mass, masses[at]).sum(1, dtype=np.float64), np.minimum(total, totals[at]))
-    ok[at] = common >= similarity * (total + totals[at] - common) * (1 - 1e-5)
-    return ok
+    return filled, some, np.bincount(owner, minlength=len(texts))
 
 
 def band_keys(bins: np.ndarray) -> np.ndarray:
@@ -203,56 +188,34 @@ def band_keys(bins: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, shares: np.ndarray) -> DataFrame:
-    """doc_id, key (MD5 of the text, 16 bytes), band keys (none without a word), a byte of each bin's sample, each bin's weight and their sum, of every row."""
+    """doc_id, key (MD5 of the text, 16 bytes), band keys (none without a word) and the number of distinct shingles, of every row."""
     spark = docs.sparkSession
     ship(spark)
     sent = spark.sparkContext.broadcast(shares)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in chunks(batches):
-            bins, some, mass = sampled(texts, sent.value)
+            bins, some, kinds = sampled(texts, sent.value)
             keys = band_keys(bins)
-            low = (bins >> np.uint64(8)).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([hashlib.md5(t.encode()).digest() for t in texts], pa.binary()), pa.array([k if ok else [] for k, ok in zip(keys, some, strict=True)], pa.list_(pa.int64())), pa.array([x.tobytes() for x in low], pa.binary()), pa.array([x.tobytes() for x in rounded_up(mass)], pa.binary()), pa.array(mass.sum(1))], ["doc_id", "key", "bands", "bins", "mass", "total"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([hashlib.md5(t.encode()).digest() for t in texts], pa.binary()), pa.array([k if ok else [] for k, ok in zip(keys, some, strict=True)], pa.list_(pa.int64())), pa.array(kinds, pa.int64())], ["doc_id", "key", "bands", "kinds"])
 
-    return docs.mapInArrow(run, "doc_id long, key binary, bands array<long>, bins binary, mass binary, total double")
+    return docs.mapInArrow(run, "doc_id long, key binary, bands array<long>, kinds long")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, shares: np.ndarray, similarity: float) -> DataFrame:
-    """Pairs (a, b) whose whole texts reach the weighted Jaccard similarity, with it."""
-    sent = pairs.sparkSession.sparkContext.broadcast(shares)
-    one = texts.select(F.col("key").alias("a"), F.col("text").alias("text_a"))
-    two = texts.select(F.col("key").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b")
-
-    def vectors(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-        owner, s, tf = shingles(texts)
-        w = weights(s, tf, sent.value)
-        ends = np.searchsorted(owner, np.arange(len(texts) + 1))
-        out = []
-        for lo, hi in zip(ends, ends[1:], strict=False):
-            order = np.argsort(s[lo:hi])
-            out.append((s[lo:hi][order], w[lo:hi][order]))
-        return out
+def vectors(texts: DataFrame, shares: np.ndarray) -> DataFrame:
+    """key and the whole text's weighted set: hashes (64 bits each) and weights (32-bit floats) as two byte strings."""
+    sent = texts.sparkSession.sparkContext.broadcast(shares)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # One side's text repeats from row to row: its vector is kept until the text changes.
-        last: tuple = (None, None)
-        for batch in batches:
-            for i in range(0, len(batch), 64):
-                part = batch.slice(i, 64)
-                left = vectors(part.column(2).to_pylist())
-                keep = []
-                sims = []
-                for j, (key, text) in enumerate(zip(part.column(1).to_pylist(), part.column(3).to_pylist(), strict=True)):
-                    if last[0] != key:
-                        last = (key, vectors([text])[0])
-                    sim = jaccard(*left[j], *last[1])
-                    keep.append(sim >= similarity)
-                    sims.append(sim)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sims, pa.float64())], ["a", "b", "similarity"]).filter(pa.array(keep))
-
-    return both.mapInArrow(run, "a binary, b binary, similarity double")
+        worker_release()
+        for part, own in chunks(batches):
+            owner, s, tf = shingles(own)
+            w = weights(s, tf, sent.value).astype(np.float32)
+            ends = np.searchsorted(owner, np.arange(len(own) + 1))
+            cut = list(zip(ends, ends[1:], strict=False))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s[a:b].tobytes() for a, b in cut], pa.binary()), pa.array([w[a:b].tobytes() for a, b in cut], pa.binary())], ["key", "s", "w"])
+
+    return texts.mapInArrow(run, "key binary, s binary, w binary")
 
 
 def jaccard(s: np.ndarray, w: np.ndarray, s2: np.ndarray, w2: np.ndarray) -> float:
@@ -265,143 +228,166 @@ def jaccard(s: np.ndarray, w: np.ndarray, s2: np.ndarray, w2: np.ndarray) -> flo
     return float(common / (w.sum() + w2.sum() - common))
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(key, comp) of every node of the edges: the least key of its component."""
-    return graph.components(edges, "a", "b").select(F.col("member").alias("key"), F.col("component").alias("comp"))
-
+class Sets:
+    """Weighted sets that can be asked for their similarity to all of them at once, by an index from shingles to sets."""
 
-def meetings(placed: DataFrame, classes: DataFrame, *columns: str) -> DataFrame:
-    """The nodes of every bucket of several classes, dealt to groups (band, i, j) of block i of the nodes that ask and block j of all.
+    def __init__(self, rows: list[tuple[bytes, bytes]]):
+        s = [np.frombuffer(x, np.uint64) for x, _ in rows]
+        sizes = np.fromiter(map(len, s), np.int64, len(s))
+        self.n, self.ends = len(rows), np.concatenate([[0], np.cumsum(sizes)])
+        self.w = np.concatenate([np.frombuffer(x, np.float32) for _, x in rows]).astype(np.float64)
+        owner = np.repeat(np.arange(self.n), sizes)
+        self.total = np.bincount(owner, self.w, self.n)
+        self.column = np.unique(np.concatenate(s), return_inverse=True)[1]
+        order = np.argsort(self.column, kind="stable")
+        self.posted, self.weight = owner[order], self.w[order]
+        self.starts = np.concatenate([[0], np.cumsum(np.bincount(self.column))])
 
-    The largest class asks for nothing: every pair of two classes has an end outside it. ``asks`` and ``asked`` are a row's roles in its group;
-    each group's rows lie together.
-    """
-    d = placed.join(classes, "key", "left").select("band", "key", F.coalesce("comp", "key").alias("comp"), *columns)
-    per = d.groupBy("band", "comp").agg(F.count("*").alias("n"))
-    sizes = per.groupBy("band").agg(F.max(F.struct("n", "comp")).alias("x"), F.sum("n").alias("n"))
-    mixed = sizes.where(F.col("n") > F.col("x.n")).select("band", F.col("x.comp").alias("largest"), F.ceil((F.col("n") - F.col("x.n")) / BLOCK).cast("int").alias("asking"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    d = d.join(mixed, "band").withColumns({"i": F.pmod(F.xxhash64("key"), "asking").cast("int"), "j": F.pmod(F.xxhash64("key"), "blocks").cast("int"), "asks": F.col("comp") != F.col("largest")})
-    role = lambda i, j, asks, asked: F.struct(i.alias("i"), j.alias("j"), asks.alias("asks"), F.lit(asked).alias("asked"))
-    own = F.transform(F.sequence(F.lit(0), F.col("asking") - 1), lambda i: role(i, F.col("j"), F.col("asks") & (i == F.col("i")), True))
-    away = F.transform(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.col("asks") & (j != F.col("j"))), lambda j: role(F.col("i"), j, F.lit(True), False))
-    d = d.select("band", F.explode(F.concat(own, away)).alias("x"), "key", "comp", *columns).select("band", "x.*", "key", "comp", *columns)
-    return d.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+    def similarities(self, x: int) -> np.ndarray:
+        own = slice(self.ends[x], self.ends[x + 1])
+        first, sizes = self.starts[self.column[own]], np.diff(self.starts)[self.column[own]]
+        at = np.arange(sizes.sum()) + np.repeat(first - (np.cumsum(sizes) - sizes), sizes)
+        common = np.bincount(self.posted[at], np.minimum(self.weight[at], np.repeat(self.w[own], sizes)), self.n)
+        return common / np.maximum(self.total[x] + self.total - common, 1e-300)
 
 
-def pairs_of(met: DataFrame, compare) -> DataFrame:
-    """Distinct pairs (a, b), a > b, that ``compare`` yields for the groups of ``met``: it gets asking and asked rows' numbers, class numbers, and the columns after comp as lists."""
+def linked(sets: Sets, classes: np.ndarray, asks: np.ndarray, asked: np.ndarray, similarity: float) -> Iterator[tuple[int, int]]:
+    """Links (x, y), x of ``asks`` and y of ``asked``, that join all classes which have one of at least ``similarity``.
 
-    def found(rows: list[tuple]) -> Iterator[tuple[bytes, bytes]]:
-        if len({r[2] for r in rows}) < 2:
-            return
-        asks, asked, comps, keys, *columns = zip(*((r[0], r[1], r[2], r[3], *r[4:]) for r in rows), strict=True)
-        c = np.unique(np.array(comps, object).astype("S16"), return_inverse=True)[1]
-        for x, y in compare(np.flatnonzero(asks), np.flatnonzero(asked), c, *columns):
-            a, b = keys[x], keys[y]
-            yield (a, b) if a > b else (b, a)
+    Every set outside the largest class asks, in turn; a class that grows to be the largest stops asking. So of two sets in different classes one has asked.
+    """
+    classes = classes.copy()
+    sizes = Counter(classes.tolist())
+    # the set that meets the most others asks first: it joins most of what can be joined
+    kinds = np.diff(sets.ends)
+    degree = np.bincount(np.repeat(np.arange(sets.n), kinds), np.diff(sets.starts)[sets.column], sets.n) / np.maximum(kinds, 1)
+    order = np.flatnonzero(asks)
+    order = order[np.argsort(-degree[order], kind="stable")].tolist()
+    # the caller left its largest class out of those that ask, or nobody is left out and the largest class is looked at here
+    spared = max(sizes, key=sizes.__getitem__) if asks.all() else None
+    while order and len(sizes) > 1:
+        later = []
+        for turn, x in enumerate(order):
+            if len(sizes) < 2:
+                return
+            if spared is not None and turn and classes[x] == spared:
+                later.append(x)
+                continue
+            near = sets.similarities(x) >= similarity - EPSILON
+            for y in np.flatnonzero(near & asked & (classes != classes[x])):
+                a, b = int(classes[x]), int(classes[y])
+                if a != b:
+                    yield int(x), int(y)
+                    small, large = (a, b) if sizes[a] < sizes[b] else (b, a)
+                    classes[classes == small] = large
+                    sizes[large] += sizes.pop(small)
+                    if spared is not None and (spared == small or sizes[large] > sizes[spared]):
+                        spared = large
+        # who was spared as one of the largest class asks after all if another class has become the largest
+        order = [x for x in later if classes[x] != spared]
+
+
+def links_within(groups: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b), a > b, of the groups of rows with equal band, i and j, which lie together; columns band, i, j, key, comp, asks, asked, s, w."""
+
+    def found(rows: list[tuple]) -> list[tuple[bytes, bytes]]:
+        keys, comps, asks, asked, s, w = zip(*rows, strict=True)
+        classes = np.unique(np.array(comps, object).astype("S16"), return_inverse=True)[1]
+        if len(rows) < 2 or not classes.any():
+            return []
+        sets = Sets(list(zip(s, w, strict=True)))
+        pairs = linked(sets, classes, np.array(asks), np.array(asked), similarity)
+        return [(max(keys[x], keys[y]), min(keys[x], keys[y])) for x, y in pairs]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_release()
         at, held = None, []
-        seen: set = set()
 
         def out() -> pa.RecordBatch:
-            rows = list(seen)
-            seen.clear()
-            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in rows], pa.binary()), pa.array([b for _, b in rows], pa.binary())], ["a", "b"])
-
-        def group() -> Iterator[pa.RecordBatch]:
-            for pair in found(held):
-                seen.add(pair)
-                if len(seen) > 50_000:
-                    yield out()
+            pairs = found(held) if held else []
+            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs], pa.binary()), pa.array([b for _, b in pairs], pa.binary())], ["a", "b"])
 
         for batch in batches:
             columns = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
-            for band, i, j, asks, asked, key, comp, *more in zip(*columns, strict=True):
+            for band, i, j, *row in zip(*columns, strict=True):
                 if (band, i, j) != at:
-                    yield from group()
+                    yield out()
                     at, held = (band, i, j), []
-                held.append((asks, asked, comp, key, *more))
-        yield from group()
+                held.append(tuple(row))
         yield out()
 
-    return met.mapInArrow(run, "a binary, b binary").distinct()
+    return groups.select("band", "i", "j", "key", "comp", "asks", "asked", "s", "w").mapInArrow(run, "a binary, b binary").distinct()
 
 
-def partners(placed: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of nodes of different classes in a bucket: each node's PARTNERS best by agreeing samples. ``placed`` has band, key and bins."""
-
-    def compare(asking: np.ndarray, asked: np.ndarray, c: np.ndarray, bins: list[bytes]) -> Iterator[tuple[int, int]]:
-        if not len(asked):
-            return
-        x = np.frombuffer(b"".join(bins), np.uint8).reshape(len(bins), BINS)
-        for k in np.split(asking, range(256, len(asking), 256)):
-            agree = (x[k, None, :] == x[None, asked]).sum(2, dtype=np.int16)
-            agree[c[k, None] == c[None, asked]] = -1
-            best = np.argpartition(-agree, min(PARTNERS, len(asked)) - 1, axis=1)[:, :PARTNERS]
-            for row, others in enumerate(best):
-                for y in others:
-                    if agree[row, y] >= LEAST * BINS:
-                        yield k[row], asked[y]
+def components(edges: DataFrame) -> DataFrame:
+    """(key, comp) of every node of the edges: the least key of its component."""
+    return graph.components(edges, "a", "b").select(F.col("member").alias("key"), F.col("component").alias("comp"))
 
-    return pairs_of(meetings(placed, classes, "bins"), compare)
 
+def blocks(members: DataFrame, chosen: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Groups that meet first: small buckets whole, large ones in blocks, each with the bucket's leader; and the members of large buckets alone, with their block.
 
-def remaining(placed: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
-    """All pairs (a, b) of nodes of different classes in a bucket that may reach the similarity. ``placed`` has band, key, mass and total."""
+    ``members`` has band, key, s and w; ``chosen`` band, n and blocks.
+    """
+    placed = members.join(chosen, "band").withColumn("j", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    columns = ["band", F.lit(0).alias("i"), "j", "key", F.col("key").alias("comp"), F.lit(True).alias("asks"), F.lit(True).alias("asked"), "s", "w"]
+    large = placed.where(F.col("blocks") > 1)
+    met = members.select("band", "key").join(chosen, "band").groupBy("key").agg(F.sum("n").alias("met"))
+    leader = large.select("band", "key", "j", "blocks").join(met, "key").groupBy("band").agg(F.max_by(F.struct("key", "j", "blocks"), F.struct("met", "key")).alias("x")).select("band", "x.*")
+    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("j"))
+    copies = leader.select("band", "key", F.explode(others).alias("j")).join(members, ["band", "key"])
+    return placed.select(*columns).unionByName(copies.select(*columns)), large.select("band", "j", "key", "s", "w")
+
+
+def meetings(large: DataFrame, classes: DataFrame) -> DataFrame:
+    """Groups (band, i, j) of block i of the nodes outside the bucket's largest class, which ask, and block j of all nodes, which are asked. Buckets of one class have none."""
+    d = large.join(classes, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
+    per = d.groupBy("band", "comp").agg(F.count("*").alias("n"))
+    sizes = per.groupBy("band").agg(F.max(F.struct("n", "comp")).alias("x"), F.sum("n").alias("n"))
+    last = d.groupBy("band").agg((F.max("j") + 1).alias("blocks"))
+    # as many blocks of those that ask as their part of the bucket's blocks
+    asking = F.ceil((F.col("n") - F.col("x.n")) / F.col("n") * F.col("blocks")).cast("int")
+    mixed = sizes.join(last, "band").where(F.col("n") > F.col("x.n")).select("band", F.col("x.comp").alias("largest"), asking.alias("asking"), "blocks")
+    d = d.join(mixed, "band").withColumns({"i": F.pmod(F.xxhash64("key", F.lit(1)), "asking").cast("int"), "asks": F.col("comp") != F.col("largest")})
+    role = lambda i, j, asks, asked: F.struct(i.alias("i"), j.alias("j"), asks.alias("asks"), F.lit(asked).alias("asked"))
+    own = F.transform(F.sequence(F.lit(0), F.col("asking") - 1), lambda i: role(i, F.col("j"), F.col("asks") & (i == F.col("i")), True))
+    away = F.transform(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.col("asks") & (j != F.col("j"))), lambda j: role(F.col("i"), j, F.lit(True), False))
+    return d.select("band", F.explode(F.concat(own, away)).alias("x"), "key", "comp", "s", "w").select("band", "x.*", "key", "comp", "s", "w")
 
-    def compare(asking: np.ndarray, asked: np.ndarray, c: np.ndarray, mass: list[bytes], total: list[float]) -> Iterator[tuple[int, int]]:
-        m = np.frombuffer(b"".join(mass), np.float16).reshape(len(mass), BINS).astype(np.float32)
-        t = np.array(total)
-        for x in asking:
-            others = asked[c[asked] != c[x]]
-            for y in others[may_reach(m[x], t[x], m[others], t[others], similarity)]:
-                yield x, y
 
-    return pairs_of(meetings(placed, classes, "mass", "total"), compare)
+def together(groups: DataFrame) -> DataFrame:
+    return groups.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
 
 
 def links(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows (doc_id, key), nodes (key, rep) and classes (key, comp) of the nodes that have links. ``docs`` has doc_id and text."""
     shares, _ = document_frequencies(docs)
     signed = materialise(signatures(docs, shares), "dup-signatures")
-    first = F.first(F.struct("bands", "bins", "mass", "total"))
-    nodes = materialise(signed.groupBy("key").agg(F.min("doc_id").alias("rep"), first.alias("x")).select("key", "rep", "x.*"), "dup-nodes")
-    bucketed = nodes.select("key", F.explode("bands").alias("band"))
-    sizes = bucketed.groupBy("band").agg(F.count("*").alias("n")).where(F.col("n") > 1)
-    members = materialise(bucketed.join(sizes, "band"), "dup-members")
-    # a node's centrality: how many nodes it meets in all its buckets
-    central = members.groupBy("key").agg(F.sum("n").alias("met"))
-    involved = materialise(nodes.join(central, "key").select("key", "rep", "bins", "mass", "total", "met"), "dup-involved")
-    placed = materialise(members.join(involved.select("key", "met", "bins"), "key").select("band", "key", "met", "bins"), "dup-placed")
-    leaders = placed.groupBy("band").agg(F.max(F.struct("met", "key"))["key"].alias("b"))
-    pairs = placed.join(leaders, "band").where(F.col("key") != F.col("b")).select(F.greatest("key", "b").alias("a"), F.least("key", "b").alias("b")).distinct()
-    tested = materialise(pairs, "dup-pairs")
+    one = F.first(F.struct("bands", "kinds"))
+    nodes = materialise(signed.groupBy("key").agg(F.min("doc_id").alias("rep"), one.alias("x")).select("key", "rep", "x.*"), "dup-nodes")
+    placed = nodes.select("key", "kinds", F.explode("bands").alias("band"))
+    # the nodes of a bucket by two hashes: buckets of the same nodes are one
+    same = [F.bit_xor(F.xxhash64("key", F.lit(i))).alias(f"x{i}") for i in (1, 2)]
+    buckets = placed.groupBy("band").agg(F.count("*").alias("n"), F.sum("kinds").alias("kinds"), *same).where(F.col("n") > 1)
+    parts = F.greatest(F.ceil(F.col("n") / NODES), F.ceil(F.col("kinds") / ENTRIES)).cast("int")
+    chosen = materialise(buckets.groupBy("n", "x1", "x2").agg(F.min("band").alias("band"), F.max("kinds").alias("kinds")).select("band", "n", parts.alias("blocks")), "dup-buckets")
+    members = materialise(placed.select("band", "key").join(chosen.select("band"), "band"), "dup-members")
+    wanted = nodes.join(members.select("key").distinct(), "key", "left_semi").select(F.coalesce("rep", F.lit(-1 << 63)).alias("rep"), F.lower(F.hex("key")).alias("hex"), "key")
     named = docs.select(F.coalesce("doc_id", F.lit(-1 << 63)).alias("rep"), F.md5(F.col("text").cast("binary")).alias("hex"), "text")
-    wanted = involved.select(F.coalesce("rep", F.lit(-1 << 63)).alias("rep"), F.lower(F.hex("key")).alias("hex"), "key")
     # rows of one id and text are alike; one of them is enough
-    texts = materialise(named.join(wanted, ["rep", "hex"]).select("key", "text").dropDuplicates(["key"]), "dup-texts", wide=True)
+    texts = named.join(wanted, ["rep", "hex"]).select("key", "text").dropDuplicates(["key"])
+    sets = materialise(vectors(texts, shares), "dup-sets", wide=True)
+    full = members.join(sets, "key")
+    first, large = blocks(full, chosen)
     with small_batches(docs.sparkSession, 512):
-        edges = materialise(verified(tested, texts, shares, similarity), "dup-links")
+        edges = materialise(links_within(together(first), similarity), "dup-links")
     classes = components(edges)
-    last = False
-    while True:
-        if last:
-            several = placed.select("band", "key").join(classes, "key", "left").groupBy("band").agg(F.min(F.coalesce("comp", "key")).alias("lo"), F.max(F.coalesce("comp", "key")).alias("hi")).where(F.col("lo") != F.col("hi")).select("band")
-            found = remaining(placed.select("band", "key").join(several, "band").join(involved.select("key", "mass", "total"), "key"), classes, similarity)
-        else:
-            found = partners(placed, classes)
-        new = materialise(found.join(tested, ["a", "b"], "left_anti"), "dup-pairs")
+    if not chosen.where(F.col("blocks") > 1).isEmpty():
         with small_batches(docs.sparkSession, 512):
-            more = materialise(verified(new, texts, shares, similarity), "dup-links")
+            more = materialise(links_within(together(meetings(large, classes)), similarity), "dup-links")
         if not more.isEmpty():
-            tested, edges = tested.unionByName(new), edges.unionByName(more)
-            classes = components(edges)
-        elif not last:
-            tested = tested.unionByName(new)
-        if last:
-            return signed.select("doc_id", "key"), nodes.select("key", "rep"), classes
-        last = more.isEmpty()
+            classes = components(edges.unionByName(more))
+    return signed.select("doc_id", "key"), nodes.select("key", "rep"), classes
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
