@@ -45,9 +45,9 @@ def hex64(hash_: Column) -> Column:
     return F.lower(F.lpad(F.hex(hash_), 16, "0"))
 
 
-def box_iou(a: str, b: str) -> Column:
+def box_iou(a: str, b: str, joint: str = "_") -> Column:
     """IoU of boxes a_x1.. and b_x1.. (exclusive upper ends); negative extents count as 0, an empty union gives 0."""
-    c = lambda p, k: F.col(f"{p}_{k}").cast("double")
+    c = lambda p, k: F.col(f"{p}{joint}{k}").cast("double")
     zero = F.lit(0.0)
     w = F.greatest(zero, F.least(c(a, "x2"), c(b, "x2")) - F.greatest(c(a, "x1"), c(b, "x1")))
     h = F.greatest(zero, F.least(c(a, "y2"), c(b, "y2")) - F.greatest(c(a, "y1"), c(b, "y1")))
@@ -79,17 +79,21 @@ def padded_box(x1: Column, y1: Column, x2: Column, y2: Column, width: Column, he
 
 
 def similarity_hint(p: Column, d: Column, corr: Column) -> Column:
-    """Three tiers of likeness by both hash distances and the correlation."""
-    return F.when((p <= 6) & (d <= 8) & (corr >= 0.98), "near_duplicate").when((p <= 12) & (d <= 14) & (corr >= 0.95), "similar").otherwise("unknown")
+    """What an unlabelled image may be, in three tiers of likeness to a labelled one (fixed values)."""
+    return F.when((p <= 6) & (d <= 8) & (corr >= 0.98), "possible_missing_json").when((p <= 12) & (d <= 14) & (corr >= 0.95), "possible_missing_annotation").otherwise("unknown")
 
 
 def tensor_category(name: Column) -> Column:
-    """What a named tensor is, by its suffix; the first rule that fits counts."""
+    """What a named tensor is, by its suffix; the first rule that fits counts (fixed values)."""
     return (
-        F.when(name.endswith("running_mean") | name.endswith("running_var"), "running_stat")
-        .when(name.endswith("num_batches_tracked"), "counter")
-        .when(name.endswith("bias"), "bias").when(name.endswith("weight"), "weight").otherwise("other")
-    )
+        F.when(name.endswith("running_mean"), "bn_running_mean")
+        .when(name.endswith("running_var"), "bn_running_var")
+        .when(name.endswith("num_batches_tracked"), "bn_num_batches_tracked")
+        .when(name.endswith(".conv.weight") | (name.endswith(".weight") & ~name.contains(".bn.")), "conv_weight")
+        .when(name.endswith(".bn.weight"), "bn_weight")
+        .when(name.endswith(".bn.bias"), "bn_bias")
+        .otherwise("other")
+    )
 
 
 def draw_probability(hard: Column, weight: Column, normal: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from gaugeflow.functions.exprs import bits_to_long, dot, hamming, total
 from gaugeflow.operators.ranking import global_place
-from gaugeflow.session import materialise, ship
+from gaugeflow.session import discard, materialise, ship
 
 
 def ranked_groups(members: DataFrame, key: str, member: str, prefix: str) -> DataFrame:
@@ -72,28 +72,47 @@ def pair_columns(both: DataFrame, key: str) -> DataFrame:
     return both.select(F.col(f"l_{key}").alias("left"), F.col(f"r_{key}").alias("right"), hamming(F.col("l_phash"), F.col("r_phash")).alias("phash_distance"), hamming(F.col("l_dhash"), F.col("r_dhash")).alias("dhash_distance"), dot(F.col("l_feature"), F.col("r_feature")).alias("correlation"))
 
 
-def near_pairs_blocked(prints: DataFrame, key: str, p_most: int, d_most: int, corr_least: float, block: int = 2048) -> DataFrame:
+BLOCK = 2048
+
+
+def met_blocks(a: DataFrame, b: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
+    """(i, j, a, b): every block of about ``block`` rows of ``a`` beside every block of ``b``, packed into arrays; of one table (``b`` left out) every two blocks once, i <= j.
+
+    Blocks are numbered beforehand and meet by their numbers, so no row travels alone and no side is broadcast. The work is that of all pairs, done in numpy;
+    what comes out of a meeting is left to the caller.
+    """
+    def packed(d: DataFrame) -> tuple[DataFrame, int]:
+        n = max(1, -(-d.count() // block))
+        d = d.withColumn("__block", F.pmod(F.xxhash64(F.col(d.columns[0])), F.lit(n)).cast("int"))
+        return materialise(d.groupBy("__block").agg(F.collect_list(F.struct(*[c for c in d.columns if c != "__block"])).alias("rows")), "blocks"), n
+
+    left, n = packed(a)
+    right, m = (left, n) if b is None else packed(b)
+    partners = F.sequence(F.col("__block") if b is None else F.lit(0), F.lit(m - 1))
+    asked = left.select(F.col("__block").alias("i"), F.col("rows").alias("a"), F.explode(partners).alias("j"))
+    return asked.join(right.select(F.col("__block").alias("j"), F.col("rows").alias("b")), "j").select("i", "j", "a", "b")
+
+
+def columns_of(rows: list[dict]) -> tuple[np.ndarray, ...]:
+    return np.array([r["key"] for r in rows], np.int64), np.array([r["phash"] for r in rows], np.int64), np.array([r["dhash"] for r in rows], np.int64), np.array([r["feature"] for r in rows], np.float64)
+
+
+def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count((a[:, None] ^ b[None]).view(np.uint64)).astype(np.int32)
+
+
+def near_pairs_blocked(prints: DataFrame, key: str, p_most: int, d_most: int, corr_least: float, block: int = BLOCK) -> DataFrame:
     """The same pairs by comparing blocks of rows: every two blocks meet in one task, and only the pairs that qualify come out."""
-    spark = prints.sparkSession
-    ship(spark)
-    n = prints.count()
-    blocks = max(1, -(-n // block))
-    d = prints.select(F.col(key).cast("long").alias("key"), "phash", "dhash", "feature").withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int"))
-    packed = d.groupBy("block").agg(F.collect_list(F.struct("key", "phash", "dhash", "feature")).alias("rows"))  # about ``block`` rows each
-    left, right = packed.select(F.col("block").alias("i"), F.col("rows").alias("a")), packed.select(F.col("block").alias("j"), F.col("rows").alias("b"))
-    both = left.join(right, F.col("i") <= F.col("j"))
-
-    def columns(rows: list[dict]) -> tuple[np.ndarray, ...]:
-        return np.array([r["key"] for r in rows], np.int64), np.array([r["phash"] for r in rows], np.int64), np.array([r["dhash"] for r in rows], np.int64), np.array([r["feature"] for r in rows], np.float64)
+    ship(prints.sparkSession)
+    both = met_blocks(prints.select(F.col(key).cast("long").alias("key"), "phash", "dhash", "feature"), block=block)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                ka, pa_, da, fa = columns(row["a"])
-                kb, pb, db, fb = columns(row["b"])
-                p = np.bitwise_count((pa_[:, None] ^ pb[None]).view(np.uint64)).astype(np.int32)
-                q = np.bitwise_count((da[:, None] ^ db[None]).view(np.uint64)).astype(np.int32)
-                corr = fa @ fb.T
+            for n in range(len(batch)):
+                row = batch.slice(n, 1).to_pylist()[0]
+                ka, pa_, da, fa = columns_of(row["a"])
+                kb, pb, db, fb = columns_of(row["b"])
+                p, q, corr = differing(pa_, pb), differing(da, db), fa @ fb.T
                 ok = (p <= p_most) & (q <= d_most) & (corr >= corr_least)
                 ok &= (ka[:, None] < kb[None]) if row["i"] == row["j"] else (ka[:, None] != kb[None])
                 x, y = np.nonzero(ok)
@@ -103,13 +122,31 @@ def near_pairs_blocked(prints: DataFrame, key: str, p_most: int, d_most: int, co
     return both.mapInArrow(run, "left long, right long, phash_distance int, dhash_distance int, correlation double")
 
 
-def nearest(queries: DataFrame, candidates: DataFrame, key: str) -> DataFrame:
-    """Each query's candidate of highest correlation (ties to the smaller key) with both hash distances. Queries are the small side and meet all candidates in place."""
-    q = queries.select(*[F.col(c).alias(f"l_{c}") for c in queries.columns])
-    c = candidates.select(*[F.col(c).alias(f"r_{c}") for c in candidates.columns])
-    both = pair_columns(q.crossJoin(c), key)
+def nearest(queries: DataFrame, candidates: DataFrame, key: str, block: int = BLOCK) -> DataFrame:
+    """Each query's candidate, other than itself, of highest correlation (equal to twelve digits: the smaller key) with both hash distances.
+
+    Blocks of queries meet blocks of candidates, and of each meeting one row a query comes out.
+    """
+    ship(queries.sparkSession)
+    named = lambda d: d.select(F.col(key).cast("long").alias("key"), "phash", "dhash", "feature")
+    both = met_blocks(named(queries), named(candidates), block)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n in range(len(batch)):
+                row = batch.slice(n, 1).to_pylist()[0]
+                ka, pa_, da, fa = columns_of(row["a"])
+                kb, pb, db, fb = columns_of(sorted(row["b"], key=lambda r: r["key"]))
+                corr = np.round(fa @ fb.T, 12)
+                corr[ka[:, None] == kb[None]] = -np.inf
+                y = corr.argmax(1)  # the first of equals has the smallest key
+                x = np.flatnonzero(corr[np.arange(len(ka)), y] > -np.inf)
+                y = y[x]
+                yield pa.RecordBatch.from_arrays([pa.array(ka[x]), pa.array(kb[y]), pa.array(np.bitwise_count((pa_[x] ^ pb[y]).view(np.uint64)).astype(np.int32)), pa.array(np.bitwise_count((da[x] ^ db[y]).view(np.uint64)).astype(np.int32)), pa.array(corr[x, y])], ["left", "right", "phash_distance", "dhash_distance", "correlation"])
+
+    found = both.mapInArrow(run, "left long, right long, phash_distance int, dhash_distance int, correlation double")
     best = F.max_by(F.struct("right", "phash_distance", "dhash_distance", "correlation"), F.struct("correlation", -F.col("right")))
-    return both.groupBy("left").agg(best.alias("b")).select("left", "b.*")
+    return found.groupBy("left").agg(best.alias("b")).select("left", "b.*")
 
 
 def components(edges: DataFrame, a: str = "left", b: str = "right") -> DataFrame:
@@ -120,14 +157,17 @@ def components(edges: DataFrame, a: str = "left", b: str = "right") -> DataFrame
     both = edges.select(F.col(a).alias("a"), F.col(b).alias("b"))
     both = materialise(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = materialise(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("member"), F.least("a", "m").alias("component")), "labels")
+    labels_table = labels
     while True:
         near = both.join(labels.select(F.col("member").alias("b"), F.col("component").alias("c")), "b").groupBy("a").agg(F.min("c").alias("c"))
         step = labels.join(near, labels["member"] == near["a"]).select("member", F.col("component").alias("old"), F.least("component", "c").alias("component"))
         jump = labels.select(F.col("member").alias("component"), F.col("component").alias("to"))
         new = materialise(step.join(jump, "component", "left").select("member", "old", F.least("component", F.coalesce("to", "component")).alias("component")), "labels")
         done = new.where(F.col("old") != F.col("component")).isEmpty()
-        labels = new.select("member", "component")
+        discard(labels_table)
+        labels_table, labels = new, new.select("member", "component")
         if done:
+            discard(both)
             return labels
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -37,15 +37,34 @@ def expectations(checks: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def freeze_checks(manifest: DataFrame, labels: DataFrame, stem: str = "stem", split: str = "split", sha: str = "sha256", group: str = "group_id") -> dict[str, DataFrame]:
-    """The tables that must be empty before a split is frozen."""
-    keys = lambda k: manifest.groupBy(k).agg(F.countDistinct(split).alias("n")).where(F.col("n") > 1)
+def freeze_checks(manifest: DataFrame, lines: DataFrame, covered: DataFrame, classes: list, stem: str = "stem", split: str = "split", sha: str = "sha256", group: str = "group_id") -> dict[str, DataFrame]:
+    """The tables that must be empty before a split is frozen, by the type of issue (fixed values).
+
+    ``lines`` are parsed label lines (stem, split, class_id, problem), ``covered`` the classes (class_id) that the check sample shows.
+    """
+    leak = lambda k: manifest.groupBy(k).agg(F.countDistinct(split).alias("n")).where(F.col("n") > 1)
+    per = manifest.groupBy(split).agg(F.countDistinct(stem).alias("images"))
+    labels = lines.groupBy(split).agg(F.countDistinct(stem).alias("labels"))
+    pairs = per.join(labels, split, "full_outer").where(~F.col("images").eqNullSafe(F.col("labels")))
+    wanted = manifest.sparkSession.createDataFrame([(c,) for c in classes], "class_id int")
     return {
-        "missing_label": manifest.join(labels.select(stem).distinct(), stem, "left_anti"), "orphan_label": labels.join(manifest.select(stem), stem, "left_anti"),
-        "sha_leak": keys(sha), "group_leak": keys(group), "repeated_stem": manifest.groupBy(stem).agg(F.count("*").alias("n")).where(F.col("n") > 1),
+        "pair_count": pairs, "missing_label": manifest.join(lines.select(stem).distinct(), stem, "left_anti"), "invalid_label": lines.where(F.col("problem").isNotNull()).select(stem).distinct(),
+        "sha256_leakage": leak(sha), "group_leakage": leak(group), "overlay_class_coverage": wanted.join(covered.select(F.col("class_id").cast("int").alias("class_id")).distinct(), "class_id", "left_anti"),
     }
 
 
+def gate_chain(observed: DataFrame, gates: list[tuple[str, str, object]]) -> DataFrame:
+    """(place, gate, expected, found, status) of a chain of equalities over one row of facts: passed, failed, or not_reached after the first that failed. ``gates`` are (name, column, expected).
+
+    A fact that is null fails its gate.
+    """
+    facts = F.array(*[F.struct(F.lit(i).alias("place"), F.lit(name).alias("gate"), F.lit(str(want)).alias("expected"), F.col(column).cast("string").alias("found")) for i, (name, column, want) in enumerate(gates)])
+    d = observed.limit(1).select(F.explode(facts).alias("x")).select("x.*").withColumn("ok", F.coalesce(F.col("found") == F.col("expected"), F.lit(False)))
+    first = F.min(F.when(~F.col("ok"), F.col("place"))).over(Window.partitionBy())  # as many rows as gates
+    status = F.when(first.isNull() | (F.col("place") < first), "passed").when(F.col("place") == first, "failed").otherwise("not_reached")
+    return d.select("place", "gate", "expected", "found", status.alias("status"))
+
+
 def reproduction(a: DataFrame, b: DataFrame, epoch: str, columns: list[str]) -> DataFrame:
     """Epochs of two curves whose patterns of non-finite columns differ, or which only one has."""
     bad = lambda d, n: d.select(epoch, F.sort_array(F.filter(F.array(*[F.when(F.isnan(F.col(c).cast("double")) | (F.abs(F.col(c).cast("double")) == float("inf")), F.lit(c)) for c in columns]), lambda x: x.isNotNull())).alias(n))

@@ -43,6 +43,11 @@ def well_formed(q: Column) -> Column:
     return q.isNotNull() & (F.size(q) == 2) & F.forall(q, finite)
 
 
+def structured(q: Column) -> Column:
+    """Whether an entry is a point at all: two coordinates at least, finite or not."""
+    return q.isNotNull() & (F.size(q) >= 2) & F.get(q, F.lit(0)).isNotNull() & F.get(q, F.lit(1)).isNotNull()
+
+
 def changes(p: Column) -> Column:
     """Points that differ from the one before."""
     return F.filter(p, lambda a, i: (i == 0) | ~a.eqNullSafe(F.get(p, i - 1)))
@@ -102,7 +107,7 @@ def canonical(label: Column, p: Column, digits: int = 6) -> Column:
     """One key for all rotations and both directions of a polygon, prefixed by the label. Coordinates are rounded half to even."""
     q = F.transform(p, lambda a: F.struct(F.bround(a["x"], digits).alias("x"), F.bround(a["y"], digits).alias("y")))
     n = F.size(p)
-    turned = lambda r: F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.slice(r, i, n - i + 1), F.slice(r, F.lit(1), i - 1)))
+    turned = lambda r: F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.concat(F.slice(r, i, F.greatest(n - i + 1, F.lit(0))), F.slice(r, F.lit(1), i - 1)))
     least = F.array_min(F.concat(turned(q), turned(F.reverse(q))))
     return F.concat_ws("|", label, F.array_join(F.transform(least, lambda a: F.concat_ws(",", a["x"].cast("string"), a["y"].cast("string"))), ";"))
 
@@ -112,30 +117,45 @@ def repeated(rows: DataFrame, document: str, key: str, order: str) -> DataFrame:
     return rows.withColumn("occurrence", F.row_number().over(Window.partitionBy(document, key).orderBy(order))).where(F.col("occurrence") > 1)
 
 
-def with_issues(rows: DataFrame, raw: str, label: str, shape_type: str, width: str, height: str, known: list[str], repeated_: Column | None = None) -> DataFrame:
-    """Adds ``issues``, the sorted array of a shape's issues. What several issues use is computed once, in projections of its own."""
-    d = rows.withColumn("__good", F.filter(raw, well_formed))
-    d = d.withColumns({"__pts": as_points(F.col("__good")), "__dropped": F.size(raw) - F.size("__good")})
+def with_issues(rows: DataFrame, raw: str, label: str, shape_type: str, width: str, height: str, document: str, order: str) -> DataFrame:
+    """Adds ``issues``, the array of a shape's issues in the order of the checks (names are fixed values). What several issues use is computed once, in projections of its own.
+
+    Malformed and non-finite points are left out before the other checks. Fewer than three distinct points and no area are raised apart. Without a known
+    width and height nothing is out of bounds. A polygon equal to an earlier one of its document (by label, any rotation and direction) is a duplicate.
+    """
+    pair = F.filter(F.coalesce(F.col(raw), F.array().cast("array<array<double>>")), structured)
+    d = rows.withColumn("__pairs", pair).withColumn("__good", F.filter("__pairs", lambda q: F.forall(F.slice(q, 1, 2), finite)))
+    d = d.withColumns({"__pts": as_points(F.col("__good")), "__invalid": F.when(F.col(raw).isNull(), 1).otherwise(F.size(raw) - F.size("__pairs")), "__infinite": F.size("__good") < F.size("__pairs")})
     d = d.withColumn("__new", changes(F.col("__pts"))).withColumn("__p", opened(F.col("__new")))
-    d = d.withColumns({"__area": area(F.col("__p")), "__box": bounds(F.col("__p")), "__n": F.size("__p")})
-    inside = (F.col("__box.x1") >= 0) & (F.col("__box.y1") >= 0) & (F.col("__box.x2") <= F.col(width)) & (F.col("__box.y2") <= F.col(height))
-    found = F.array(
-        F.when(F.col(label).isNull() | ~F.col(label).isin(*known), "unknown_label"), F.when(F.col(shape_type) != "polygon", "not_polygon"), F.when(F.col(raw).isNull(), "points_missing"),
-        F.when(F.col("__dropped") > 0, "malformed_point"), F.when(F.col("__n") < 3, "too_few_points"), F.when((F.col("__n") >= 3) & (F.col("__area") <= 1e-12), "zero_area"),
-        F.when((F.col("__n") > 0) & ~inside, "out_of_bounds"), F.when(self_intersects(F.col("__p")), "self_intersection"),
-        F.when(F.col("__n") + F.col("__dropped") < F.size(raw), "repeated_point"), F.when(repeated_, "duplicate_polygon") if repeated_ is not None else F.lit(None).cast("string"),
-    )
-    return d.withColumn("issues", F.sort_array(F.filter(found, lambda x: x.isNotNull()))).select(*rows.columns, "issues")
+    d = d.withColumns({"__area": area(F.col("__p")), "__box": bounds(F.col("__p")), "__key": canonical(F.coalesce(F.col(label), F.lit("")), F.col("__p"))})
+    d = d.withColumn("__occurrence", F.row_number().over(Window.partitionBy(document, "__key").orderBy(order)))
+    outside = (F.col("__box.x1") < 0) | (F.col("__box.y1") < 0) | (F.col("__box.x2") > F.col(width)) | (F.col("__box.y2") > F.col(height))
+    checks = {
+        "non_polygon_shape": F.col(shape_type).isNull() | (F.col(shape_type) != "polygon"),
+        "empty_label": F.coalesce(F.col(label), F.lit("")) == "",
+        "nan_or_inf_coordinate": F.col("__infinite"),
+        "invalid_point_structure": F.col("__invalid") > 0,
+        "fewer_than_3_unique_points": F.size(F.array_distinct("__p")) < 3,
+        "zero_area_polygon": F.col("__area") <= 0,
+        "self_intersection": self_intersects(F.col("__p")),
+        "polygon_out_of_bounds": outside,
+        "duplicate_polygon": F.col("__occurrence") > 1,
+    }
+    found = F.array(*[F.when(fits, name) for name, fits in checks.items()])
+    return d.withColumn("issues", F.filter(found, lambda x: x.isNotNull())).select(*rows.columns, "issues")
 
 
 def reject(raw: Column, shape_type: Column, width: Column, height: Column) -> Column:
-    """Why a shape cannot be converted, first reason; null if it can."""
+    """Why a shape cannot be converted, first reason (fixed values); null if it can."""
     p = clean_strict(raw)
-    box = bounds(p)
+    outside = lambda box, w, h: (box["x1"] < 0) | (box["y1"] < 0) | (box["x2"] > w) | (box["y2"] > h)
     return (
-        F.when(shape_type != "polygon", "non_polygon").when(F.size(p) < 3, "too_few_points").when(area(p) <= 1e-12, "degenerate")
-        .when((box["x1"] < 0) | (box["y1"] < 0) | (box["x2"] > width) | (box["y2"] > height), "out_of_bounds")
-    )
+        F.when(shape_type.isNull() | (shape_type != "polygon"), "non_polygon")
+        .when(F.coalesce(F.size(p), F.lit(0)) < 3, "fewer_than_3_valid_points")
+        .when(area(p) <= 0, "degenerate_polygon")
+        .when(outside(bounds(p), width, height), "coordinate_out_of_bounds")
+        .when(outside(bounds(normalised(p, width, height)), F.lit(1.0), F.lit(1.0)), "normalized_out_of_range")
+    )
 
 
 def normalised(p: Column, width: Column, height: Column) -> Column:
@@ -151,7 +171,7 @@ def centroid_spread(rows: DataFrame, group: str, image: str, x: str, y: str, clo
     means = rows.groupBy(group, image).agg(F.avg(x).alias("x"), F.avg(y).alias("y"))
     arrays = means.groupBy(group).agg(F.collect_list(F.struct("x", "y")).alias("p"))
     spread = F.array_max(F.transform("p", lambda a: F.array_max(F.transform("p", lambda b: F.hypot(a["x"] - b["x"], a["y"] - b["y"])))))
-    return arrays.select(group, spread.alias("spread"), F.when(spread <= close, "LIKELY").otherwise("UNCLEAR").alias("hint"))
+    return arrays.select(group, spread.alias("spread"), F.when(spread <= close, "LIKELY").otherwise("UNCERTAIN").alias("hint"))
 
 
 def rasterise(points: list[tuple[float, float]], width: int, height: int) -> np.ndarray:

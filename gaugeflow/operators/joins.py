@@ -66,3 +66,20 @@ def split_order(splits: list[str], split: str, stem: str) -> list:
 def first_per(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
     """The first row of each key in the order."""
     return rows.withColumn("__i", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("__i") == 1).drop("__i")
+
+
+def zipped(a: DataFrame, b: DataFrame, ordinal: str) -> DataFrame:
+    """Rows of two sides by their ordinal, strictly: one that only one side has, or that a side has twice, stops the query. No count of either side is needed beforehand."""
+    once = lambda d: d.select(F.col(ordinal), F.struct(*[c for c in d.columns if c != ordinal]).alias("__v")).groupBy(ordinal).agg(F.count("*").alias("__n"), F.first("__v").alias("__v"))
+    d = once(a).select(ordinal, F.col("__n").alias("__na"), F.col("__v").alias("__a")).join(once(b).select(ordinal, F.col("__n").alias("__nb"), F.col("__v").alias("__b")), ordinal, "full_outer")
+    ok = F.coalesce((F.col("__na") == 1) & (F.col("__nb") == 1), F.lit(False))
+    return d.where(F.when(~ok, F.raise_error(F.concat(F.lit("no one partner at ordinal "), F.coalesce(F.col(ordinal).cast("string"), F.lit("null")))).cast("boolean")).otherwise(F.lit(True))).select(ordinal, "__a.*", "__b.*")
+
+
+def subset_groups(members: DataFrame, group: str, labels: str) -> DataFrame:
+    """Per group whether one member's label set is a proper subset of another's; empty sets count for nothing. Members meet by their distinct sets only, of which a group has few."""
+    sets = members.select(group, F.array_sort(F.array_distinct(F.filter(labels, lambda x: x.isNotNull()))).alias("s")).where(F.size("s") > 0)
+    per = sets.groupBy(group).agg(F.collect_set("s").alias("sets"))
+    proper = lambda a, b: (F.size(F.array_except(a, b)) == 0) & (F.size(b) > F.size(a))
+    found = per.select(group, F.exists("sets", lambda a: F.exists("sets", lambda b: proper(a, b))).alias("subset_relation"))
+    return members.select(group).distinct().join(found, group, "left").na.fill(False, ["subset_relation"])

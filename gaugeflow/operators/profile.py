@@ -11,16 +11,16 @@ from gaugeflow.operators.ranking import global_place
 DESCRIBE = (0.25, 0.5, 0.75, 0.9, 0.95)
 
 
-def class_statistics(instances: DataFrame, image: str, label: str, area: str, tiny: float) -> DataFrame:
-    """Per class: images, instances, their shares, tiny instances and the median area. The totals are one row."""
+def class_statistics(instances: DataFrame, image: str, label: str, area: str, tiny: float, medians: tuple[str, ...] = ()) -> DataFrame:
+    """Per class: images, instances, their shares, tiny instances, the median area and the medians of further columns (vertices, relative area, aspect). The totals are one row."""
     per = instances.groupBy(F.col(label).alias("class")).agg(
         F.countDistinct(image).alias("images"), F.count("*").alias("instances"),
-        F.count_if(F.col(area) < tiny).alias("tiny"), F.median(area).alias("median_area"),
+        F.count_if(F.col(area) < tiny).alias("tiny"), F.median(area).alias("median_area"), *[F.median(c).alias(f"median_{c}") for c in medians],
     )
     totals = instances.agg(F.countDistinct(image).alias("all_images"), F.count("*").alias("all_instances"))
     return per.crossJoin(F.broadcast(totals)).select(
         "class", "images", "instances", ratio(F.col("images"), F.col("all_images")).alias("image_share"),
-        ratio(F.col("instances"), F.col("all_instances")).alias("instance_share"), "tiny", ratio(F.col("tiny"), F.col("instances")).alias("tiny_share"), "median_area",
+        ratio(F.col("instances"), F.col("all_instances")).alias("instance_share"), "tiny", ratio(F.col("tiny"), F.col("instances")).alias("tiny_share"), "median_area", *[f"median_{c}" for c in medians],
     )
 
 
@@ -90,14 +90,73 @@ def field_profile(rows: DataFrame, json: str) -> DataFrame:
     return d.withColumn("kind", kind).groupBy("key", "kind").agg(F.count("*").alias("n"), F.countDistinct("value").alias("n_values"), F.min(F.length("value")).alias("shortest"), F.max(F.length("value")).alias("longest"))
 
 
-def language_audit(docs: DataFrame, text: str) -> DataFrame:
-    """Class of a text by its wide characters against its Latin words, and what to do with it. CJK characters are U+4E00 to U+9FFF."""
-    wide = F.regexp_count(text, F.lit("[一-鿿]"))
-    latin = F.regexp_count(text, F.lit("[A-Za-z]{3,}"))
-    d = docs.withColumns({"n_wide": wide.cast("long"), "n_latin": latin.cast("long")})
-    share = ratio(F.col("n_latin"), F.col("n_latin") + F.col("n_wide"))
-    kind = F.when(share >= 0.8, "latin").when(share <= 0.2, "wide").otherwise("mixed")
-    return d.withColumn("kind", kind).withColumn("action", F.when(F.col("kind") == "mixed", "review").when(F.col("kind") == "wide", "keep").otherwise("translate"))
+#: Kinds of documents by their path, in small letters (fixed values).
+AUTHORITATIVE = r"docs/(exp\d|handoffs/|project_state|decision_log|historical_methods)|changelog"
+SUMMARY = r"review|timeline|takeaways|index|final_|paper|readme|roadmap|project_scope"
+
+
+def language_audit(docs: DataFrame, text: str, path: str, rewritten: list[str] | None = None) -> DataFrame:
+    """Language of each document by its CJK characters (U+3400 to U+9FFF) against its Latin tokens, its kind by its path, and what to do with it (names and limits are fixed values).
+
+    A text without either is mixed. ``rewritten`` names summaries that are rewritten whatever their language. Adds n_zh, n_en, language, document_type, needs_translation, needs_rewrite, action.
+    """
+    d = docs.withColumns({"n_zh": F.regexp_count(F.col(text), F.lit("[\u3400-\u9fff]")).cast("long"), "n_en": F.regexp_count(F.col(text), F.lit("[A-Za-z][A-Za-z0-9_.+-]*")).cast("long")})
+    total = F.greatest(F.lit(1), F.col("n_zh") + F.col("n_en"))
+    zh, en, lower = F.col("n_zh") / total, F.col("n_en") / total, F.lower(path)
+    d = d.withColumn("language", F.when(zh >= 0.70, "zh-dominant").when(en >= 0.70, "en-dominant").otherwise("mixed"))
+    authoritative, summary = F.regexp_like(lower, F.lit(AUTHORITATIVE)), F.regexp_like(lower, F.lit(SUMMARY))
+    d = d.withColumn("document_type", F.when(authoritative, "authoritative_experiment_or_gate").when(summary, "project_summary").otherwise("supporting_document"))
+    d = d.withColumns({"needs_translation": (authoritative | summary) & (en > 0.45), "needs_rewrite": summary & ((en > 0.30) | F.col(path).isin(*(rewritten or [])))})
+    action = (
+        F.when(F.col("needs_translation") & authoritative, "keep_original_create_zh_companion")
+        .when(F.col("needs_rewrite"), "keep_original_create_full_zh_reorganization")
+        .when(authoritative | summary, "keep_original_reference_from_zh_hub")
+        .otherwise("keep_original_and_index")
+    )
+    return d.withColumn("action", action)
+
+
+def name_counts(rows: DataFrame, stem: str) -> DataFrame:
+    """(kind, name, n): names that are all digits (kind numeric, null name), and prefixes of names that end in a number, with a _ or - before it left out (kind prefix). Digits are ASCII."""
+    prefix = F.regexp_extract(F.col(stem), r"^(.*?)(?:[_-]?[0-9]+)$", 1)
+    kinds = F.array(F.struct(F.lit("numeric").alias("kind"), F.lit(None).cast("string").alias("name"), F.col(stem).rlike(r"^[0-9]+$").alias("ok")), F.struct(F.lit("prefix").alias("kind"), prefix.alias("name"), (prefix != "").alias("ok")))
+    return rows.select(F.explode(kinds).alias("x")).select("x.*").where("ok").groupBy("kind", "name").agg(F.count("*").alias("n"))
+
+
+def of_split(rows: DataFrame, split: str, wanted: str, known: tuple[str, ...] = ("train", "val", "test")) -> DataFrame:
+    """The rows of one split. A row of an unknown split stops the query as it is read, whatever is wanted."""
+    if wanted not in known:
+        raise ValueError(f"unknown split {wanted!r}")
+    ok = F.coalesce(F.col(split).isin(*known), F.lit(False))
+    kept = F.when(~ok, F.raise_error(F.concat(F.lit("unknown split "), F.coalesce(F.col(split).cast("string"), F.lit("null")))).cast("boolean")).otherwise(F.col(split) == wanted)
+    return rows.where(kept)
+
+
+def value_profile(rows: DataFrame, json: str, field: str, k: int = 50) -> DataFrame:
+    """Of one field of JSON documents: (part, value, n) with part type (missing without the field), length of strings, arrays and objects, and the ``k`` most frequent values (items of arrays), ties to the smaller value."""
+    v = F.try_variant_get(F.try_parse_json(json), f"$.{field}", "variant")
+    kind = F.when(v.isNull(), "missing").otherwise(F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0))
+    d = rows.select(v.alias("v"), kind.alias("type")).withColumn("type", F.when(F.col("type") == "VOID", "null").otherwise(F.lower("type")))
+    text = F.col("v").cast("string")
+    items = F.when(F.col("type") == "array", F.col("v").cast("array<string>"))
+    d = d.withColumns({"items": items, "text": text})
+    size = F.when(F.col("type") == "array", F.size("items")).when(F.col("type") == "string", F.length("text")).when(F.col("type") == "object", F.size(F.json_object_keys("text")))
+    part = lambda d, name, value: d.groupBy(value.cast("string").alias("value")).agg(F.count("*").alias("n")).select(F.lit(name).alias("part"), "value", "n")
+    values = d.where(F.col("type") != "missing").select(F.explode(F.coalesce("items", F.array("text"))).alias("value"))
+    top = part(values, "value", F.col("value")).orderBy(F.col("n").desc(), F.col("value").asc_nulls_last()).limit(k)
+    return part(d, "type", F.col("type")).unionByName(part(d.where(size.isNotNull()), "length", size)).unionByName(top)
+
+
+def version_profile(documents: DataFrame, version: str, labels: str, path: str, stem: str) -> DataFrame:
+    """(version, part, value, n, lowest, highest): per version its documents, instances of each label, documents of each file suffix, and count, least and greatest of all-digit stems. A null version is <missing>."""
+    d = documents.withColumn("__v", F.coalesce(F.col(version).cast("string"), F.lit("<missing>")))
+    null = F.lit(None).cast("long")
+    count = lambda d, part, value: d.groupBy(F.col("__v").alias("version"), value.alias("value")).agg(F.count("*").alias("n")).select("version", F.lit(part).alias("part"), "value", "n", null.alias("lowest"), null.alias("highest"))
+    none = F.lit(None).cast("string")
+    numbers = d.where(F.col(stem).rlike("^[0-9]+$")).groupBy(F.col("__v").alias("version")).agg(F.count("*").alias("n"), F.min(F.col(stem).cast("long")).alias("lowest"), F.max(F.col(stem).cast("long")).alias("highest"))
+    numbers = numbers.select("version", F.lit("stem").alias("part"), none.alias("value"), "n", "lowest", "highest")
+    suffix = F.lower(F.regexp_extract(F.col(path), r"(\.[^./\\]+)$", 1))
+    return count(d, "documents", none).unionByName(count(d.select("__v", F.explode(labels).alias("l")), "label", F.coalesce(F.col("l"), F.lit("")))).unionByName(count(d, "suffix", suffix)).unionByName(numbers)
 
 
 def presence(c: Column) -> Column:

@@ -12,45 +12,49 @@ ITEMS = """
 items AS (
   SELECT l_orderkey AS image, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) - 1 AS gi,
          l_linenumber AS n, l_partkey AS p, l_suppkey AS s, l_quantity AS q, round(100 * l_discount) AS disc
-  FROM lineitem WHERE l_orderkey % 4 = 0
+  FROM lineitem
 )"""
 
+# All pairs of an image are formed here, overlapping or not, as the definitions of the taxonomies read.
 BOX = ITEMS + """,
 gt AS (
-  SELECT image, gi AS gt, n % 3 AS cls, 10 * q AS x1, 10 * disc AS y1, 10 * q + 20 + p % 40 AS x2, 10 * disc + 20 + s % 40 AS y2 FROM items
+  SELECT image, gi AS gt, n % 3 AS cls, 10 * q AS x1, 10 * disc AS y1, 10 * q + 20 + p % 40 AS x2, 10 * disc + 20 + s % 40 AS y2,
+         10 * q AS mx1, 10 * disc AS my1, 10 * q + 20 + p % 40 - p % 7 AS mx2, 10 * disc + 20 + s % 40 AS my2 FROM items
 ), pr0 AS (
   SELECT image, gi AS pred, (n + CASE WHEN p % 10 = 0 THEN 1 ELSE 0 END) % 3 AS cls, ((31 * p + 17 * s + 7 * n) % 1000)::DOUBLE / 1000 AS conf,
-         10 * q + p % 7 - 3 + CASE WHEN s % 13 = 0 THEN 200 ELSE 0 END AS x1, 10 * disc + s % 5 - 2 AS y1, 20 + p % 40 + 4 * (n % 3) AS w, 20 + s % 40 AS h
+         10 * q + p % 7 - 3 + CASE WHEN s % 13 = 0 THEN 200 ELSE 0 END AS x1, 10 * disc + s % 5 - 2 AS y1, 20 + p % 40 + 4 * (n % 3) AS w, 20 + s % 40 AS h, s, n
   FROM items WHERE p % 11 <> 0
 ), pr AS (
-  SELECT image, pred, cls, conf, x1, y1, x1 + w AS x2, y1 + h AS y2 FROM pr0
+  SELECT image, pred, cls, conf, x1, y1, x1 + w AS x2, y1 + h AS y2, x1 + s % 3 AS mx1, y1 AS my1, x1 + w AS mx2, y1 + h - n % 4 AS my2 FROM pr0
 ), inter AS (
   SELECT g.image, gt, pred, g.cls AS gt_cls, p.cls AS pred_cls, conf,
-         (least(g.x2, p.x2) - greatest(g.x1, p.x1)) * (least(g.y2, p.y2) - greatest(g.y1, p.y1)) AS common,
-         (g.x2 - g.x1) * (g.y2 - g.y1) + (p.x2 - p.x1) * (p.y2 - p.y1) AS areas
-  FROM gt g JOIN pr p ON g.image = p.image AND g.x1 < p.x2 AND p.x1 < g.x2 AND g.y1 < p.y2 AND p.y1 < g.y2
+         greatest(0, least(g.x2, p.x2) - greatest(g.x1, p.x1)) * greatest(0, least(g.y2, p.y2) - greatest(g.y1, p.y1)) AS box_common,
+         (g.x2 - g.x1) * (g.y2 - g.y1) + (p.x2 - p.x1) * (p.y2 - p.y1) AS box_areas,
+         greatest(0, least(g.mx2, p.mx2) - greatest(g.mx1, p.mx1)) * greatest(0, least(g.my2, p.my2) - greatest(g.my1, p.my1)) AS mask_common,
+         (g.mx2 - g.mx1) * (g.my2 - g.my1) + (p.mx2 - p.mx1) * (p.my2 - p.my1) AS mask_areas
+  FROM gt g JOIN pr p ON g.image = p.image
 ), cand AS (
-  SELECT image, gt, pred, gt_cls, pred_cls, conf, common / (areas - common) AS iou FROM inter
+  SELECT image, gt, pred, gt_cls, pred_cls, conf, mask_common / (mask_areas - mask_common) AS mask_iou, box_common / (box_areas - box_common) AS box_iou FROM inter
 )"""
 
 
 def greedy(name: str, source: str, keys: str = "image", where: str = "gt_cls = pred_cls") -> str:
-    """CTEs that end in ``name``: the matches of ``source`` by a walk in order of (iou, gt, pred) downwards."""
+    """CTEs that end in ``name``: the matches of ``source`` by a walk in order of (mask_iou, gt, pred) downwards."""
     join = " AND ".join(f"r.{k.strip()} = c.{k.strip()}" for k in keys.split(","))
     rkeys = ", ".join(f"r.{k.strip()}" for k in keys.split(","))
     return f"""
 {name}_o AS (
-  SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY iou DESC, gt DESC, pred DESC) AS k FROM {source} WHERE iou >= 0.5 AND {where}
+  SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY mask_iou DESC, gt DESC, pred DESC) AS k FROM {source} WHERE mask_iou >= 0.5 AND {where}
 ), {name}_r AS (
-  SELECT DISTINCT {keys}, 0::BIGINT AS k, []::BIGINT[] AS ug, []::BIGINT[] AS up, false AS ok, NULL::BIGINT AS gt, NULL::BIGINT AS pred, NULL::BIGINT AS gt_cls, NULL::BIGINT AS pred_cls, NULL::DOUBLE AS conf, NULL::DOUBLE AS iou FROM {name}_o
+  SELECT DISTINCT {keys}, 0::BIGINT AS k, []::BIGINT[] AS ug, []::BIGINT[] AS up, false AS ok, NULL::BIGINT AS gt, NULL::BIGINT AS pred, NULL::BIGINT AS gt_cls, NULL::BIGINT AS pred_cls, NULL::DOUBLE AS conf, NULL::DOUBLE AS mask_iou, NULL::DOUBLE AS box_iou FROM {name}_o
   UNION ALL
   SELECT {rkeys}, c.k,
          CASE WHEN list_contains(ug, c.gt) OR list_contains(up, c.pred) THEN ug ELSE list_append(ug, c.gt) END,
          CASE WHEN list_contains(ug, c.gt) OR list_contains(up, c.pred) THEN up ELSE list_append(up, c.pred) END,
-         NOT (list_contains(ug, c.gt) OR list_contains(up, c.pred)), c.gt, c.pred, c.gt_cls, c.pred_cls, c.conf, c.iou
+         NOT (list_contains(ug, c.gt) OR list_contains(up, c.pred)), c.gt, c.pred, c.gt_cls, c.pred_cls, c.conf, c.mask_iou, c.box_iou
   FROM {name}_r r JOIN {name}_o c ON {join} AND c.k = r.k + 1
 ), {name} AS (
-  SELECT {keys}, gt, pred, gt_cls, pred_cls, conf, iou FROM {name}_r WHERE ok
+  SELECT {keys}, gt, pred, gt_cls, pred_cls, conf, mask_iou, box_iou FROM {name}_r WHERE ok
 )"""
 
 
@@ -60,16 +64,18 @@ def boxed(*parts: str) -> str:
 
 FN = """
 missed AS (SELECT g.image, g.gt, g.cls FROM gt g WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.image = g.image AND b.gt = g.gt)),
-picks AS (
-  SELECT image, gt,
-    max(CASE WHEN gt_cls = pred_cls AND iou >= 0.5 AND conf < {low} THEN {{'iou': iou, 'pred': pred, 'conf': conf}} END) AS low,
-    max(CASE WHEN gt_cls <> pred_cls AND iou >= 0.5 THEN {{'iou': iou, 'pred': pred, 'conf': conf}} END) AS wrong,
-    max(CASE WHEN gt_cls = pred_cls THEN {{'iou': iou, 'pred': pred, 'conf': conf}} END) AS near
-  FROM cand WHERE {where} GROUP BY image, gt
-), fn AS (
-  SELECT m.image, m.gt, m.cls, coalesce(low, wrong, near) AS chosen,
-    CASE WHEN low IS NOT NULL THEN 'LOW_CONF_RECOVERABLE' WHEN wrong IS NOT NULL THEN 'WRONG_CLASS' WHEN near IS NOT NULL THEN 'LOCALIZATION_FAILURE' ELSE 'NO_RESPONSE' END AS category
-  FROM missed m LEFT JOIN picks p ON m.image = p.image AND m.gt = p.gt
+seen AS (SELECT m.cls, c.* FROM missed m JOIN cand c ON m.image = c.image AND m.gt = c.gt WHERE {where}),
+recover AS (SELECT *, row_number() OVER (PARTITION BY image, gt ORDER BY mask_iou DESC, pred) AS k FROM seen WHERE pred_cls = cls AND mask_iou >= 0.5 AND conf < {low}),
+spatial AS (SELECT *, row_number() OVER (PARTITION BY image, gt ORDER BY greatest(mask_iou, box_iou) DESC, pred) AS k FROM seen WHERE pred_cls <> cls AND (mask_iou >= 0.5 OR box_iou >= 0.5)),
+same AS (SELECT *, row_number() OVER (PARTITION BY image, gt ORDER BY mask_iou DESC, pred) AS k FROM seen WHERE pred_cls = cls),
+ruled AS (
+  SELECT image, gt, 1 AS rule, 'LOW_CONF_RECOVERABLE' AS category, pred, conf, mask_iou, box_iou FROM recover WHERE k = 1
+  UNION ALL SELECT image, gt, 2, 'WRONG_CLASS', pred, conf, mask_iou, box_iou FROM spatial WHERE k = 1
+  UNION ALL SELECT image, gt, 3, 'LOCALIZATION_FAILURE', pred, conf, mask_iou, box_iou FROM same WHERE k = 1
+), first_rule AS (SELECT *, row_number() OVER (PARTITION BY image, gt ORDER BY rule) AS k FROM ruled),
+fn AS (
+  SELECT m.image, m.gt, m.cls, coalesce(category, 'NO_RESPONSE') AS category, pred, conf, mask_iou, box_iou
+  FROM missed m LEFT JOIN first_rule r ON m.image = r.image AND m.gt = r.gt AND r.k = 1
 )"""
 
 BASE = greedy("base", "cand", where="gt_cls = pred_cls AND conf >= 0.25")
@@ -77,6 +83,10 @@ KEPT = "prk AS (SELECT * FROM pr WHERE conf >= 0.25), candk AS (SELECT * FROM ca
 FN_LOW = FN.format(low="0.25", where="true")
 FN_TEST = FN.format(low="-1", where="conf >= 0.25")
 FALSE_ALARMS = "fp AS (SELECT * FROM prk p WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.image = p.image AND b.pred = p.pred))"
+TESTED = """
+tested AS (
+  SELECT image, 'gt' AS side, cls, category FROM fn UNION ALL SELECT image, 'gt', gt_cls, CASE WHEN mask_iou < 0.65 THEN 'POOR_MASK_BOUNDARY' ELSE 'TP' END FROM base UNION ALL SELECT image, 'pred', cls, 'FP' FROM fp
+)"""
 POOL = """
 pool_kinds AS (SELECT image, count(*) FILTER (category = 'WRONG_CLASS') AS wrong, count(*) FILTER (category = 'LOCALIZATION_FAILURE') AS loc, count(*) FILTER (category = 'NO_RESPONSE') AS fn FROM fn GROUP BY image),
 pool_fp AS (SELECT image, count(*) AS fp FROM fp GROUP BY image),
@@ -90,7 +100,7 @@ pool_all AS (
 POOLED = boxed(BASE, KEPT, FN_TEST, FALSE_ALARMS, POOL)
 
 PRINTS = """
-v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings {copies}),
 m AS (SELECT vec_id, label, v, list_sort(v) AS o, len(v) AS n FROM v),
 m2 AS (SELECT vec_id, label, v, (o[(n - 1) // 2 + 1] + o[n // 2 + 1]) / 2 AS med, list_sum(v) / n AS mean, n FROM m),
 c AS (
@@ -105,8 +115,8 @@ c AS (
 )"""
 
 
-def near(p: int, d: int, corr: float) -> str:
-    return f"WITH {PRINTS.format(on='a.vec_id < b.vec_id')} SELECT l AS left, r AS right, pd::INT AS phash_distance, dd::INT AS dhash_distance, round(corr, 6) AS correlation FROM pairs WHERE pd <= {p} AND dd <= {d} AND corr >= {corr}"
+def near(p: int, d: int, corr: float, copies: str = "") -> str:
+    return f"WITH {PRINTS.format(copies=copies, on='a.vec_id < b.vec_id')} SELECT l AS left, r AS right, pd::INT AS phash_distance, dd::INT AS dhash_distance, round(corr, 6) AS correlation FROM pairs WHERE pd <= {p} AND dd <= {d} AND corr >= {corr}"
 
 
 NEAREST = """
@@ -120,7 +130,7 @@ zn AS (SELECT *, 'exact_' || lpad(row_number() OVER (ORDER BY size DESC, first):
 MEASURED = ITEMS + """,
 poly AS (
   SELECT image, gi, [{'x': 10*q, 'y': 10*disc}, {'x': 10*q + 20 + p % 40, 'y': 10*disc + p % 5}, {'x': 10*q + 20 + p % 40, 'y': 10*disc + 20 + s % 40}, {'x': 10*q, 'y': 10*disc + 20 + s % 40}] AS pts,
-    CASE WHEN (image // 4) % 10 < 7 THEN 'train' WHEN (image // 4) % 10 < 9 THEN 'val' ELSE 'test' END AS split
+    CASE WHEN image % 10 < 7 THEN 'train' WHEN image % 10 < 9 THEN 'val' ELSE 'test' END AS split
   FROM items
 ), measured AS (
   SELECT image, gi, split, pts, abs(list_sum(list_transform(range(1, 5), lambda i: pts[i].x * pts[i % 4 + 1].y - pts[i % 4 + 1].x * pts[i].y))) / 2 AS area,
@@ -131,7 +141,7 @@ poly AS (
 RAW = ITEMS + """,
 shapes AS (
   SELECT image, gi, p, s, n, 10*q AS x, 10*disc AS y, 20 + p % 40 AS w, 20 + s % 40 AS h, p % 5 AS t,
-    CASE WHEN p % 29 = 0 THEN 'bow' WHEN p % 31 = 0 THEN 'two' WHEN p % 37 = 0 THEN 'closed' WHEN p % 41 = 0 THEN 'nan' ELSE 'plain' END AS defect, p % 43 = 0 AS rect, s % 47 = 0 AS unknown
+    CASE WHEN p % 29 = 0 THEN 'bow' WHEN p % 31 = 0 THEN 'two' WHEN p % 37 = 0 THEN 'closed' WHEN p % 41 = 0 THEN 'nan' WHEN p % 47 = 0 THEN 'short' ELSE 'plain' END AS defect, p % 43 = 0 AS rect, s % 47 = 0 AS unlabelled
   FROM items
 ), shaped AS (
   SELECT *, x + w > 500 OR greatest(y + h, CASE WHEN defect <> 'bow' THEN y + t ELSE 0 END) > 140 AS out_full, x + w > 500 OR y + t > 140 AS out_two FROM shapes
@@ -165,7 +175,7 @@ curve AS (SELECT epoch, CASE WHEN epoch % 7 = 0 THEN 'nan'::DOUBLE ELSE loss END
 
 SWEPT = boxed(
     f"t AS (SELECT unnest({THRESHOLDS})::DOUBLE AS threshold)",
-    "passed AS (SELECT threshold, c.* FROM cand c JOIN t ON conf >= threshold)",
+    "passed AS (SELECT threshold, c.* FROM cand c JOIN t ON conf >= threshold WHERE mask_iou >= 0.5)",
     greedy("m", "passed", "threshold, image"),
     """
 lev AS (SELECT unnest([-1, 0, 1, 2])::INT AS cls),
@@ -184,6 +194,22 @@ cum AS (SELECT doc_id, is_hard, w, sum(w) OVER (ORDER BY doc_id) AS hi FROM srow
 dr AS (SELECT range AS draw, floor(('0x' || substr(md5('seed42:' || range), 1, 8))::BIGINT::DOUBLE / 4294967296.0 * (SELECT max(hi) FROM cum)) AS a FROM range(2048)),
 drawn AS (SELECT draw, doc_id, is_hard FROM dr JOIN cum ON a >= hi - w AND a < hi)"""
 
+TRAINING = "WITH " + ITEMS + """,
+ln AS (
+  SELECT image, gi, p % 61 = 0 AS broken, p % 53 = 0 AS bad_class, (p % 40) / 100 AS w, q / 100 AS x, disc / 20 AS y, CASE WHEN s % 59 = 0 THEN 3.0::DOUBLE ELSE 0.25::DOUBLE END AS h FROM items
+), st AS (SELECT image, min(gi) FILTER (broken) AS stop FROM ln GROUP BY 1),
+ag AS (
+  SELECT l.image, count(stop) = 0 AS parsed, bool_and(broken OR (x + w <= 1 AND y + h <= 1)) AS in_range, bool_and(broken OR NOT bad_class) AS cls_ok,
+    count(*) FILTER (stop IS NULL OR gi < stop) AS n, count(*) FILTER ((stop IS NULL OR gi < stop) AND w = 0) AS flat, coalesce(sum(w * h / 2) FILTER (stop IS NULL OR gi < stop), 0) AS area
+  FROM ln l JOIN st ON l.image = st.image GROUP BY 1
+), trained AS (
+  SELECT o_orderkey AS dataset_index, o_orderkey AS image_stem, o_orderkey % 10 < 3 AS is_hard, '/images/' || o_orderkey || '.png' AS image_path, '/labels/' || o_orderkey || '.txt' AS label_path,
+    o_orderkey % 211 <> 0 AS image_decode_ok, o_orderkey % 211 <> 0 AS image_finite, coalesce(parsed, true) AS label_parse_ok, coalesce(parsed, true) AS polygon_finite, coalesce(parsed AND in_range, true) AS coordinate_range_ok, coalesce(parsed AND cls_ok, true) AS class_id_ok,
+    coalesce(n, 0) AS instance_count, coalesce(flat, 0) AS degenerate_polygon_count, coalesce(flat, 0) AS degenerate_bbox_count, round(coalesce(area, 0), 9) AS relative_polygon_area_sum, o_orderkey % 211 <> 0 AS valid_image,
+    coalesce(parsed AND in_range AND cls_ok AND n > 0 AND flat = 0, false) AS valid_target
+  FROM orders LEFT JOIN ag ON image = o_orderkey
+)"""
+
 ORACLES: dict[str, str] = {
     "q01_class_stats": """
 WITH t AS (SELECT count(DISTINCT user_id) AS ai, count(*) AS an FROM events)
@@ -199,10 +225,10 @@ SELECT l_returnflag, count(l_extendedprice) AS n, min(l_extendedprice) AS lowest
 FROM lineitem GROUP BY l_returnflag""",
     "q04_instances_hist": "SELECT children, count(*) AS parents FROM (SELECT o_orderkey, count(l_orderkey) AS children FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey) GROUP BY children",
     "q05_exact_duplicates": f"WITH {EXACT} SELECT group_id, size, doc_id, h.sha256 FROM h JOIN zn ON h.sha256 = zn.sha256",
-    "q06_near_pairs": near(6, 8, 0.98),
+    "q06_near_pairs": near(6, 8, 0.98, "UNION ALL SELECT vec_id + 1000000, label, list_transform(embedding, lambda x, i: x::DOUBLE + CASE WHEN i - 1 = vec_id % 7 THEN 0.03125::DOUBLE ELSE 0 END) FROM embeddings WHERE vec_id % 50 = 0"),
     "q06_near_pairs_relaxed": near(24, 64, 0.35),
     "q07_components": f"""
-WITH RECURSIVE {PRINTS.format(on='a.vec_id < b.vec_id')}, {EXACT},
+WITH RECURSIVE {PRINTS.format(copies='', on='a.vec_id < b.vec_id')}, {EXACT},
 e0 AS (SELECT l AS a, r AS b FROM pairs WHERE pd <= 24 AND dd <= 64 AND corr >= 0.35 UNION ALL SELECT first, doc_id FROM h JOIN zn ON h.sha256 = zn.sha256 WHERE doc_id <> first),
 e AS (SELECT a, b FROM e0 UNION SELECT b, a FROM e0),
 reach AS (SELECT DISTINCT a AS member, a AS other FROM e UNION SELECT r.member, e.b FROM reach r JOIN e ON r.other = e.a),
@@ -226,24 +252,29 @@ SELECT min(v) AS first, max(v) AS last, count(*) AS length FROM i GROUP BY g HAV
 WITH r AS (SELECT doc_id, source, row_number() OVER (ORDER BY doc_id) - 1 AS place, count(*) OVER () AS n FROM documents)
 SELECT doc_id, source, place FROM r WHERE place IN (SELECT (i * (n - 1)) // (least(20, n) - 1) FROM range(20) t(i), (SELECT count(*) AS n FROM documents))""",
     "q12_nearest_labeled": f"""
-WITH {PRINTS.format(on='a.label IN (8, 9) AND b.label NOT IN (8, 9)')}, {NEAREST}
+WITH {PRINTS.format(copies='', on='a.label IN (8, 9) AND b.label NOT IN (8, 9)')}, {NEAREST}
 SELECT l AS left, r AS right, pd::INT AS phash_distance, dd::INT AS dhash_distance, round(corr, 6) AS correlation,
-  CASE WHEN pd <= 6 AND dd <= 8 AND corr >= 0.98 THEN 'near_duplicate' WHEN pd <= 12 AND dd <= 14 AND corr >= 0.95 THEN 'similar' ELSE 'unknown' END AS hint FROM best""",
+  CASE WHEN pd <= 6 AND dd <= 8 AND corr >= 0.98 THEN 'possible_missing_json' WHEN pd <= 12 AND dd <= 14 AND corr >= 0.95 THEN 'possible_missing_annotation' ELSE 'unknown' END AS hint FROM best""",
     "q13_polygon_metrics": f"WITH {MEASURED} SELECT image, gi, 4 AS vertices, area, w * h AS box_area, round(w / h, 6) AS aspect, round(area / 70000.0, 9) AS relative_area FROM measured",
     "q14_polygon_issues": f"""
 WITH {RAW},
+copied AS (SELECT *, false AS copy FROM shaped UNION ALL SELECT * REPLACE (gi + 100 AS gi), true FROM shaped WHERE gi % 5 = 1),
+-- the points that are left, as far as they tell polygons of one document apart
+keyed AS (SELECT *, row_number() OVER (PARTITION BY image, unlabelled, CASE WHEN unlabelled THEN 0 ELSE n % 3 END, x, y, w, CASE WHEN defect IN ('bow', 'two') THEN defect ELSE 'quad' END,
+  CASE WHEN defect = 'two' THEN 0 ELSE h END, CASE WHEN defect = 'bow' THEN 0 ELSE t END ORDER BY gi) AS occurrence FROM copied),
 issues AS (
-  SELECT image, gi, 'unknown_label' AS issue FROM shaped WHERE unknown UNION ALL SELECT image, gi, 'not_polygon' FROM shaped WHERE rect
-  UNION ALL SELECT image, gi, 'malformed_point' FROM shaped WHERE defect = 'nan' UNION ALL SELECT image, gi, 'too_few_points' FROM shaped WHERE defect = 'two'
-  UNION ALL SELECT image, gi, 'zero_area' FROM shaped WHERE defect = 'bow' UNION ALL SELECT image, gi, 'self_intersection' FROM shaped WHERE defect = 'bow'
-  UNION ALL SELECT image, gi, 'repeated_point' FROM shaped WHERE defect = 'closed' UNION ALL SELECT image, gi, 'out_of_bounds' FROM shaped WHERE CASE WHEN defect = 'two' THEN out_two ELSE out_full END
+  SELECT image, gi, 'empty_label' AS issue FROM keyed WHERE unlabelled UNION ALL SELECT image, gi, 'non_polygon_shape' FROM keyed WHERE rect
+  UNION ALL SELECT image, gi, 'nan_or_inf_coordinate' FROM keyed WHERE defect = 'nan' UNION ALL SELECT image, gi, 'invalid_point_structure' FROM keyed WHERE defect = 'short'
+  UNION ALL SELECT image, gi, 'fewer_than_3_unique_points' FROM keyed WHERE defect = 'two' UNION ALL SELECT image, gi, 'zero_area_polygon' FROM keyed WHERE defect IN ('two', 'bow')
+  UNION ALL SELECT image, gi, 'self_intersection' FROM keyed WHERE defect = 'bow' UNION ALL SELECT image, gi, 'polygon_out_of_bounds' FROM keyed WHERE CASE WHEN defect = 'two' THEN out_two ELSE out_full END
+  UNION ALL SELECT image, gi, 'duplicate_polygon' FROM keyed WHERE occurrence > 1
 ) SELECT * FROM issues""",
     "q14_conversion_rejects": f"""
 WITH {RAW}
-SELECT CASE WHEN rect THEN 'non_polygon' WHEN defect IN ('two', 'nan') THEN 'too_few_points' WHEN defect = 'bow' THEN 'degenerate' WHEN out_full THEN 'out_of_bounds' ELSE 'ok' END AS reason, count(*) AS shapes FROM shaped GROUP BY 1""",
+SELECT CASE WHEN rect THEN 'non_polygon' WHEN defect IN ('two', 'nan', 'short') THEN 'fewer_than_3_valid_points' WHEN defect = 'bow' THEN 'degenerate_polygon' WHEN out_full THEN 'coordinate_out_of_bounds' ELSE 'ok' END AS reason, count(*) AS shapes FROM shaped GROUP BY 1""",
     "q15_canonical_dups": f"""
 WITH {ITEMS},
-k AS (SELECT image, gi, concat_ws('|', CASE WHEN s % 47 = 0 THEN 'unknown' ELSE 'class' || (n % 3) END, q, disc, p % 40, s % 40, p % 5) AS key FROM items),
+k AS (SELECT image, gi, concat_ws('|', CASE WHEN s % 47 = 0 THEN '' ELSE 'class' || (n % 3) END, q, disc, p % 40, s % 40, p % 5) AS key FROM items),
 a AS (SELECT * FROM k UNION ALL SELECT image, gi + 100, key FROM k WHERE gi % 3 = 0)
 SELECT * FROM (SELECT image, gi, row_number() OVER (PARTITION BY image, key ORDER BY gi)::INT AS occurrence FROM a) WHERE occurrence > 1""",
     "q16_split_profile": f"WITH {SPLIT} SELECT split, cls, images, instances FROM profiled",
@@ -262,14 +293,14 @@ qs AS (SELECT quantile_cont(area, 0.25) AS a, quantile_cont(area, 0.5) AS b, qua
 bins AS (SELECT split, CASE WHEN area <= a THEN 'tiny' WHEN area <= b THEN 'small' WHEN area <= c THEN 'medium' ELSE 'large' END AS bin FROM measured, qs),
 grid AS (SELECT s.split, t.bin FROM (VALUES ('train'), ('val'), ('test')) s(split), (VALUES ('tiny'), ('small'), ('medium'), ('large')) t(bin))
 SELECT g.split, g.bin, count(b.split) AS shapes FROM grid g LEFT JOIN bins b ON g.split = b.split AND g.bin = b.bin GROUP BY ALL""",
-    "q18_greedy_match": boxed(greedy("m", "cand")) + " SELECT image, gt, pred, round(iou, 9) AS iou FROM m",
+    "q18_greedy_match": boxed(greedy("m", "cand")) + " SELECT image, gt, pred, round(mask_iou, 9) AS mask_iou, round(box_iou, 9) AS box_iou FROM m",
     "q19_agnostic_match": boxed(
         greedy("m", "cand", where="true"),
         """
-same AS (SELECT image, gt, max(iou) AS iou FROM cand WHERE gt_cls = pred_cls GROUP BY ALL),
+best_same AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image, gt ORDER BY mask_iou DESC, pred) AS k FROM cand WHERE gt_cls = pred_cls) WHERE k = 1),
 g2 AS (
-  SELECT 'gt' AS side, g.cls, CASE WHEN m.gt_cls = m.pred_cls THEN 'TP' WHEN m.gt IS NOT NULL THEN 'wrong_class' WHEN same.iou >= 0.5 THEN 'low_mask_iou' WHEN same.iou IS NOT NULL THEN 'low_box_iou' ELSE 'FN_no_same_class_candidate' END AS category
-  FROM gt g LEFT JOIN m ON g.image = m.image AND g.gt = m.gt LEFT JOIN same ON g.image = same.image AND g.gt = same.gt
+  SELECT 'gt' AS side, g.cls, CASE WHEN m.gt_cls = m.pred_cls THEN 'TP' WHEN m.gt IS NOT NULL THEN 'wrong_class' WHEN b.gt IS NULL THEN 'FN_no_same_class_candidate' WHEN b.box_iou >= 0.5 THEN 'low_mask_iou' ELSE 'low_box_iou' END AS category
+  FROM gt g LEFT JOIN m ON g.image = m.image AND g.gt = m.gt LEFT JOIN best_same b ON g.image = b.image AND g.gt = b.gt
 ), p2 AS (
   SELECT 'pred' AS side, p.cls, CASE WHEN m.gt_cls = m.pred_cls THEN 'TP' WHEN m.pred IS NOT NULL THEN 'wrong_class_FP' ELSE 'FP_unmatched' END AS category FROM pr p LEFT JOIN m ON p.image = m.image AND p.pred = m.pred
 )""",
@@ -277,11 +308,17 @@ g2 AS (
     "q20_threshold_sweep": SWEPT + " SELECT threshold, cls, tp, fp, fn, round(precision, 9) AS precision, round(recall, 9) AS recall, round(f1, 9) AS f1 FROM swept",
     "q21_f1_best_recall95": SWEPT + """ SELECT max(threshold) FILTER (f1 >= (SELECT max(f1) FROM swept WHERE cls = -1) - 1e-12) AS best_f1_threshold, round(max(f1), 9) AS best_f1,
   max(threshold) FILTER (recall >= 0.95 * (SELECT max(recall) FROM swept WHERE cls = -1)) AS recall95_threshold FROM swept WHERE cls = -1""",
-    "q22_fn_taxonomy": boxed(BASE, FN_LOW) + " SELECT image, gt, cls, category, chosen.pred AS pred, round(chosen.iou, 9) AS iou, chosen.conf AS conf FROM fn",
-    "q23_test_taxonomy": boxed(BASE, KEPT, FN_TEST, FALSE_ALARMS) + """
-SELECT side, cls, category, count(*) AS n FROM (
-  SELECT 'gt' AS side, cls, category FROM fn UNION ALL SELECT 'gt', gt_cls, CASE WHEN iou < 0.65 THEN 'POOR_BOUNDARY' ELSE 'TP' END FROM base UNION ALL SELECT 'pred', cls, 'FP' FROM fp
-) GROUP BY ALL""",
+    "q22_fn_taxonomy": boxed(BASE, FN_LOW) + " SELECT image, gt, cls, category, pred, round(mask_iou, 9) AS mask_iou, round(box_iou, 9) AS box_iou, conf FROM fn",
+    "q23_test_taxonomy": boxed(BASE, KEPT, FN_TEST, FALSE_ALARMS, TESTED) + " SELECT side, cls, category, count(*) AS n FROM tested GROUP BY ALL",
+    "q23_image_categories": boxed(BASE, KEPT, FN_TEST, FALSE_ALARMS, TESTED, """
+areas AS (SELECT image, gt, (mx2 - mx1) * (my2 - my1) AS area FROM gt),
+median AS (SELECT quantile_cont(area, 0.5) AS q50 FROM areas WHERE image % 10 < 7),
+cats AS (
+  SELECT DISTINCT image, category FROM tested
+  UNION SELECT image, 'TP' FROM tested WHERE category = 'POOR_MASK_BOUNDARY'
+  UNION SELECT a.image, 'TINY_SMALL_MISS' FROM areas a JOIN missed m ON a.image = m.image AND a.gt = m.gt, median WHERE area <= q50
+  UNION SELECT image, 'MULTI_DEFECT_SCENE' FROM gt GROUP BY image HAVING count(*) > 1
+)""") + " SELECT category, count(*) AS images FROM cats GROUP BY 1",
     "q23_bottom_classes": boxed(BASE, KEPT, """
 per AS (SELECT g.cls, g.n AS actual, coalesce(p.n, 0) AS predicted, coalesce(b.n, 0) AS tp FROM (SELECT cls, count(*) AS n FROM gt GROUP BY 1) g
   LEFT JOIN (SELECT cls, count(*) AS n FROM prk GROUP BY 1) p ON g.cls = p.cls LEFT JOIN (SELECT gt_cls AS cls, count(*) AS n FROM base GROUP BY 1) b ON g.cls = b.cls)""")
@@ -289,14 +326,27 @@ per AS (SELECT g.cls, g.n AS actual, coalesce(p.n, 0) AS predicted, coalesce(b.n
     "q24_hard_pool": POOLED + " SELECT image, fn, wrong, loc, fp, score, rank, is_hard FROM pool",
     "q25_hard_pool_presence": POOLED + " SELECT 'class' || g.cls AS label, count(DISTINCT p.image) AS images, min(score) AS lowest, max(score) AS highest FROM pool p JOIN gt g ON p.image = g.image WHERE is_hard GROUP BY 1",
     "q26_paired_deltas": f"WITH {RUNS} SELECT * FROM paired",
-    "q27_decision_rule": f"""WITH {RUNS} SELECT effect, CASE WHEN n < 2 THEN 'INSUFFICIENT' WHEN positive = n AND mean > 0 THEN 'CONSISTENT_GAIN' WHEN positive = 0 AND mean < 0 THEN 'CONSISTENT_LOSS' WHEN mean > 0 THEN 'MIXED_GAIN' ELSE 'MIXED_LOSS' END AS decision FROM paired""",
+    "q27_decision_rule": f"""WITH {RUNS}
+SELECT effect,
+  CASE WHEN positive = 5 AND mean > 0 THEN 'HARD_MINING_STRONG_ROBUST_POSITIVE' WHEN positive >= 2 AND mean > 0 THEN 'HARD_MINING_ROBUST_POSITIVE' WHEN mean <= 0 AND positive <= 1 THEN 'HARD_MINING_NOT_CONFIRMED' ELSE 'HARD_MINING_UNSTABLE' END AS seeds,
+  CASE WHEN positive >= 0.3::DOUBLE * (n * 2) THEN 'POSITIVE' WHEN positive >= 0.1::DOUBLE * (n * 2) THEN 'LIMITED' ELSE 'NEGATIVE' END AS recovery,
+  CASE WHEN mean / 10 >= 0.005 AND highest >= lowest + 1 - 0.02 THEN 'POSITIVE_CANDIDATE' WHEN mean / 10 <= -0.005 THEN 'NEGATIVE' ELSE 'NO_CLEAR_GAIN' END AS delta,
+  CASE WHEN highest > 0.505 AND mean >= lowest THEN 'POSITIVE' WHEN highest < 0.495 THEN 'NEGATIVE' ELSE 'NO_CLEAR_GAIN' END AS one_class,
+  CASE WHEN highest > sd + 0.02 THEN 'POSITIVE_CANDIDATE' WHEN highest >= sd THEN 'TRADEOFF_ONLY' ELSE 'NEGATIVE' END AS second_stage,
+  CASE WHEN mean > 0 AND lowest / 10 > -0.1 THEN 'SUPCON_POSITIVE' WHEN abs(mean) < 0.01 THEN 'NO_CLEAR_GAIN' ELSE 'NEGATIVE' END AS roi,
+  CASE WHEN mean > 0 AND highest > 0.5 AND NOT lowest > 0 THEN 'CASE C AMP_ONLY_TRAIN_FORWARD_INSTABILITY'
+       WHEN (NOT mean > 0 OR NOT highest > 0.5) AND n > 3 AND sd < 1 AND sd > 0 THEN 'CASE D GPU_FP32_RUNTIME_OR_KERNEL_ANOMALY'
+       WHEN positive = 1 AND highest > 0.5 THEN 'CASE A EXP10_1A_FALSE_FP32_REPLAY'
+       WHEN highest > 0.5 AND lowest > 0 AND positive > 1 THEN 'CASE B REPLAY_OR_PREPROCESS_PIPELINE_BUG'
+       WHEN (NOT mean > 0 OR NOT highest > 0.5) AND n > 3 AND NOT sd < 1 THEN 'CASE E TRUE_FP32_MODEL_FORWARD_NONFINITE' END AS cause
+FROM paired""",
     "q28_curve_audit": f"""WITH {CURVE}
 SELECT count(*) AS rows, list_sort(list(epoch::INT)) = range(1, 31)::INT[] AS complete, count(*) FILTER (isnan(loss)) AS bad_rows, min(epoch) FILTER (isnan(loss)) AS first_bad,
   CASE WHEN count(*) FILTER (isnan(loss)) > 0 THEN 'loss' END AS first_bad_column, max(fitness) AS best, min(epoch) FILTER (fitness = (SELECT max(fitness) FROM curve)) AS best_epoch FROM curve""",
     "q29_first_nonfinite": f"""WITH {CURVE}, f AS (SELECT min(epoch) AS first FROM curve WHERE isnan(loss))
 SELECT epoch, isnan(loss) AS bad, fitness, epoch - first AS offset FROM curve, f WHERE epoch BETWEEN first - 3 AND first + 3""",
     "q30_confusion": f"""
-WITH {PRINTS.format(on='a.vec_id % 5 = 0 AND b.vec_id % 5 <> 0')}, {NEAREST},
+WITH {PRINTS.format(copies='', on='a.vec_id <> b.vec_id')}, {NEAREST},
 cls AS (SELECT range::INT AS c FROM range(10)),
 s AS (SELECT c, (SELECT count(*) FROM best WHERE ll = c) AS support, (SELECT count(*) FROM best WHERE rl = c) AS predicted, (SELECT count(*) FROM best WHERE ll = c AND rl = c) AS tp FROM cls),
 r AS (SELECT *, coalesce(tp / nullif(predicted, 0), 0) AS pr, coalesce(tp / nullif(support, 0), 0) AS re, coalesce(2 * tp / nullif(predicted + support, 0), 0) AS f FROM s)
@@ -307,10 +357,15 @@ SELECT batch, count(*) AS unique_keys, (sum(n) - count(*))::BIGINT AS duplicates
     "q31_draw_summary": f"""WITH {DRAWS}, a AS (SELECT count(*) FILTER (is_hard) AS n_hard, count(*) FILTER (NOT is_hard) AS n_normal FROM srows), b AS (SELECT count(*) AS draws, count(*) FILTER (is_hard) AS hard_draws FROM drawn)
 SELECT n_hard, n_normal, draws, hard_draws, round(2 * n_hard / (2 * n_hard + n_normal), 9) AS expected FROM a, b""",
     "q32_registry_upsert": "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 OR o_orderkey % 5 = 0 THEN 'N' ELSE o_orderstatus END AS o_orderstatus, o_totalprice FROM orders",
-    "q33_language_audit": """
-WITH c AS (SELECT doc_id, len(regexp_extract_all(text, '[\\x{4e00}-\\x{9fff}]')) AS n_wide, len(regexp_extract_all(text, '[A-Za-z]{3,}')) AS n_latin FROM documents),
-s AS (SELECT *, coalesce(n_latin / nullif(n_latin + n_wide, 0), 0) AS share FROM c), k AS (SELECT *, CASE WHEN share >= 0.8 THEN 'latin' WHEN share <= 0.2 THEN 'wide' ELSE 'mixed' END AS kind FROM s)
-SELECT doc_id, n_wide, n_latin, kind, CASE kind WHEN 'mixed' THEN 'review' WHEN 'wide' THEN 'keep' ELSE 'translate' END AS action FROM k""",
+    "q33_language_audit": r"""
+WITH c AS (SELECT doc_id, ['docs/exp01_run.md', 'docs/handoffs/a.md', 'README.md', 'docs/final_report.md', 'docs/other.md', 'notes/x.md'][doc_id % 6 + 1] AS path,
+  len(regexp_extract_all(text, '[\x{3400}-\x{9fff}]')) AS n_zh, len(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9_.+-]*')) AS n_en FROM documents),
+r AS (SELECT *, n_zh / greatest(1, n_zh + n_en) AS zh, n_en / greatest(1, n_zh + n_en) AS en, regexp_matches(lower(path), 'docs/(exp\d|handoffs/|project_state|decision_log|historical_methods)|changelog') AS a,
+  regexp_matches(lower(path), 'review|timeline|takeaways|index|final_|paper|readme|roadmap|project_scope') AS s FROM c),
+n AS (SELECT *, (a OR s) AND en > 0.45 AS needs_translation, s AND en > 0.30 AS needs_rewrite FROM r)
+SELECT doc_id, path, n_zh, n_en, CASE WHEN zh >= 0.70 THEN 'zh-dominant' WHEN en >= 0.70 THEN 'en-dominant' ELSE 'mixed' END AS language,
+  CASE WHEN a THEN 'authoritative_experiment_or_gate' WHEN s THEN 'project_summary' ELSE 'supporting_document' END AS document_type, needs_translation, needs_rewrite,
+  CASE WHEN needs_translation AND a THEN 'keep_original_create_zh_companion' WHEN needs_rewrite THEN 'keep_original_create_full_zh_reorganization' WHEN a OR s THEN 'keep_original_reference_from_zh_hub' ELSE 'keep_original_and_index' END AS action FROM n""",
     "q34_field_profile": """
 WITH e AS (SELECT unnest(json_keys(props)) AS key, props FROM events), v AS (SELECT key, json_extract_string(props, '$.' || key) AS value FROM e)
 SELECT key, CASE WHEN value IS NULL THEN 'null' WHEN regexp_full_match(value, '-?[0-9]+(\\.[0-9]+)?') THEN 'number' WHEN value IN ('true', 'false') THEN 'boolean' WHEN value[1] IN ('[', '{') THEN 'other' ELSE 'string' END AS kind,
@@ -328,12 +383,16 @@ SELECT 'sha_by_id' AS "check", v AS violations, v = 0 AS passed FROM a UNION ALL
     "q37_artifact_manifest": """
 SELECT r.page_id, CASE WHEN p.page_id IS NULL THEN 'missing' WHEN coalesce(length(p.html), 0) = 0 THEN 'empty' WHEN NOT starts_with(p.html, '<!DOCTYPE html>') THEN 'bad_head' ELSE 'ok' END AS status
 FROM (SELECT page_id * 2 AS page_id FROM pages) r LEFT JOIN pages p ON r.page_id = p.page_id""",
-    "q39_negative_sampling": boxed(BASE, "best AS (SELECT image, pred, max(iou) AS iou FROM cand GROUP BY ALL)")
-    + " SELECT p.image, p.pred, conf, round(coalesce(iou, 0), 9) AS best FROM pr p LEFT JOIN best b ON p.image = b.image AND p.pred = b.pred WHERE coalesce(iou, 0) < 0.5 ORDER BY conf DESC, p.image, p.pred LIMIT (SELECT count(*) // 2 FROM base)",
+    "q39_negative_sampling": boxed("""
+best AS (SELECT p.image, p.pred, p.conf, coalesce(max(box_iou), 0) AS best FROM pr p LEFT JOIN cand c ON p.image = c.image AND p.pred = c.pred WHERE p.conf >= 0.1 GROUP BY ALL),
+part AS (SELECT *, CASE WHEN image % 10 < 7 THEN 'train' WHEN image % 10 < 9 THEN 'val' ELSE 'test' END AS split FROM best WHERE best < 0.5),
+pos AS (SELECT CASE WHEN image % 10 < 7 THEN 'train' WHEN image % 10 < 9 THEN 'val' ELSE 'test' END AS split, count(*) // 2 AS most FROM gt GROUP BY 1),
+ranked AS (SELECT p.*, most, row_number() OVER (PARTITION BY p.split ORDER BY conf DESC, image, pred) AS k FROM part p JOIN pos ON p.split = pos.split)""")
+    + " SELECT split, image, pred, conf, round(best, 9) AS best FROM ranked WHERE k <= most",
     "q40_state_tree": """
-WITH t AS (SELECT vec_id, 'layer.' || vec_id || '.' || ['weight', 'bias', 'running_mean', 'num_batches_tracked', 'gamma'][vec_id % 5 + 1] AS name, list_transform(embedding, lambda x: CASE WHEN vec_id % 7 = 0 AND x > 0.25 THEN 'nan'::DOUBLE ELSE x::DOUBLE END) AS v FROM embeddings),
+WITH t AS (SELECT vec_id, 'layer.' || vec_id || '.' || ['conv.weight', 'bn.bias', 'bn.running_mean', 'bn.num_batches_tracked', 'gamma', 'bn.running_var', 'bn.weight', 'head.weight'][vec_id % 8 + 1] AS name, list_transform(embedding, lambda x: CASE WHEN vec_id % 7 = 0 AND x > 0.25 THEN 'nan'::DOUBLE ELSE x::DOUBLE END) AS v FROM embeddings),
 o AS (SELECT *, list_filter(v, lambda x: isfinite(x)) AS ok FROM t)
-SELECT vec_id, name, ['weight', 'bias', 'running_stat', 'counter', 'other'][vec_id % 5 + 1] AS category, len(ok) / len(v) AS finite_ratio, list_min(ok) AS lowest, list_max(ok) AS highest, round(list_sum(ok) / len(ok), 6) AS mean,
+SELECT vec_id, name, ['conv_weight', 'bn_bias', 'bn_running_mean', 'bn_num_batches_tracked', 'other', 'bn_running_var', 'bn_weight', 'conv_weight'][vec_id % 8 + 1] AS category, len(ok) / len(v) AS finite_ratio, list_min(ok) AS lowest, list_max(ok) AS highest, round(list_sum(ok) / len(ok), 6) AS mean,
   (len(v) - len(ok))::INT AS n_nan, 0 AS n_inf FROM o""",
     "q42_label_lines": f"""
 WITH {ITEMS} SELECT n % 3 AS class_id, NULL::VARCHAR AS problem, count(*) AS lines, 4 * count(*) AS points FROM items WHERE s % 47 <> 0 GROUP BY 1""",
@@ -344,7 +403,7 @@ SELECT day, event_type, count(*) AS batches, count(*) FILTER (isnan(loss)) AS no
     "q46_class_weights": "SELECT label, count(*) AS n, 1.0::DOUBLE AS total FROM embeddings GROUP BY label",
     "q47_pool_tie_rules": POOLED + " SELECT count(*) FILTER (is_hard) AS rule_b, count(*) FILTER (is_hard_desc) AS rule_a, count(*) FILTER (is_hard AND is_hard_desc) AS both FROM pool",
     "q49_grouped_recall": boxed(BASE) + """
-SELECT CASE WHEN (g.image // 4) % 10 < 7 THEN 'train' WHEN (g.image // 4) % 10 < 9 THEN 'val' ELSE 'test' END AS split, g.cls, count(*) AS instances, count(iou) AS hits, round(count(iou) / count(*), 9) AS recall, round(avg(iou), 6) AS mean_iou, round(quantile_cont(iou, 0.5), 6) AS median_iou
+SELECT CASE WHEN g.image % 10 < 7 THEN 'train' WHEN g.image % 10 < 9 THEN 'val' ELSE 'test' END AS split, g.cls, count(*) AS instances, count(mask_iou) AS hits, round(count(mask_iou) / count(*), 9) AS recall, round(avg(mask_iou), 6) AS mean_iou, round(quantile_cont(mask_iou, 0.5), 6) AS median_iou
 FROM gt g LEFT JOIN base b ON g.image = b.image AND g.gt = b.gt GROUP BY ALL""",
     "q50_top_values": "SELECT props AS value, count(*) AS n, min(event_id) AS first FROM events GROUP BY 1 ORDER BY n DESC, first LIMIT 20",
     "q48_table_digest": """
@@ -352,15 +411,15 @@ WITH r AS (SELECT sha256(concat_ws(chr(31), 'n_name=' || coalesce(n_name, '\\N')
 SELECT count(*) AS rows, sha256(concat_ws(':', count(*)::VARCHAR, sum(('0x' || substr(h, 1, 15))::BIGINT::HUGEINT)::VARCHAR, sum(('0x' || substr(h, 16, 15))::BIGINT::HUGEINT)::VARCHAR,
   sum(('0x' || substr(h, 31, 15))::BIGINT::HUGEINT)::VARCHAR, sum(('0x' || substr(h, 46, 15))::BIGINT::HUGEINT)::VARCHAR)) AS digest FROM r""",
     "q39_background_boxes": boxed("""
-imgs AS (SELECT DISTINCT image FROM gt), tries AS (SELECT image, range AS a FROM imgs, range(1, 101)),
-u AS (SELECT image, a, ('0x' || substr(md5('bgw:' || image || ':' || a), 1, 8))::BIGINT::DOUBLE / 4294967296.0 AS uw, ('0x' || substr(md5('bgh:' || image || ':' || a), 1, 8))::BIGINT::DOUBLE / 4294967296.0 AS uh,
-  ('0x' || substr(md5('bgx:' || image || ':' || a), 1, 8))::BIGINT::DOUBLE / 4294967296.0 AS ux, ('0x' || substr(md5('bgy:' || image || ':' || a), 1, 8))::BIGINT::DOUBLE / 4294967296.0 AS uy FROM tries),
-s AS (SELECT image, a, 32 * (0.8::DOUBLE + 0.4::DOUBLE * uw) AS w, 32 * (0.8::DOUBLE + 0.4::DOUBLE * uh) AS h, ux, uy FROM u),
-b AS (SELECT image, a, w, h, ux * (640.0::DOUBLE - w) AS x1, uy * (160.0::DOUBLE - h) AS y1 FROM s), bb AS (SELECT *, x1 + w AS x2, y1 + h AS y2 FROM b),
-hit AS (SELECT DISTINCT b.image, a FROM (SELECT b.image, b.a, b.w * b.h + (t.x2 - t.x1) * (t.y2 - t.y1) AS areas, greatest(0.0::DOUBLE, least(b.x2, t.x2) - greatest(b.x1, t.x1)) * greatest(0.0::DOUBLE, least(b.y2, t.y2) - greatest(b.y1, t.y1)) AS common
-  FROM bb b JOIN gt t ON b.image = t.image) b WHERE common >= 0.05::DOUBLE * (areas - common)),
+imgs AS (SELECT DISTINCT image FROM gt), tries AS (SELECT image, range AS a FROM imgs, range(1, 21)),
+sizes AS (SELECT row_number() OVER (ORDER BY image, gt) - 1 AS place, x2 - x1 AS w, y2 - y1 AS h, count(*) OVER () AS n FROM gt WHERE image % 10 < 7),
+u AS (SELECT image, a, """ + ", ".join(f"('0x' || substr(md5('bg{k}:' || image || ':' || a), 1, 8))::BIGINT::DOUBLE / 4294967296.0 AS u{k}" for k in "swhxy") + """ FROM tries),
+s AS (SELECT u.*, greatest(8, floor(z.w * (0.8::DOUBLE + 0.4::DOUBLE * uw)))::BIGINT AS w, greatest(8, floor(z.h * (0.8::DOUBLE + 0.4::DOUBLE * uh)))::BIGINT AS h FROM u JOIN sizes z ON z.place = floor(us * z.n)::BIGINT),
+b AS (SELECT image, a, w, h, floor(ux * (640 - w + 1))::BIGINT AS x1, floor(uy * (160 - h + 1))::BIGINT AS y1 FROM s), bb AS (SELECT *, x1 + w AS x2, y1 + h AS y2 FROM b),
+hit AS (SELECT DISTINCT image, a FROM (SELECT b.image, b.a, b.w * b.h + (t.x2 - t.x1) * (t.y2 - t.y1) AS areas, greatest(0, least(b.x2, t.x2) - greatest(b.x1, t.x1)) * greatest(0, least(b.y2, t.y2) - greatest(b.y1, t.y1)) AS common
+  FROM bb b JOIN gt t ON b.image = t.image) WHERE common >= 0.05::DOUBLE * (areas - common)),
 free AS (SELECT b.*, row_number() OVER (PARTITION BY b.image ORDER BY b.a) AS place FROM bb b WHERE NOT EXISTS (SELECT 1 FROM hit WHERE hit.image = b.image AND hit.a = b.a))""")
-    + " SELECT image, place, round(x1, 6) AS x1, round(y1, 6) AS y1, round(x2, 6) AS x2, round(y2, 6) AS y2 FROM free WHERE place <= 2",
+    + " SELECT image, place::INT AS place, x1, y1, x2, y2 FROM free WHERE place <= 2",
     "q43_two_stage": boxed(
         BASE,
         KEPT,
@@ -372,7 +431,7 @@ probs AS (
 second AS (
   SELECT mode, threshold, image, pred, CASE WHEN mode = 'A' THEN cls ELSE list_position(p, list_max(p)) - 2 END AS cls FROM probs, settings
   WHERE CASE WHEN mode = 'A' THEN 1 - p[1] >= threshold ELSE list_position(p, list_max(p)) > 1 AND list_max(p) >= threshold END
-), again AS (SELECT s.mode, s.threshold, c.image, c.gt, c.pred, c.gt_cls, s.cls AS pred_cls, c.conf, c.iou FROM cand c JOIN second s ON c.image = s.image AND c.pred = s.pred)""",
+), again AS (SELECT s.mode, s.threshold, c.image, c.gt, c.pred, c.gt_cls, s.cls AS pred_cls, c.conf, c.mask_iou, c.box_iou FROM cand c JOIN second s ON c.image = s.image AND c.pred = s.pred)""",
         greedy("after", "again", "mode, threshold, image"),
         """
 counts AS (
@@ -381,4 +440,109 @@ counts AS (
 )""",
     )
     + " SELECT mode, threshold, tp, predicted - tp AS fp, actual - tp AS fn, round(tp / predicted, 9) AS precision, round(tp / actual, 9) AS recall, round(2 * tp / (predicted + actual), 9) AS f1, eligible, kept, tp - kept AS corrected, eligible - kept AS harmed FROM counts",
+    "q51_duplicate_context": f"""
+WITH {SPLIT},
+r AS (SELECT CASE WHEN starts_with(grp, 'group_') THEN grp END AS near, array_to_string(labels, '|') AS label_set, CASE WHEN list_contains(labels, 'toxic1') THEN 'wrong_class' WHEN list_contains(labels, 'quality0') THEN 'low_box_iou' ELSE 'TP' END AS category FROM rows0),
+s AS (SELECT near, count(DISTINCT label_set) AS sets FROM r WHERE near IS NOT NULL GROUP BY near),
+a AS (SELECT CASE WHEN r.near IS NULL THEN 'singleton' WHEN sets > 1 THEN 'near_cross_label' ELSE 'near_same_label' END AS duplicate_context, category FROM r LEFT JOIN s ON r.near = s.near)
+SELECT c.duplicate_context, count(category) AS gt_instances, count(*) FILTER (category <> 'TP') AS errors, count(*) FILTER (category = 'wrong_class') AS wrong_class, coalesce(round(count(*) FILTER (category <> 'TP') / nullif(count(category), 0), 9), 0) AS error_rate
+FROM (VALUES ('singleton'), ('near_same_label'), ('near_cross_label')) c(duplicate_context) LEFT JOIN a ON a.duplicate_context = c.duplicate_context GROUP BY 1""",
+    "q52_value_profile": """
+WITH v AS (SELECT json_type(props, '$.k') AS t, json_extract_string(props, '$.k') AS value FROM events),
+k AS (SELECT CASE WHEN t IS NULL THEN 'missing' WHEN t IN ('UBIGINT', 'BIGINT') THEN 'bigint' WHEN t = 'VARCHAR' THEN 'string' ELSE lower(t) END AS type, value FROM v),
+top AS (SELECT value, count(*) AS n FROM k WHERE type <> 'missing' GROUP BY 1 ORDER BY n DESC, value LIMIT 50)
+SELECT 'type' AS part, type AS value, count(*) AS n FROM k GROUP BY 2 UNION ALL SELECT 'length', length(value)::VARCHAR, count(*) FROM k WHERE type = 'string' GROUP BY 2 UNION ALL SELECT 'value', value, n FROM top""",
+    "q52_version_profile": """
+WITH d AS (SELECT CASE WHEN o_orderstatus = 'P' THEN '<missing>' ELSE coalesce(o_orderstatus, '<missing>') END AS version, o_orderpriority AS label, CASE WHEN o_orderkey % 2 = 0 THEN '.jpg' ELSE '.png' END AS suffix, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey END AS num FROM orders)
+SELECT version, 'documents' AS part, NULL::VARCHAR AS value, count(*) AS n, NULL::BIGINT AS lowest, NULL::BIGINT AS highest FROM d GROUP BY 1
+UNION ALL SELECT version, 'label', label, count(*), NULL, NULL FROM d GROUP BY 1, 3 UNION ALL SELECT version, 'suffix', suffix, count(*), NULL, NULL FROM d GROUP BY 1, 3
+UNION ALL SELECT version, 'stem', NULL, count(num), min(num), max(num) FROM d WHERE num IS NOT NULL GROUP BY 1""",
+    "q53_name_counts": """
+WITH k AS (SELECT CASE o_orderkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'scan' WHEN 2 THEN 'x_y' || (o_orderkey % 5) ELSE 'none' END AS name, o_orderkey % 4 AS m FROM orders)
+SELECT CASE WHEN m = 0 THEN 'numeric' ELSE 'prefix' END AS kind, name, count(*) AS n FROM k WHERE m < 3 GROUP BY 1, 2""",
+    "q54_split_filter": f"""
+WITH {SPLIT} SELECT row_number() OVER (ORDER BY doc_id) - 1 AS ordinal, doc_id, split, 2 * (row_number() OVER (ORDER BY doc_id) - 1) AS twice FROM rows0 WHERE split = 'val'""",
+    "q55_pairing": """
+WITH l AS (SELECT 's' || (o_custkey % 400) AS stem, 'd' || (o_orderkey % 40) AS parent, '3/' || o_orderkey AS path FROM orders WHERE o_orderkey % 3 <> 0), r AS (SELECT 's' || (o_custkey % 400) AS stem, 'd' || (o_orderkey % 40) AS parent, '4/' || o_orderkey AS path FROM orders WHERE o_orderkey % 4 <> 0),
+l1 AS (SELECT *, count(*) OVER (PARTITION BY stem) AS ns, count(*) OVER (PARTITION BY stem, parent) AS np FROM l), r1 AS (SELECT *, count(*) OVER (PARTITION BY stem) AS ns, count(*) OVER (PARTITION BY stem, parent) AS np FROM r),
+plain AS (SELECT l1.path AS left_path, r1.path AS right_path FROM l1 JOIN r1 ON l1.stem = r1.stem AND l1.ns = 1 AND r1.ns = 1)
+SELECT * FROM plain UNION ALL
+SELECT l1.path, r1.path FROM l1 JOIN r1 ON l1.stem = r1.stem AND l1.parent = r1.parent AND l1.np = 1 AND r1.np = 1 WHERE l1.path NOT IN (SELECT left_path FROM plain) AND r1.path NOT IN (SELECT right_path FROM plain)""",
+    "q56_source_leak": f"""
+WITH {SPLIT}, r AS (SELECT split, source FROM rows0 JOIN documents USING (doc_id)) SELECT DISTINCT source FROM r WHERE split = 'train' AND EXISTS (SELECT 1 FROM r b WHERE b.split = 'val' AND b.source IS NOT DISTINCT FROM r.source)""",
+    "q57_unknown_labels": f"""
+WITH {ITEMS}, l AS (SELECT CASE WHEN s % 47 <> 0 THEN 'class' || (n % 3) END AS label FROM items)
+SELECT label, CASE WHEN label IS NULL THEN 'missing_or_null' ELSE 'present_non_null' END AS presence, count(*) AS n FROM l WHERE label IS NULL OR label NOT IN ('class0', 'class1') GROUP BY 1""",
+    "q58_coverage": f"WITH {MEASURED} SELECT image, round(sum(area) / 70000.0, 9) AS coverage FROM measured GROUP BY image",
+    "q58_label_counts": f"""
+WITH {ITEMS}, c AS (SELECT image, count(DISTINCT n % 3) AS k FROM items GROUP BY 1), z AS (SELECT count(*) AS m FROM items GROUP BY n % 3)
+SELECT (SELECT count(*) FROM c WHERE k = 1) AS single, (SELECT count(*) FROM c WHERE k > 1) AS multiple, (SELECT round(max(m) / min(m), 9) FROM z) AS imbalance""",
+    "q59_one_class": f"WITH {ITEMS} SELECT image, count(*) FILTER (n % 3 = 1) AS instances, CASE WHEN count(*) FILTER (n % 3 = 1) > 0 THEN 0 END AS class_id FROM items GROUP BY image",
+    "q60_latency": """
+WITH i AS (SELECT o_orderkey AS k, o_totalprice::DOUBLE / 1000 AS ms FROM orders), c AS (SELECT l_orderkey AS k, l_quantity::DOUBLE AS ms FROM lineitem WHERE l_linenumber > 2), s AS (SELECT k, sum(ms) AS ms FROM c GROUP BY k),
+a AS (SELECT i.ms, i.ms + coalesce(s.ms, 0) AS al FROM i LEFT JOIN s ON i.k = s.k)
+SELECT round(avg(ms), 6) AS first_mean, round(median(ms), 6) AS first_median, round(avg(al), 6) AS all_mean, round(median(al), 6) AS all_median, (SELECT round(avg(ms), 6) FROM c) AS second_mean, (SELECT round(median(ms), 6) FROM c) AS second_median FROM a""",
+    "q61_mask_iou": """
+WITH b AS (SELECT p_partkey AS k, p_partkey % 20 AS x1, p_partkey % 15 AS y1, 25 + p_partkey % 38 AS x2, 18 + p_partkey % 29 AS y2, p_partkey % 2 AS dy FROM part),
+a AS (SELECT *, (least(x2 + 1, 63) - x1) AS wb, (least(y2 + dy, 47) - y1 - dy + 1) AS hb FROM b),
+c AS (SELECT k, (x2 - x1 + 1) * (y2 - y1 + 1) AS na, (least(x2 + 1, 63) - (x1 + 1) + 1) * hb AS nb, (x2 - (x1 + 1) + 1) * (y2 - (y1 + dy) + 1) AS common FROM a)
+SELECT k, round(common / (na + nb - common), 9) AS iou FROM c""",
+    "q62_padded_boxes": boxed("""
+s AS (SELECT image, gt, x1, y1, x2, y2, greatest(1.2::DOUBLE * (x2 - x1), 2) AS w, greatest(1.2::DOUBLE * (y2 - y1), 2) AS h FROM gt)""")
+    + " SELECT image, gt, greatest(0, round_even((x1 + x2) / 2 - w / 2, 0))::INT AS x1, greatest(0, round_even((y1 + y2) / 2 - h / 2, 0))::INT AS y1, least(500, round_even((x1 + x2) / 2 + w / 2, 0))::INT AS x2, least(140, round_even((y1 + y2) / 2 + h / 2, 0))::INT AS y2 FROM s",
+    "q63_tensor_diff": """
+WITH s AS (SELECT label, CASE WHEN vec_id % 13 = 0 THEN CASE WHEN vec_id % 11 <> 0 THEN 'missing' END WHEN vec_id % 11 = 0 THEN 'unexpected' WHEN vec_id % 3 = 0 THEN 'different' WHEN vec_id % 17 = 0 THEN 'shape_mismatch' ELSE 'exact' END AS status FROM embeddings),
+x AS (SELECT * FROM s WHERE status IS NOT NULL AND status <> 'exact')
+SELECT 'status' AS "grouping", status AS value, count(*) AS n FROM x GROUP BY 2 UNION ALL SELECT 'label', label::VARCHAR, count(*) FROM x GROUP BY 2""",
+    "q63_state_tree": """
+SELECT event_id, 'a' AS path, event_type AS value FROM events UNION ALL SELECT event_id, 'b.0.u', user_id::VARCHAR FROM events UNION ALL SELECT event_id, 'b.1.u', (event_id % 7)::VARCHAR FROM events""",
+    "q64_metrics_long": """
+SELECT n_nationkey, 'Box_P' AS metric, round(n_nationkey / 25, 9) AS value FROM nation UNION ALL SELECT n_nationkey, 'Box_R', round(n_regionkey / 5, 9) FROM nation
+UNION ALL SELECT n_nationkey, 'Mask_P', round(n_nationkey / 50, 9) FROM nation UNION ALL SELECT n_nationkey, 'Mask_R', round(n_regionkey / 10, 9) FROM nation""",
+    "q65_counters": boxed("""
+c AS (SELECT image, 'class' || cls AS label, count(*) AS n FROM gt GROUP BY 1, 2),
+e AS (SELECT image, '{' || string_agg('"' || label || '":' || n, ',' ORDER BY label) || '}' AS counts FROM c GROUP BY 1)""")
+    + " SELECT c.image, label, n, counts, (SELECT max(x2) FROM gt WHERE gt.image = c.image)::DOUBLE AS right FROM c JOIN e ON c.image = e.image",
+    "q66_freeze_checks": f"""
+WITH {SPLIT},
+m AS (SELECT doc_id AS stem, by_id AS split, sha, grp FROM rows0), l AS (SELECT stem, split, stem % 3 AS c, stem % 101 = 1 AS bad FROM m WHERE stem % 97 <> 0),
+p AS (SELECT m.split, count(DISTINCT m.stem) AS i, count(DISTINCT l.stem) AS n FROM m LEFT JOIN l ON m.stem = l.stem GROUP BY 1),
+v AS (SELECT 'pair_count' AS "check", (SELECT count(*) FROM p WHERE i <> n) AS violations UNION ALL SELECT 'missing_label', (SELECT count(*) FROM m WHERE stem % 97 = 0) UNION ALL SELECT 'invalid_label', (SELECT count(*) FROM l WHERE bad)
+  UNION ALL SELECT 'sha256_leakage', (SELECT count(*) FROM (SELECT sha FROM m GROUP BY 1 HAVING count(DISTINCT split) > 1)) UNION ALL SELECT 'group_leakage', (SELECT count(*) FROM (SELECT grp FROM m GROUP BY 1 HAVING count(DISTINCT split) > 1))
+  UNION ALL SELECT 'overlay_class_coverage', 1)
+SELECT "check", violations, violations = 0 AS passed FROM v""",
+    "q67_training_rows": TRAINING + " SELECT * FROM trained",
+    "q67_training_summary": TRAINING + """
+SELECT count(*) FILTER (NOT valid_image) AS invalid_images, count(*) FILTER (NOT valid_target) AS invalid_targets, count(*) FILTER (is_hard AND NOT valid_image) AS hard_invalid_images, count(*) FILTER (is_hard AND NOT valid_target) AS hard_invalid_targets FROM trained""",
+    "q68_gate_chain": """
+SELECT * FROM (VALUES (0, 'no_negative_key', '0', (SELECT count(*) FILTER (o_orderkey < 0) FROM orders)::VARCHAR, 'passed'), (1, 'unique_keys', 'true', (SELECT count(*) = count(DISTINCT o_orderkey) FROM orders)::VARCHAR, 'passed'),
+  (2, 'equal_steps', 'true', 'false', 'failed'), (3, 'equal_images', 'true', 'true', 'not_reached')) t(place, gate, expected, found, status)""",
+    "q69_reproduction": """
+WITH e AS (SELECT DISTINCT day(ts) AS epoch FROM events)
+SELECT epoch, CASE WHEN epoch % 7 = 0 THEN 'loss' ELSE '' END AS bad_a, CASE WHEN epoch <> 5 THEN CASE WHEN epoch % 7 = 0 AND epoch % 14 <> 0 THEN 'loss' ELSE '' END END AS bad_b FROM e WHERE epoch = 5 OR epoch % 14 = 0""",
+    "q70_conflict_review": boxed("""
+g AS (SELECT o_custkey AS group_id, gt.* FROM gt JOIN orders ON o_orderkey = image),
+per AS (SELECT group_id, image, 'class' || cls AS label, count(*) AS n FROM g GROUP BY ALL),
+mem AS (SELECT group_id, image, string_agg(label, '|' ORDER BY label) AS class_set, string_agg(label || ':' || n, '|' ORDER BY label) AS signature, list(label ORDER BY label) AS labels FROM per GROUP BY ALL),
+ctr AS (SELECT group_id, image, avg((x1 + x2) / 1000) AS x, avg((y1 + y2) / 280) AS y FROM g GROUP BY ALL),
+spread AS (SELECT a.group_id, max(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2))) AS spread FROM ctr a JOIN ctr b ON a.group_id = b.group_id GROUP BY 1),
+sub AS (SELECT DISTINCT a.group_id FROM mem a JOIN mem b ON a.group_id = b.group_id WHERE list_has_all(b.labels, a.labels) AND len(b.labels) > len(a.labels)),
+z AS (SELECT group_id, count(*) AS member_count, string_agg(image::VARCHAR, '|' ORDER BY image::VARCHAR) AS members, array_to_string(list_sort(list(DISTINCT class_set)), ';') AS class_sets, array_to_string(list_sort(list(DISTINCT signature)), ';') AS annotation_signatures,
+  min(image % 6) AS min_phash_distance, max(image % 6) AS max_phash_distance, min(image % 9) AS min_dhash_distance, max(image % 9) AS max_dhash_distance, round(min(0.98::DOUBLE + image % 3 / 100), 6) AS min_correlation, round(max(0.98::DOUBLE + image % 3 / 100), 6) AS max_correlation
+  FROM mem GROUP BY 1 HAVING count(DISTINCT class_set) > 1)""") + """
+SELECT z.*, CASE WHEN spread <= 0.12 THEN 'LIKELY' ELSE 'UNCERTAIN' END AS same_defect_location_program_hint, round(spread, 6) AS normalized_mean_centroid_spread,
+  CASE WHEN sub.group_id IS NOT NULL THEN 'POSSIBLE' ELSE 'NOT_INFERRED' END AS one_image_seems_incompletely_annotated_program_hint, 'PENDING_HUMAN_REVIEW' AS human_group_decision
+FROM z JOIN spread ON z.group_id = spread.group_id LEFT JOIN sub ON z.group_id = sub.group_id""",
+    "q71_document_issues": """
+WITH k AS (SELECT o_orderkey AS k FROM orders)
+SELECT 'shapes_not_list' AS issue, NULL::INT AS shape_index, count(*) AS n FROM k WHERE k % 5 IN (0, 2) HAVING count(*) > 0
+UNION ALL SELECT 'shape_not_object', i, count(*) FROM k, (VALUES (1), (2)) t(i) WHERE k % 5 = 1 GROUP BY i
+UNION ALL SELECT 'image_dimension_mismatch', NULL, count(*) FROM k WHERE k % 3 <> 0 AND k % 4 <> 2 HAVING count(*) > 0""",
+    "q72_paths": """
+SELECT page_id, page_id % 3 <> 1 AS absolute, CASE page_id % 3 WHEN 0 THEN 'IMG' || page_id WHEN 1 THEN 'report' || page_id ELSE page_id::VARCHAR END AS stem, CASE page_id % 3 WHEN 0 THEN '.jpg' WHEN 1 THEN '.md' ELSE '' END AS suffix,
+  CASE page_id % 3 WHEN 0 THEN '/data/labels/IMG' || page_id || '.txt' WHEN 1 THEN 'docs/report' || page_id || '.txt' ELSE 'C:\\x\\' || page_id END AS label_path, CASE page_id % 3 WHEN 0 THEN 'image' WHEN 1 THEN 'document' ELSE 'other' END AS kind FROM pages""",
+    "q73_records": """
+SELECT k, sha256('float32|2,3|abc') AS digest, '{"k":' || k || ',"v":"NaN","w":"-Infinity"}' AS record FROM (SELECT max(o_orderkey) FILTER (o_orderkey % 3 = 0) AS k FROM orders)""",
+    "q74_number_violations": """
+SELECT o_orderkey, 'a' AS "column", 'n/a' AS value FROM orders WHERE o_orderkey % 17 = 0 UNION ALL SELECT o_orderkey, 'b', '' FROM orders WHERE o_orderkey % 19 = 0""",
 }

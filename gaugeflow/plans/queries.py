@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeflow.functions.exprs import ratio, similarity_hint, size_bin, tensor_category
-from gaugeflow.operators import dedup, gates, geometry, joins, matching, metrics, profile, sampling, split
+from gaugeflow.functions.exprs import padded_box, ratio, similarity_hint, tensor_category
+from gaugeflow.operators import dedup, gates, geometry, joins, matching, metrics, profile, report, sampling, split
+from gaugeflow.operators.ranking import global_place
 from gaugeflow.plans import fixtures as fx
 from gaugeflow.session import materialise
+from gaugeflow.sources import files
 
 QUERIES: dict = {}
 THRESHOLDS = [0.001, 0.005, 0.01, 0.05, 0.1, 0.15, 0.25, 0.35, 0.5, 0.6, 0.75, 0.9]
@@ -51,8 +53,8 @@ def q05_exact_duplicates(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def q06_near_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """C5 with the default thresholds, by bit bands; these vectors have no such pair."""
-    return _rounded(dedup.near_pairs(fx.prints(spark, d), "vec_id"))
+    """C5 with the default thresholds, by bit bands, over the vectors and planted near copies."""
+    return _rounded(dedup.near_pairs(fx.prints_with_copies(spark, d), "vec_id"))
 
 
 @query
@@ -130,9 +132,10 @@ def q13_polygon_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def q14_polygon_issues(spark: SparkSession, d: str) -> DataFrame:
-    """K1, H2: every issue of every shape, a row each."""
+    """Every issue of every shape, a row each; every fifth shape has a reversed copy in its document."""
     p = fx.polygons(spark, d)
-    found = geometry.with_issues(p, "raw", "label", "shape_type", "width", "height", ["class0", "class1", "class2"])
+    copies = p.where(F.col("gi") % 5 == 1).withColumns({"gi": F.col("gi") + 100, "raw": F.reverse("raw")})
+    found = geometry.with_issues(p.unionByName(copies), "raw", "label", "shape_type", "width", "height", "image", "gi")
     # explode would have the planner test the array for emptiness below the projections, and so compute all of them over again
     return found.select("image", "gi", F.explode_outer("issues").alias("issue")).where(F.col("issue").isNotNull())
 
@@ -180,9 +183,7 @@ def q16_split_objective(spark: SparkSession, d: str) -> DataFrame:
 @query
 def q17_train_only_bins(spark: SparkSession, d: str) -> DataFrame:
     """Size bins from train's quartiles, applied to every split; empty bins appear."""
-    m = _measured(spark, d)
-    q = m.where(F.col("split") == "train").agg(F.percentile("area", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    binned = m.crossJoin(F.broadcast(q)).select("split", size_bin(F.col("area"), F.col("q")[0], F.col("q")[1], F.col("q")[2]).alias("bin"))
+    binned = matching.binned(_measured(spark, d).select("split", "area"))
     grid = spark.createDataFrame([(s, b) for s in split.SPLITS for b in ("tiny", "small", "medium", "large")], "split string, bin string")
     return grid.join(binned.groupBy("split", "bin").agg(F.count("*").alias("shapes")), ["split", "bin"], "left").na.fill(0, ["shapes"])
 
@@ -194,8 +195,8 @@ def _boxes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame
 
 @query
 def q18_greedy_match(spark: SparkSession, d: str) -> DataFrame:
-    """One-to-one matches within a class."""
-    return matching.greedy(_boxes(spark, d)[2]).select("image", "gt", "pred", F.round("iou", 9).alias("iou"))
+    """One-to-one matches within a class, with both IoUs."""
+    return matching.greedy(_boxes(spark, d)[2]).select("image", "gt", "pred", *[F.round(c, 9).alias(c) for c in ("mask_iou", "box_iou")])
 
 
 @query
@@ -230,17 +231,33 @@ def _base_match(spark: SparkSession, d: str, conf: float = 0.25) -> tuple[DataFr
 
 @query
 def q22_fn_taxonomy(spark: SparkSession, d: str) -> DataFrame:
-    """What became of every ground truth missed at confidence 0.25."""
+    """What became of every ground truth missed at confidence 0.25."""
     g, p, c, m = _base_match(spark, d)
-    return matching.fn_taxonomy(g, c, m).select("image", "gt", "cls", "category", "pred", F.round("iou", 9).alias("iou"), "conf")
+    return matching.fn_taxonomy(g, p, c, m).select("image", "gt", "cls", "category", "pred", *[F.round(x, 9).alias(x) for x in ("mask_iou", "box_iou")], "conf")
+
+
+def _tested(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    g, p, c, m = _base_match(spark, d)
+    kept = F.col("conf") >= 0.25
+    return g, matching.test_taxonomy(g, p.where(kept), c.where(kept), m)
 
 
 @query
 def q23_test_taxonomy(spark: SparkSession, d: str) -> DataFrame:
     """Categories of ground truth and false alarms at confidence 0.25, in counts by class."""
-    g, p, c, m = _base_match(spark, d)
-    kept = F.col("conf") >= 0.25
-    return matching.test_taxonomy(g, p.where(kept), c.where(kept), m).groupBy("side", "cls", "category").agg(F.count("*").alias("n"))
+    return _tested(spark, d)[1].groupBy("side", "cls", "category").agg(F.count("*").alias("n"))
+
+
+def _categories(spark: SparkSession, d: str) -> DataFrame:
+    g, kinds = _tested(spark, d)
+    areas = g.withColumns({"area": (F.col("mx2") - F.col("mx1")) * (F.col("my2") - F.col("my1")), "split": fx.split_of()})
+    return matching.image_categories(kinds, g, matching.binned(areas).select("image", "gt", "bin"))
+
+
+@query
+def q23_image_categories(spark: SparkSession, d: str) -> DataFrame:
+    """Images by category, with the tags of small misses and of scenes with several defects."""
+    return _categories(spark, d).groupBy("category").agg(F.count("*").alias("images"))
 
 
 @query
@@ -289,9 +306,16 @@ def q26_paired_deltas(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def q27_decision_rule(spark: SparkSession, d: str) -> DataFrame:
-    """What the paired differences say."""
-    deltas = metrics.paired_deltas(_runs(spark, d), "seed", "model", "metric", EFFECTS)
-    return deltas.select("effect", metrics.decision(F.col("n"), F.col("mean"), F.col("positive")).alias("decision"))
+    """What the paired differences say, by every rule that reads two numbers and a guard."""
+    e = metrics.paired_deltas(_runs(spark, d), "seed", "model", "metric", EFFECTS)
+    seeds = metrics.seed_rule(F.col("positive"), F.col("mean"), 5)
+    recovery = metrics.recovery_rule(F.col("positive"), F.col("n") * 2)
+    delta = metrics.delta_rule(F.col("mean") / 10, F.col("highest"), F.col("lowest") + 1)
+    one = metrics.one_class_rule(F.col("highest"), F.lit(0.5), F.col("mean"), F.col("lowest"))
+    second = metrics.second_stage_rule(F.col("highest"), F.col("sd"))
+    roi = metrics.roi_rule(F.col("mean"), F.col("lowest") / 10)
+    cause = metrics.cause_rule(F.col("mean") > 0, F.col("highest") > 0.5, F.col("lowest") > 0, F.when(F.col("n") > 3, F.col("sd") < 1), F.col("sd") > 0, F.col("positive") == 1, F.col("positive") > 1)
+    return e.select("effect", seeds.alias("seeds"), recovery.alias("recovery"), delta.alias("delta"), one.alias("one_class"), second.alias("second_stage"), roi.alias("roi"), cause.alias("cause"))
 
 
 def _curve(spark: SparkSession, d: str) -> DataFrame:
@@ -315,10 +339,9 @@ def q29_first_nonfinite(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def q30_confusion(spark: SparkSession, d: str) -> DataFrame:
-    """Label against the label of the nearest other vector of the rest."""
+    """Every vector's label against the label of the nearest other vector."""
     prints, labels = fx.prints(spark, d), fx.table(spark, d, "embeddings").select("vec_id", "label")
-    asked = prints.where(F.col("vec_id") % 5 == 0)
-    found = dedup.nearest(asked, prints.where(F.col("vec_id") % 5 != 0), "vec_id")
+    found = dedup.nearest(prints, prints, "vec_id")
     pairs = found.join(labels.select(F.col("vec_id").alias("left"), F.col("label").alias("truth")), "left").join(labels.select(F.col("vec_id").alias("right"), F.col("label").alias("found")), "right")
     return metrics.classification_report(metrics.confusion(pairs, "truth", "found", list(range(10))))
 
@@ -354,8 +377,10 @@ def q32_registry_upsert(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def q33_language_audit(spark: SparkSession, d: str) -> DataFrame:
-    """Wide characters against Latin words."""
-    return profile.language_audit(fx.table(spark, d, "documents").select("doc_id", "text"), "text").drop("text")
+    """Language of the documents, their kind by a made-up path, and what to do with them."""
+    paths = F.array(*map(F.lit, ("docs/exp01_run.md", "docs/handoffs/a.md", "README.md", "docs/final_report.md", "docs/other.md", "notes/x.md")))
+    docs = fx.table(spark, d, "documents").select("doc_id", "text", F.element_at(paths, (F.col("doc_id") % 6 + 1).cast("int")).alias("path"))
+    return profile.language_audit(docs, "text", "path").drop("text")
 
 
 @query
@@ -391,32 +416,43 @@ def q37_artifact_manifest(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def q38_case_quota(spark: SparkSession, d: str) -> DataFrame:
-    """At most 64 images by quotas of category, then by score."""
-    g, p, c, m = _base_match(spark, d)
-    kinds = matching.fn_taxonomy(g, c, m).groupBy("image", "category").agg(F.count("*").cast("double").alias("score"))
-    chosen = sampling.quota(kinds, "image", "category", "score", [("NO_RESPONSE", 20), ("WRONG_CLASS", 15), ("LOCALIZATION_FAILURE", 15)], 64)
+    """At most 64 images, eight a category in the fixed order, filled up in scan order (no SQL; tested against the plain loop)."""
+    images = fx.truth(spark, d).select("image").distinct().withColumn("scan", F.col("image"))
+    chosen = sampling.case_selection(materialise(_categories(spark, d), "categories"), images, "image", "scan")
+    return spark.createDataFrame([(i, x) for i, x in enumerate(chosen)], "place int, image long")
+
+
+@query
+def q38_overlay_sample(spark: SparkSession, d: str) -> DataFrame:
+    """A check sample of 20, 15 and 15 images by split that covers every class (no SQL; tested against the plain loop)."""
+    g = fx.truth(spark, d).withColumns({"name": F.concat(F.lit("class"), F.col("cls").cast("string")), "split": fx.split_of()})
+    rows = g.groupBy("image", "split").agg(F.collect_set("name").alias("labels"), F.count("*").alias("instances"))
+    rows = rows.withColumn("score", 4 * F.array_contains("labels", "class2").cast("int") + 2 * (F.size("labels") > 1).cast("int") + F.col("instances"))
+    chosen = sampling.overlay_sample(rows, "split", "image", "labels", ["class0", "class1", "class2"], "score", {"train": 20, "val": 15, "test": 15})
     return spark.createDataFrame([(i, x) for i, x in enumerate(chosen)], "place int, image long")
 
 
 @query
 def q39_negative_sampling(spark: SparkSession, d: str) -> DataFrame:
-    """Confident predictions that hit nothing, half as many as positives."""
-    g, p, c, m = _base_match(spark, d)
-    return sampling.hard_negatives(p, c, m.count()).select("image", "pred", "conf", F.round("best", 9).alias("best"))
+    """Confident predictions that hit nothing, in each split half as many as its ground truth at most."""
+    g, p, c = _boxes(spark, d)
+    found = sampling.hard_negatives(p.where(F.col("conf") >= 0.1).withColumn("split", fx.split_of()), c, g.withColumn("split", fx.split_of()))
+    return found.select("split", "image", "pred", "conf", F.round("best", 9).alias("best"))
 
 
 @query
 def q39_background_boxes(spark: SparkSession, d: str) -> DataFrame:
-    """Two free boxes an image."""
+    """Two free boxes an image, with sizes of train's boxes."""
     g = fx.truth(spark, d)
-    images = g.select("image").distinct().withColumns({"width": F.lit(640.0), "height": F.lit(160.0)})
-    return sampling.background_boxes(images, g, 2).select("image", "place", *[F.round(c, 6).alias(c) for c in ("x1", "y1", "x2", "y2")])
+    images = g.select("image").distinct().withColumns({"width": F.lit(640), "height": F.lit(160)})
+    sizes = sampling.box_sizes(g.where(fx.split_of() == "train"))
+    return sampling.background_boxes(images, g, sizes, 2, attempts=20).select("image", "place", "x1", "y1", "x2", "y2")
 
 
 @query
 def q40_state_tree(spark: SparkSession, d: str) -> DataFrame:
-    """Vectors as named tensors."""
-    suffix = F.element_at(F.array(*map(F.lit, ("weight", "bias", "running_mean", "num_batches_tracked", "gamma"))), (F.col("vec_id") % 5 + 1).cast("int"))
+    """Vectors as named tensors."""
+    suffix = F.element_at(F.array(*map(F.lit, ("conv.weight", "bn.bias", "bn.running_mean", "bn.num_batches_tracked", "gamma", "bn.running_var", "bn.weight", "head.weight"))), (F.col("vec_id") % 8 + 1).cast("int"))
     values = F.transform("embedding", lambda x: F.when((F.col("vec_id") % 7 == 0) & (x > 0.25), F.lit(float("nan"))).otherwise(x.cast("double")))
     t = fx.table(spark, d, "embeddings").select("vec_id", F.concat(F.lit("layer."), F.col("vec_id").cast("string"), F.lit("."), suffix).alias("name"), values.alias("v"))
     out = metrics.tensor_stats(t, "v").withColumn("category", tensor_category(F.col("name")))
@@ -427,7 +463,7 @@ def q40_state_tree(spark: SparkSession, d: str) -> DataFrame:
 def q41_split_search(spark: SparkSession, d: str) -> DataFrame:
     """A searched split of the document groups (no SQL; invariants are tested)."""
     rows = _split_rows(spark, d).select("group", "labels")
-    return split.search_split(rows, "group", "labels", {"train": 0.7, "val": 0.15, "test": 0.15}, restarts=1, steps=500)
+    return split.search_split(rows, "group", "labels", {"train": 0.7, "val": 0.15, "test": 0.15}, restarts=6, steps=300)
 
 
 @query
@@ -436,7 +472,7 @@ def q42_label_lines(spark: SparkSession, d: str) -> DataFrame:
     from gaugeflow.sources import labels
 
     p = fx.polygons(spark, d).withColumn("points", geometry.as_points(F.col("quad")))
-    lines = labels.write_lines(p.where(F.col("label") != "unknown"), F.substring("label", 6, 1).cast("int"), F.col("points"), F.lit(1000.0), F.lit(1000.0))
+    lines = labels.write_lines(p.where(F.col("label") != ""), F.substring("label", 6, 1).cast("int"), F.col("points"), F.lit(1000.0), F.lit(1000.0))
     return labels.parse_lines(lines, "line", 3).groupBy("class_id", "problem").agg(F.count("*").alias("lines"), F.sum(F.size("points")).alias("points"))
 
 
@@ -452,7 +488,7 @@ def q43_two_stage(spark: SparkSession, d: str) -> DataFrame:
         for t in (0.3, 0.45):
             kept = matching.two_stage(scored, "probs", t, mode)
             kept = kept.withColumn("cls", F.col("cls") - 1) if mode == "B" else kept
-            kept = materialise(kept.select("image", "pred", "cls", "conf", *matching.BOX), "stage2")
+            kept = materialise(kept.select("image", "pred", "cls", "conf", *matching.BOX, *matching.MASK), "stage2")
             after = materialise(matching.greedy(matching.candidates(g, kept)), "after")
             row = matching.fixed_point(g, kept, after, []).crossJoin(matching.retained(m, after))
             row = row.select(F.lit(mode).alias("mode"), F.lit(t).alias("threshold"), "tp", "fp", "fn", *[F.round(x, 9).alias(x) for x in ("precision", "recall", "f1")], "eligible", "kept", "corrected", "harmed")
@@ -502,7 +538,7 @@ def q48_table_digest(spark: SparkSession, d: str) -> DataFrame:
 def q49_grouped_recall(spark: SparkSession, d: str) -> DataFrame:
     """Recall, mean and median IoU of hits by split and class."""
     g, p, c, m = _base_match(spark, d)
-    rows = g.join(m.select("image", "gt", "iou"), ["image", "gt"], "left").withColumn("split", fx.split_of())
+    rows = g.join(m.select("image", "gt", F.col("mask_iou").alias("iou")), ["image", "gt"], "left").withColumn("split", fx.split_of())
     return rows.groupBy("split", "cls").agg(F.count("*").alias("instances"), F.count("iou").alias("hits"), F.round(ratio(F.count("iou"), F.count("*")), 9).alias("recall"), F.round(F.avg("iou"), 6).alias("mean_iou"), F.round(F.median("iou"), 6).alias("median_iou"))
 
 
@@ -510,3 +546,239 @@ def q49_grouped_recall(spark: SparkSession, d: str) -> DataFrame:
 def q50_top_values(spark: SparkSession, d: str) -> DataFrame:
     """The most frequent properties, ties by first occurrence."""
     return profile.top_values(fx.table(spark, d, "events"), "props", "event_id", 20)
+
+
+@query
+def q51_duplicate_context(spark: SparkSession, d: str) -> DataFrame:
+    """The context of each document by its group of equal texts and their label sets, with errors by context; toxic stands for an error."""
+    rows = _split_rows(spark, d).withColumn("near", F.when(F.col("group").startswith("group_"), F.col("group"))).withColumn("label_set", F.array_join("labels", "|"))
+    audited = matching.duplicate_context(rows, "near", "label_set").withColumn("category", F.when(F.array_contains("labels", "toxic1"), "wrong_class").when(F.array_contains("labels", "quality0"), "low_box_iou").otherwise("TP"))
+    return matching.errors_by_context(audited).withColumn("error_rate", F.round("error_rate", 9))
+
+
+@query
+def q52_value_profile(spark: SparkSession, d: str) -> DataFrame:
+    """Kinds, lengths and the 50 most frequent values of one field of a JSON column."""
+    return profile.value_profile(fx.table(spark, d, "events"), "props", "k")
+
+
+@query
+def q52_version_profile(spark: SparkSession, d: str) -> DataFrame:
+    """Per order status (as version) its orders, priorities (as labels), suffixes of made-up paths and numeric stems."""
+    o = fx.table(spark, d, "orders")
+    stem = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("img_"), F.col("o_orderkey").cast("string"))).otherwise(F.col("o_orderkey").cast("string"))
+    path = F.concat(stem, F.when(F.col("o_orderkey") % 2 == 0, ".JPG").otherwise(".png"))
+    docs = o.select(F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).alias("version"), F.array("o_orderpriority").alias("labels"), path.alias("path"), stem.alias("stem"))
+    return profile.version_profile(docs, "version", "labels", "path", "stem")
+
+
+@query
+def q53_name_counts(spark: SparkSession, d: str) -> DataFrame:
+    """All-digit names and the prefixes of numbered ones."""
+    k = F.col("o_orderkey")
+    stem = F.when(k % 4 == 0, k.cast("string")).when(k % 4 == 1, F.concat(F.lit("scan-"), k.cast("string"))).when(k % 4 == 2, F.concat(F.lit("x_y"), (k % 5).cast("string"), F.lit("_"), k.cast("string"))).otherwise("plain")
+    return profile.name_counts(fx.table(spark, d, "orders").select(stem.alias("stem")), "stem")
+
+
+@query
+def q54_split_filter(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of one split, in the manifest's order, joined with their place by ordinal; an unknown split would stop the query."""
+    val = profile.of_split(_split_rows(spark, d).select("doc_id", "split"), "split", "val")
+    placed = global_place(val, joins.split_order(list(split.SPLITS), "split", "doc_id"), "ordinal")
+    return joins.zipped(placed, placed.select("ordinal", (F.col("ordinal") * 2).alias("twice")), "ordinal")
+
+
+@query
+def q55_pairing(spark: SparkSession, d: str) -> DataFrame:
+    """Orders with one or several candidates by name; those pair that are alone in name, or in name and folder."""
+    o = fx.table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c"))
+    side = lambda n, m: o.where(F.col("k") % n != 0).select(F.concat(F.lit("S"), (F.col("c") % 400).cast("string")).alias("stem"), F.concat(F.lit("d"), (F.col("k") % m).cast("string")).alias("parent"), F.concat_ws("/", F.lit(str(n)), F.col("k").cast("string")).alias("path"))
+    return joins.unique_pairs(side(3, 40), side(4, 40), "stem", "parent", "path")
+
+
+@query
+def q56_source_leak(spark: SparkSession, d: str) -> DataFrame:
+    """Sources of documents that are in train and val alike; a leak if they must be apart."""
+    rows = _split_rows(spark, d).join(fx.table(spark, d, "documents").select("doc_id", "source"), "doc_id")
+    return joins.shared_keys(rows.where("split = 'train'"), rows.where("split = 'val'"), "source")
+
+
+@query
+def q57_unknown_labels(spark: SparkSession, d: str) -> DataFrame:
+    """F1, B2: labels that the known classes lack, with how often they are there at all."""
+    known = spark.createDataFrame([("class0",), ("class1",)], "label string")
+    p = fx.polygons(spark, d).select(F.when(F.col("label") != "", F.col("label")).alias("label"))
+    return p.groupBy("label", profile.presence(F.col("label")).alias("presence")).agg(F.count("*").alias("n")).join(known, "label", "left_anti")
+
+
+@query
+def q58_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """Area of an image's polygons over its own."""
+    return report.coverage(_measured(spark, d), "image", "area", "width", "height").withColumn("coverage", F.round("coverage", 9))
+
+
+@query
+def q58_label_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Images of one label and of several, and the imbalance of classes."""
+    return report.label_counts(fx.truth(spark, d), "image", "cls").withColumn("imbalance", F.round("imbalance", 9))
+
+
+@query
+def q59_one_class(spark: SparkSession, d: str) -> DataFrame:
+    """Images with the shapes of one class; others stay as background."""
+    g = fx.truth(spark, d)
+    return report.one_class(g.select("image").distinct(), g, "image", "cls", 1)
+
+
+@query
+def q60_latency(spark: SparkSession, d: str) -> DataFrame:
+    """First stage an order, second stage a line item, joined by order."""
+    images = fx.table(spark, d, "orders").select(F.col("o_orderkey").alias("image"), (F.col("o_totalprice") / 1000).alias("ms"))
+    found = report.latency(images, fx.table(spark, d, "lineitem").where("l_linenumber > 2").select(F.col("l_orderkey").alias("image"), F.col("l_quantity").cast("double").alias("ms")), "image", "ms")
+    return found.select(*[F.round(c, 6).alias(c) for c in found.columns])
+
+
+@query
+def q61_mask_iou(spark: SparkSession, d: str) -> DataFrame:
+    """Polygons of parts rasterised on a 64 x 48 grid, against a shifted copy; rectangles, so SQL can count pixels."""
+    p = fx.table(spark, d, "part").select(F.col("p_partkey").alias("k"))
+    x1, y1, x2, y2 = F.col("k") % 20, F.col("k") % 15, 25 + F.col("k") % 38, 18 + F.col("k") % 29
+    unit = lambda dx, dy: (F.array(*[(a + dx) / F.lit(63.0) for a in (x1, x2, x2, x1)]), F.array(*[(b + dy) / F.lit(47.0) for b in (y1, y1, y2, y2)]))
+    mask = lambda dx, dy: geometry.polygon_mask(*unit(dx, dy), F.lit(64), F.lit(48))
+    m = p.select("k", mask(0, 0).alias("a"), mask(1, F.col("k") % 2).alias("b"))
+    return m.select("k", F.round(geometry.mask_iou("a", "b"), 9).alias("iou"))
+
+
+@query
+def q62_padded_boxes(spark: SparkSession, d: str) -> DataFrame:
+    """Boxes padded by a fifth and clipped to the image."""
+    box = padded_box(*[F.col(c) for c in matching.BOX], F.lit(500), F.lit(140))
+    return fx.truth(spark, d).select("image", "gt", box.alias("b")).select("image", "gt", "b.*")
+
+
+@query
+def q63_tensor_diff(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors against changed ones by name, and the inexact ones counted by label."""
+    e = fx.table(spark, d, "embeddings")
+    a = e.where("vec_id % 11 <> 0").select(F.col("vec_id").cast("string").alias("name"), "embedding")
+    b = e.where("vec_id % 13 <> 0").select(F.col("vec_id").cast("string").alias("name"), F.when(F.col("vec_id") % 3 == 0, F.transform("embedding", lambda x: x + F.lit(0.25).cast("float"))).when(F.col("vec_id") % 17 == 0, F.slice("embedding", 1, 5)).otherwise(F.col("embedding")).alias("embedding"))
+    found = metrics.tensor_diff(a, b, "name", "embedding").join(e.select(F.col("vec_id").cast("string").alias("name"), "label"), "name")
+    return metrics.mismatch_counts(found.withColumn("exact", F.col("status") == "exact"), "exact", "status", "label")
+
+
+@query
+def q63_state_tree(spark: SparkSession, d: str) -> DataFrame:
+    """JSON trees flattened to paths and values."""
+    e = fx.table(spark, d, "events").select("event_id", F.to_json(F.struct(F.col("event_type").alias("a"), F.array(F.struct(F.col("user_id").alias("u")), F.struct((F.col("event_id") % 7).alias("u"))).alias("b"))).alias("tree"))
+    return metrics.flattened(e, "event_id", "tree")
+
+
+@query
+def q64_metrics_long(spark: SparkSession, d: str) -> DataFrame:
+    """H5: nested metric records as columns, then as rows."""
+    n = fx.table(spark, d, "nation").select("n_nationkey", F.struct((F.col("n_nationkey") / 25.0).alias("P"), (F.col("n_regionkey") / 5.0).alias("R")).alias("Box"), F.struct((F.col("n_nationkey") / 50.0).alias("P"), (F.col("n_regionkey") / 10.0).alias("R")).alias("Mask"))
+    return report.long_metrics(report.flat_metrics(n, ["n_nationkey"], ["Box", "Mask"], ["P", "R"]), ["n_nationkey"]).withColumn("value", F.round("value", 9))
+
+
+@query
+def q65_counters(spark: SparkSession, d: str) -> DataFrame:
+    """Labels of an image as JSON counters, read back; its boxes as a JSON array and back."""
+    g = fx.truth(spark, d).withColumn("name", F.concat(F.lit("class"), F.col("cls").cast("string")))
+    encoded = report.counter_json(g, "image", "name")
+    boxes = g.select("image", F.get(report.json_array(report.array_json(F.array(*[F.col(c).cast("double") for c in matching.BOX]))), F.lit(2)).alias("x2")).groupBy("image").agg(F.max("x2").alias("right"))
+    return report.counter_rows(encoded, "image").join(encoded, "image").join(boxes, "image")
+
+
+@query
+def q66_freeze_checks(spark: SparkSession, d: str) -> DataFrame:
+    """K3: the checks before a split of documents is frozen, on a manifest split by id and label lines with faults."""
+    rows = _split_rows(spark, d).withColumn("by_id", split.hashed_split(F.col("doc_id").cast("string")))
+    manifest = rows.select(F.col("doc_id").alias("stem"), F.col("by_id").alias("split"), F.col("sha").alias("sha256"), F.col("group").alias("group_id"))
+    lines = manifest.where("stem % 97 <> 0").select("stem", "split", (F.col("stem") % 3).cast("int").alias("class_id"), F.when(F.col("stem") % 101 == 1, "no_area").alias("problem"))
+    return gates.expectations(gates.freeze_checks(manifest, lines, lines.where("class_id < 2"), [0, 1, 2]))
+
+
+@query
+def q67_training_rows(spark: SparkSession, d: str) -> DataFrame:
+    """K4, A10: integrity of label files, one an order; some lines are broken, out of range, of a bad class or without area."""
+    t = fx.items(spark, d)
+    w = F.col("p") % 40 / 100.0
+    xy = [F.col("q") / 100.0, F.col("disc") / 20.0]
+    coords = F.concat_ws(" ", (F.col("n") % 3 + F.when(F.col("p") % 53 == 0, 7).otherwise(0)).cast("string"), *[c.cast("string") for c in (xy[0], xy[1], xy[0] + w, xy[1], xy[0] + w, xy[1] + F.when(F.col("s") % 59 == 0, 3.0).otherwise(0.25))])
+    line = F.when(F.col("p") % 61 == 0, F.lit("1 0.1 0.2")).otherwise(coords)
+    lines = t.select("image", F.col("gi").alias("number"), line.alias("line"))
+    i = F.col("image")
+    images = fx.table(spark, d, "orders").select(F.col("o_orderkey").alias("image")).select(i.alias("dataset_index"), "image", (i % 10 < 3).alias("is_hard"), F.concat(F.lit("/images/"), i.cast("string"), F.lit(".png")).alias("image_path"), (i % 211 != 0).alias("image_decode_ok"), (i % 211 != 0).alias("image_finite"))
+    found = report.training_rows(images.withColumn("label_path", files.label_path(F.col("image_path"))), lines, "image", 7)
+    return found.withColumn("relative_polygon_area_sum", F.round("relative_polygon_area_sum", 9))
+
+
+@query
+def q67_training_summary(spark: SparkSession, d: str) -> DataFrame:
+    """K4: how many images and targets are invalid, in all and among the hard ones."""
+    return report.training_summary(q67_training_rows(spark, d))
+
+
+@query
+def q68_gate_chain(spark: SparkSession, d: str) -> DataFrame:
+    """A chain of equalities, the third of which fails, and whether budgets are equal."""
+    o = fx.table(spark, d, "orders")
+    budgets = sampling.budgets_equal(spark.createDataFrame([(10, 5), (10, 6)], "images int, steps int"), ["images", "steps"])
+    facts = o.agg((F.count_if(F.col("o_orderkey") < 0)).alias("negative"), (F.count("*") == F.countDistinct("o_orderkey")).alias("unique")).crossJoin(budgets)
+    return gates.gate_chain(facts, [("no_negative_key", "negative", 0), ("unique_keys", "unique", "true"), ("equal_steps", "equal_steps", "true"), ("equal_images", "equal_images", "true")])
+
+
+@query
+def q69_reproduction(spark: SparkSession, d: str) -> DataFrame:
+    """K7: epochs whose pattern of non-finite values a second run does not reproduce."""
+    one = _curve(spark, d)
+    two = one.where("epoch <> 5").withColumn("loss", F.when(F.col("epoch") % 14 == 0, F.lit(1.0)).otherwise(F.col("loss")))
+    return gates.reproduction(one, two, "epoch", ["loss", "fitness"]).select("epoch", *[F.array_join(c, "|").alias(c) for c in ("bad_a", "bad_b")])
+
+
+@query
+def q70_conflict_review(spark: SparkSession, d: str) -> DataFrame:
+    """Orders of a customer as a group of near duplicates; their label sets, hints and the spread of their centres."""
+    g = fx.truth(spark, d).join(fx.table(spark, d, "orders").select(F.col("o_orderkey").alias("image"), F.col("o_custkey").alias("group_id")), "image")
+    per = g.groupBy("group_id", "image", F.concat(F.lit("class"), F.col("cls").cast("string")).alias("label")).agg(F.count("*").alias("n"))
+    counts = per.groupBy("group_id", "image").agg(F.sort_array(F.collect_list(F.struct("label", "n"))).alias("counts"))
+    centres = g.groupBy("image").agg(F.avg((F.col("x1") + F.col("x2")) / 1000).alias("x"), F.avg((F.col("y1") + F.col("y2")) / 280).alias("y"))
+    members = counts.join(centres, "image").withColumnRenamed("image", "member")
+    edges = counts.select("group_id", (F.col("image") % 6).alias("phash_distance"), (F.col("image") % 9).alias("dhash_distance"), (F.lit(0.98) + F.col("image") % 3 / 100).alias("correlation"))
+    found = report.conflict_review(members, edges)
+    return found.withColumns({c: F.round(c, 6) for c in ("normalized_mean_centroid_spread", "min_correlation", "max_correlation")})
+
+
+@query
+def q71_document_issues(spark: SparkSession, d: str) -> DataFrame:
+    """H1, K1: shapes that are no list, entries that are no object, and sizes that differ from the image's."""
+    k = F.col("o_orderkey")
+    shapes = F.when(k % 5 == 0, F.lit('{"a":1}')).when(k % 5 == 1, F.lit('[{"label":"x"},3,"s",{"label":"y"}]')).when(k % 5 == 2, F.lit("null")).otherwise("[]")
+    raw = F.concat(F.lit('{"shapes":'), shapes, F.lit(',"imageWidth":'), (k % 4 * 10).cast("string"), F.lit(',"imageHeight":10}'))
+    o = fx.table(spark, d, "orders")
+    images = o.where("o_orderkey % 3 <> 0").select(k.cast("string").alias("path"), F.lit(20).alias("width"), F.lit(10).alias("height"))
+    return files.document_issues(o.select(k.cast("string").alias("path"), raw.alias("raw")), images).groupBy("issue", "shape_index").agg(F.count("*").alias("n"))
+
+
+@query
+def q72_paths(spark: SparkSession, d: str) -> DataFrame:
+    """What page addresses are as paths, their stems and suffixes, and their kind by the first pattern that fits."""
+    p = fx.table(spark, d, "pages").select("page_id", F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("/data/images/IMG"), F.col("page_id").cast("string"), F.lit(".JPG"))).when(F.col("page_id") % 3 == 1, F.concat(F.lit("docs/report"), F.col("page_id").cast("string"), F.lit(".md"))).otherwise(F.concat(F.lit("C:\\x\\"), F.col("page_id").cast("string"))).alias("path"))
+    kind = report.document_kind(F.lower("path"), [(r"^docs/", "document"), (r"[.]jpg$", "image")])
+    return p.select("page_id", files.absolute(F.col("path")).alias("absolute"), files.stem(F.col("path")).alias("stem"), files.suffix(F.col("path")).alias("suffix"), files.label_path(F.col("path")).alias("label_path"), kind.alias("kind"))
+
+
+@query
+def q73_records(spark: SparkSession, d: str) -> DataFrame:
+    """The last record of a log, the digest of an array, and a record with numbers that JSON lacks."""
+    lines = fx.table(spark, d, "orders").select(F.col("o_orderkey").alias("line"), F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit('step RESULT={"k":'), F.col("o_orderkey").cast("string"), F.lit("}"))).otherwise("noise").alias("value"))
+    last = joins.latest_line(lines, "RESULT", "k long")
+    digest = report.array_digest(F.lit("float32"), F.array(F.lit(2), F.lit(3)), F.lit("abc").cast("binary"))
+    return last.select("k", digest.alias("digest"), report.safe_json(F.struct(F.col("k"), F.lit(float("nan")).alias("v"), F.lit(float("-inf")).alias("w")), ["v", "w"]).alias("record"))
+
+
+@query
+def q74_number_violations(spark: SparkSession, d: str) -> DataFrame:
+    """Cells that hold something else than a number, with their column."""
+    o = fx.table(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 17 == 0, "n/a").otherwise(F.col("o_totalprice").cast("string")).alias("a"), F.when(F.col("o_orderkey") % 19 == 0, "").otherwise(F.col("o_custkey").cast("string")).alias("b"))
+    return files.cast_violations(o, ["a", "b"]).select("o_orderkey", "column", "value")

@@ -68,9 +68,21 @@ def materialise(df: DataFrame, name: str = "table", wide: bool = False) -> DataF
     """Writes ``df`` to the shared folder and returns a scan of it, whose size the planner knows.
 
     A narrow table is dealt to as many files as the cluster has cores, not to one for each of its maybe
-    many small partitions; a ``wide`` one is written as it lies.
+    many small partitions; a ``wide`` one is written as it lies. ``discard`` removes it when nothing reads it any more.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/gaugeflow/{name}-{uuid.uuid4().hex}"
     (df if wide else df.repartition(spark.sparkContext.defaultParallelism)).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes the files of materialised tables. Only for tables that no later result reads, not even to make up for a lost executor; anything else given is left alone."""
+    for table in tables:
+        path = getattr(table, "written_to", None)
+        if path:
+            spark = table.sparkSession
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

@@ -66,6 +66,26 @@ def shapes(parsed: DataFrame) -> DataFrame:
     return parsed.where(F.col("problem").isNull()).select("path", F.posexplode("a.shapes").alias("shape_index", "s")).select("path", "shape_index", "s.*")
 
 
+def document_issues(parsed: DataFrame, images: DataFrame | None = None, path: str = "path", raw: str = "raw") -> DataFrame:
+    """(path, shape_index, issue): shapes_not_list of a document whose shapes are something else than a list, shape_not_object of each entry that is no object (by its index), and
+    image_dimension_mismatch where ``images`` (path, width, height of the document's image) has another size than the document declares. Names are fixed values; a missing list is an empty one.
+    """
+    d = parsed.select(F.col(path).alias("path"), F.try_parse_json(raw).alias("v"))
+    d = d.withColumn("shapes", F.try_variant_get("v", "$.shapes", "variant"))
+    is_list = F.coalesce(F.schema_of_variant("shapes").startswith("ARRAY"), F.lit(False))
+    none = F.lit(None).cast("int")
+    lists = d.where(F.col("shapes").isNotNull() & ~is_list).select("path", none.alias("shape_index"), F.lit("shapes_not_list").alias("issue"))
+    entries = d.where(is_list).select("path", F.posexplode(F.col("shapes").cast("array<variant>")).alias("shape_index", "entry"))
+    broken = entries.where(~F.coalesce(F.schema_of_variant("entry").startswith("OBJECT"), F.lit(False))).select("path", "shape_index", F.lit("shape_not_object").alias("issue"))
+    out = lists.unionByName(broken)
+    if images is None:
+        return out
+    declared = d.select("path", F.try_variant_get("v", "$.imageWidth", "int").alias("dw"), F.try_variant_get("v", "$.imageHeight", "int").alias("dh"))
+    sized = images.select("path", F.col("width").alias("tw"), F.col("height").alias("th")).where(F.col("tw").isNotNull() & F.col("th").isNotNull())
+    off = declared.join(sized, "path").where(~F.col("dw").eqNullSafe(F.col("tw")) | ~F.col("dh").eqNullSafe(F.col("th")))
+    return out.unionByName(off.select("path", none.alias("shape_index"), F.lit("image_dimension_mismatch").alias("issue")))
+
+
 def key_counts(parsed: DataFrame) -> DataFrame:
     """How often each key occurs at the top of the documents."""
     return parsed.select(F.explode(F.json_object_keys("raw")).alias("key")).groupBy("key").agg(F.count("*").alias("n"))
@@ -119,3 +139,67 @@ def freeze(df: DataFrame, path: str, by: str, note: dict[str, str]) -> DataFrame
     record = table_digest(df.select(*sorted(df.columns))).withColumns({k: F.lit(v) for k, v in note.items()})
     record.coalesce(1).write.mode("errorifexists").json(f"{path}/provenance")
     return spark.read.json(f"{path}/provenance")
+
+
+def simple_yaml(text: str) -> dict:
+    """A configuration of the kind that datasets carry: ``key: value`` lines, and under a key without value either ``- item`` lines or indented ``key: value`` lines. Comments and blank lines are skipped; numbers, booleans and null are typed. Anything deeper raises ValueError."""
+    out: dict = {}
+    last = None
+    for line in text.splitlines():
+        bare = line.split(" #")[0].rstrip() if not line.lstrip().startswith("#") else ""
+        if not bare.strip():
+            continue
+        body = bare.strip()
+        if bare[0] in " -" and last is not None:
+            if body.startswith("- "):
+                out[last] = out[last] or []
+                out[last].append(_scalar(body[2:]))
+                continue
+            name, colon, value = body.partition(":")
+            if colon and value.strip():
+                out[last] = out[last] or {}
+                out[last][_scalar(name)] = _scalar(value)
+                continue
+            raise ValueError(f"not understood: {line!r}")
+        name, colon, value = body.partition(":")
+        if not colon:
+            raise ValueError(f"not understood: {line!r}")
+        last = None if value.strip() else str(_scalar(name))
+        out[str(_scalar(name))] = _scalar(value) if value.strip() else None
+    return out
+
+
+def _scalar(text: str):
+    text = text.strip()
+    if len(text) > 1 and text[0] == text[-1] and text[0] in "'\"":
+        return text[1:-1]
+    if text in ("", "~", "null"):
+        return None
+    if text in ("true", "false"):
+        return text == "true"
+    if text.startswith("[") and text.endswith("]"):
+        return [_scalar(x) for x in text[1:-1].split(",") if x.strip()]
+    for kind in (int, float):
+        try:
+            return kind(text)
+        except ValueError:
+            pass
+    return text
+
+
+def write_simple_yaml(values: dict) -> str:
+    """The text that ``simple_yaml`` reads back; texts that look like something else are quoted."""
+    def one(x) -> str:
+        if isinstance(x, str):
+            return x if _scalar(x) == x and not set(x) & set(":#,[]'\"") and x == x.strip() else "'" + x + "'"
+        return "null" if x is None else str(x).lower() if isinstance(x, bool) else str(x)
+
+    out = []
+    for k, v in values.items():
+        if isinstance(v, dict):
+            out += [f"{one(k)}:", *[f"  {one(a)}: {one(b)}" for a, b in v.items()]]
+        elif isinstance(v, list):
+            out += [f"{one(k)}:", *[f"- {one(x)}" for x in v]]
+        else:
+            out.append(f"{one(k)}: {one(v)}")
+    return "\n".join(out) + "\n"

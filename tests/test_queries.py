@@ -43,6 +43,5 @@ def test_query(name, spark, sf_dir, duck):
     names = [c[0] for c in cursor.description]
     assert sorted(names) == sorted(found.columns)
     expected = cursor.fetchall()
-    if name != "q06_near_pairs":  # no pair of these vectors is so near
-        assert expected
+    assert expected
     assert rows(found.columns, data) == rows(names, expected)

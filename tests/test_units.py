@@ -15,7 +15,7 @@ from gaugeflow.functions import exprs
 from gaugeflow.operators import dedup, gates, geometry, joins, matching, metrics, profile, sampling, split
 from gaugeflow.sources import files, images, labels
 
-PAIR = "image long, gt long, pred long, gt_cls int, pred_cls int, conf double, iou double"
+PAIR = "image long, gt long, pred long, gt_cls int, pred_cls int, conf double, mask_iou double, box_iou double"
 
 
 def sequential(pairs, least=0.5, by_class=True):
@@ -29,9 +29,9 @@ def sequential(pairs, least=0.5, by_class=True):
 
 
 def test_greedy_ties_and_chains(spark):
-    chain = [(1, 0, 0, 0, 0, 0.5, 0.9), (1, 0, 1, 0, 0, 0.5, 0.8), (1, 1, 0, 0, 0, 0.5, 0.85)]
-    ties = [(2, g, p, 0, 0, 0.5, 0.7) for g in range(2) for p in range(2)]
-    other = [(3, 0, 0, 0, 1, 0.5, 0.9)]
+    chain = [(1, 0, 0, 0, 0, 0.5, 0.9, 0.0), (1, 0, 1, 0, 0, 0.5, 0.8, 0.0), (1, 1, 0, 0, 0, 0.5, 0.85, 0.0)]
+    ties = [(2, g, p, 0, 0, 0.5, 0.7, 0.0) for g in range(2) for p in range(2)]
+    other = [(3, 0, 0, 0, 1, 0.5, 0.9, 0.0)]
     found = {(r["image"], r["gt"], r["pred"]) for r in matching.greedy(spark.createDataFrame(chain + ties + other, PAIR)).collect()}
     assert found == {(1, 0, 0), (2, 1, 1), (2, 0, 0)}
     assert matching.greedy(spark.createDataFrame([], PAIR)).count() == 0
@@ -39,7 +39,7 @@ def test_greedy_ties_and_chains(spark):
 
 def test_greedy_rounds_equal_the_sequential_scan(spark):
     rng = random.Random(3)
-    rows = [(image, g, p, rng.randrange(2), rng.randrange(2), 0.5, rng.choice([0.4, 0.5, 0.6, 0.7])) for image in range(40) for g, p in itertools.product(range(5), range(5)) if rng.random() < 0.6]
+    rows = [(image, g, p, rng.randrange(2), rng.randrange(2), 0.5, rng.choice([0.4, 0.5, 0.6, 0.7]), 0.9) for image in range(40) for g, p in itertools.product(range(5), range(5)) if rng.random() < 0.6]
     for by_class in (True, False):
         found = matching.greedy(spark.createDataFrame(rows, PAIR), by_class=by_class).collect()
         for image in range(40):
@@ -97,11 +97,17 @@ def test_polygons(spark):
         "square": SQUARE, "closed": [*SQUARE, SQUARE[0]], "repeat": [SQUARE[0], *SQUARE], "bow": [[0.0, 0.0], [2.0, 2.0], [2.0, 0.0], [0.0, 2.0]],
         "two": SQUARE[:2], "nan": [*SQUARE, [math.nan, 1.0]], "short": [*SQUARE, [1.0]], "turned": [*SQUARE[2:], *SQUARE[:2]][::-1], "out": [[-1.0, 0.0], [2.0, 0.0], [2.0, 2.0]],
     }
-    d = spark.createDataFrame([(k, v, "c", "polygon", 4.0, 4.0) for k, v in cases.items()], "name string, raw array<array<double>>, label string, shape string, w double, h double")
-    got = {r["name"]: r["issues"] for r in geometry.with_issues(d, "raw", "label", "shape", "w", "h", ["c"]).collect()}
-    assert got == {"square": [], "closed": ["repeated_point"], "repeat": ["repeated_point"], "bow": ["self_intersection", "zero_area"], "two": ["too_few_points"], "nan": ["malformed_point"], "short": ["malformed_point"], "turned": [], "out": ["out_of_bounds"]}
+    d = spark.createDataFrame([(k, i, v, "c", "polygon", 4.0, 4.0) for i, (k, v) in enumerate(cases.items())], "name string, i int, raw array<array<double>>, label string, shape string, w double, h double")
+    issues = lambda d, doc: {r["name"]: r["issues"] for r in geometry.with_issues(d, "raw", "label", "shape", "w", "h", doc, "i").collect()}
+    flat = ["fewer_than_3_unique_points", "zero_area_polygon"]
+    assert issues(d, "name") == {"square": [], "closed": [], "repeat": [], "bow": ["zero_area_polygon", "self_intersection"], "two": flat, "nan": ["nan_or_inf_coordinate"], "short": ["invalid_point_structure"], "turned": [], "out": ["polygon_out_of_bounds"]}
+    # in one document all that are squares but the first are duplicates of it, whatever was wrong with their points
+    found = issues(d.withColumn("doc", F.lit(1)), "doc")
+    assert {k for k, v in found.items() if "duplicate_polygon" in v} == {"closed", "repeat", "nan", "short", "turned"}
+    odd = spark.createDataFrame([("null", 0, None, None, None, None, None)], d.schema)
+    assert issues(odd, "name") == {"null": ["non_polygon_shape", "empty_label", "invalid_point_structure", *flat]}
     strict = {r["name"]: r for r in d.select("name", geometry.clean_strict(F.col("raw")).alias("p"), geometry.reject(F.col("raw"), F.col("shape"), F.col("w"), F.col("h")).alias("why")).collect()}
-    assert len(strict["nan"]["p"]) == 0 and len(strict["closed"]["p"]) == 4 and strict["bow"]["why"] == "degenerate" and strict["square"]["why"] is None
+    assert len(strict["nan"]["p"]) == 0 and len(strict["closed"]["p"]) == 4 and strict["bow"]["why"] == "degenerate_polygon" and strict["square"]["why"] is None and strict["nan"]["why"] == "fewer_than_3_valid_points"
     keys = {r["name"]: r["key"] for r in d.where("name IN ('square', 'turned')").select("name", geometry.canonical(F.col("label"), geometry.as_points(F.col("raw"))).alias("key")).collect()}
     assert keys["square"] == keys["turned"]
 
@@ -172,9 +178,133 @@ def test_weighted_draws_find_their_rows(spark):
     assert abs(sum(r["k"] % 3 == 0 for r in got) / 6000 - 5 / 7) < 0.03
 
 
-def test_quota(spark):
-    d = spark.createDataFrame([(i, "a" if i % 2 else "b", float(i)) for i in range(10)], "k long, c string, s double")
-    assert sampling.quota(d, "k", "c", "s", [("a", 2), ("b", 1)], 5) == [9, 7, 8, 6, 5]
+def plain_cases(images, categories, wanted, each, cap):
+    """The loop as it is defined: scan order, one category after the other."""
+    selected = []
+    for name in wanted:
+        for image in images:
+            if image not in selected and name in categories.get(image, ()):
+                selected.append(image)
+                if sum(name in categories.get(x, ()) for x in selected) >= each:
+                    break
+    for image in images:
+        if len(selected) >= cap:
+            break
+        if image not in selected:
+            selected.append(image)
+    return selected[:cap]
+
+
+def test_case_selection_equals_the_plain_loop(spark):
+    rng = random.Random(8)
+    for n, share, each, cap in ((120, 0.3, 8, 64), (120, 0.02, 3, 20), (10, 0.5, 8, 64)):
+        categories = {i: {c for c in sampling.CASE_ORDER if rng.random() < share} for i in range(n)}
+        d = spark.createDataFrame([(i, c) for i, cs in categories.items() for c in cs], "image long, category string")
+        images = spark.range(n).withColumnRenamed("id", "image").withColumn("scan", -F.col("image"))
+        found = sampling.case_selection(d, images, "image", "scan", each=each, cap=cap)
+        assert found == plain_cases(list(range(n))[::-1], categories, sampling.CASE_ORDER, each, cap)
+
+
+def test_overlay_sample_covers_classes_and_quotas(spark):
+    rows = [(i, ("train", "val", "test")[i % 3], ["a"] if i % 11 else ["a", "b"], i % 7) for i in range(90)]
+    d = spark.createDataFrame(rows, "k long, split string, labels array<string>, score int")
+    quotas = {"train": 5, "val": 3, "test": 2}
+    found = sampling.overlay_sample(d, "split", "k", "labels", ["a", "b"], "score", quotas)
+    assert len(found) == len(set(found)) == 10 and any(11 * (k // 11) == k for k in found)
+    by = {s: [k for k in found if rows[k][1] == s] for s in quotas}
+    assert {s: len(v) for s, v in by.items()} == quotas
+    # of each split, what is left out scores no more than what the last step took
+    for s, taken in by.items():
+        rest = [k for k in taken if k not in found[:2]]
+        assert min((rows[k][3] for k in rest), default=9) >= max(r[3] for r in rows if r[1] == s and r[0] not in taken)
+    with pytest.raises(ValueError):
+        sampling.overlay_sample(d, "split", "k", "labels", ["z"], "score", quotas)
+
+
+def boxes(spark, truth, predictions):
+    """Boxes of side 10 at (x, 0), masks that fill them."""
+    b = lambda k, d: d.withColumns({"x2": F.col("x1") + 10, "y1": F.lit(0), "y2": F.lit(10)}).withColumns({"mx1": F.col("x1"), "my1": F.col("y1"), "mx2": F.col("x2"), "my2": F.col("y2")})
+    g = b("gt", spark.createDataFrame(truth, "image long, gt long, cls int, x1 int"))
+    return g, b("pred", spark.createDataFrame(predictions, "image long, pred long, cls int, conf double, x1 int"))
+
+
+def test_far_prediction_of_the_class_is_a_localisation_failure(spark):
+    truth = [(1, 0, 0, 0), (2, 0, 0, 0), (3, 0, 0, 0), (4, 0, 0, 0), (5, 0, 0, 0), (6, 0, 0, 0)]
+    # far away; of another class; on the spot but of another class; none; near with little confidence; two far ones
+    predictions = [(1, 0, 0, 0.9, 500), (2, 0, 1, 0.9, 500), (3, 0, 1, 0.9, 1), (5, 0, 0, 0.1, 2), (6, 3, 0, 0.9, 400), (6, 2, 0, 0.9, 500)]
+    g, p = boxes(spark, truth, predictions)
+    pairs = matching.candidates(g, p)
+    base = matching.greedy(pairs.where("conf >= 0.25"))
+    got = {r["image"]: (r["category"], r["pred"], r["mask_iou"]) for r in matching.fn_taxonomy(g, p, pairs, base).collect()}
+    nine = pytest.approx(9 / 11)
+    assert got == {1: ("LOCALIZATION_FAILURE", 0, 0.0), 2: ("NO_RESPONSE", None, None), 3: ("WRONG_CLASS", 0, nine), 4: ("NO_RESPONSE", None, None), 5: ("LOW_CONF_RECOVERABLE", 0, pytest.approx(8 / 12)), 6: ("LOCALIZATION_FAILURE", 2, 0.0)}
+    kept = p.where("conf >= 0.25")
+    pool = {r["image"]: r["score"] for r in matching.hard_pool(g, g, kept, pairs.where("conf >= 0.25"), base).collect()}
+    assert pool == {1: 3, 2: 4, 3: 3, 4: 3, 5: 3, 6: 4}
+    agnostic = matching.greedy(pairs, by_class=False)
+    found = {(r["image"], r["side"], r["index"]): r["category"] for r in matching.agnostic_taxonomy(g, p, pairs, agnostic).collect()}
+    assert found[1, "gt", 0] == "low_box_iou" and found[2, "gt", 0] == "FN_no_same_class_candidate" and found[3, "gt", 0] == "wrong_class" and found[5, "gt", 0] == "TP" and found[6, "pred", 3] == "FP_unmatched"
+
+
+def test_masks_and_boxes_are_judged_apart(spark):
+    g, p = boxes(spark, [(1, 0, 0, 0), (2, 0, 0, 0)], [(1, 0, 0, 0.9, 0), (2, 0, 1, 0.9, 0)])
+    p = p.withColumn("my2", F.lit(4))  # the mask fills four of ten rows
+    pairs = matching.candidates(g, p)
+    assert {(r["image"], r["mask_iou"], r["box_iou"]) for r in pairs.collect()} == {(1, 0.4, 1.0), (2, 0.4, 1.0)}
+    none = matching.greedy(pairs)
+    assert none.count() == 0
+    got = {r["image"]: r["category"] for r in matching.fn_taxonomy(g, p, pairs, none).collect()}
+    assert got == {1: "LOCALIZATION_FAILURE", 2: "WRONG_CLASS"}
+    assert {r["category"] for r in matching.agnostic_taxonomy(g.where("image = 1"), p.where("image = 1"), pairs, none).where("side = 'gt'").collect()} == {"low_mask_iou"}
+    runs = lambda *x: F.array(*[F.lit(v) for v in x])
+    pairs = matching.candidates(g.withColumn("runs", runs(0, 10)), p.withColumn("runs", runs(5, 10)))
+    assert [r["mask_iou"] for r in pairs.collect()] == [pytest.approx(5 / 15)] * 2
+    tags = matching.image_categories(matching.test_taxonomy(g, p, pairs, none), g, g.select("image", "gt", F.lit("tiny").alias("bin")))
+    assert {tuple(r) for r in tags.collect()} == {(1, "LOCALIZATION_FAILURE"), (1, "FP"), (1, "TINY_SMALL_MISS"), (2, "WRONG_CLASS"), (2, "FP"), (2, "TINY_SMALL_MISS")}
+
+
+def test_strict_joins_and_split_domain(spark):
+    a, b = spark.createDataFrame([(0, "x"), (1, "y")], "o int, a string"), spark.createDataFrame([(1, 5), (0, 4)], "o int, b int")
+    assert sorted(map(tuple, joins.zipped(a, b, "o").collect())) == [(0, "x", 4), (1, "y", 5)]
+    for bad in (b.where("o = 0"), b.unionByName(b), b.unionByName(spark.createDataFrame([(2, 1)], b.schema))):
+        with pytest.raises(Exception, match="no one partner"):
+            joins.zipped(a, bad, "o").collect()
+    s = spark.createDataFrame([(1, "train"), (2, "val")], "k int, s string")
+    assert [r["k"] for r in profile.of_split(s, "s", "val").collect()] == [2]
+    with pytest.raises(Exception, match="unknown split"):
+        profile.of_split(s.withColumn("s", F.lit("dev")), "s", "val").collect()
+    sets = spark.createDataFrame([(1, ["a"]), (1, ["a", "b"]), (2, ["a"]), (2, ["b"]), (3, []), (3, ["a"])], "g int, l array<string>")
+    assert {r["g"]: r["subset_relation"] for r in joins.subset_groups(sets, "g", "l").collect()} == {1: True, 2: False, 3: False}
+
+
+def test_rules(spark):
+    d = spark.createDataFrame([(3, 0.1), (2, 0.1), (1, -0.1), (2, -0.1), (1, 0.1)], "p int, m double")
+    assert [r[0] for r in d.select(metrics.seed_rule(F.col("p"), F.col("m"))).collect()] == ["HARD_MINING_STRONG_ROBUST_POSITIVE", "HARD_MINING_ROBUST_POSITIVE", "HARD_MINING_NOT_CONFIRMED", "HARD_MINING_UNSTABLE", "HARD_MINING_UNSTABLE"]
+    one = lambda c: spark.range(1).select(c).collect()[0][0]
+    lit = F.lit
+    assert [one(metrics.delta_rule(lit(x), lit(r), lit(0.5))) for x, r in ((0.005, 0.48), (0.005, 0.47), (-0.005, 0.5), (0.0, 0.5))] == ["POSITIVE_CANDIDATE", "NO_CLEAR_GAIN", "NEGATIVE", "NO_CLEAR_GAIN"]
+    assert [one(metrics.second_stage_rule(lit(x), lit(0.5))) for x in (0.53, 0.51, 0.4)] == ["POSITIVE_CANDIDATE", "TRADEOFF_ONLY", "NEGATIVE"]
+    assert [one(metrics.roi_rule(lit(x), lit(w))) for x, w in ((0.1, 0.0), (0.1, -0.2), (-0.005, 0.0), (-0.1, 0.0))] == ["SUPCON_POSITIVE", "NEGATIVE", "NO_CLEAR_GAIN", "NEGATIVE"]
+    names = ["a.conv.weight", "b.weight", "c.bn.weight", "c.bn.bias", "d.running_mean", "d.running_var", "e.num_batches_tracked", "f.bias"]
+    got = [r[0] for r in spark.createDataFrame([(n,) for n in names], "n string").select(exprs.tensor_category(F.col("n"))).collect()]
+    assert got == ["conv_weight", "conv_weight", "bn_weight", "bn_bias", "bn_running_mean", "bn_running_var", "bn_num_batches_tracked", "other"]
+
+
+def test_language_audit_limits(spark):
+    texts = {"empty": "", "zh": "\u3400" * 7 + " a b c", "en": "\u4e00" * 3 + " a_1 b.c d-e f g h i", "mixed": "\u4e00\u4e00 ab c"}
+    d = spark.createDataFrame([(k, v, "docs/exp1.md") for k, v in texts.items()], "k string, t string, p string")
+    got = {r["k"]: (r["language"], r["n_zh"], r["n_en"], r["action"]) for r in profile.language_audit(d, "t", "p").collect()}
+    keep, make = "keep_original_reference_from_zh_hub", "keep_original_create_zh_companion"
+    assert got == {"empty": ("mixed", 0, 0, keep), "zh": ("zh-dominant", 7, 3, keep), "en": ("en-dominant", 3, 7, make), "mixed": ("mixed", 2, 2, make)}
+
+
+def test_duplicate_context_and_values(spark):
+    rows = spark.createDataFrame([(1, None, "a"), (2, "g", "a"), (3, "g", "a"), (4, "h", "a"), (5, "h", "b")], "k int, g string, l string")
+    got = {r["k"]: r["duplicate_context"] for r in matching.duplicate_context(rows, "g", "l").collect()}
+    assert got == {1: "singleton", 2: "near_same_label", 3: "near_same_label", 4: "near_cross_label", 5: "near_cross_label"}
+    docs = spark.createDataFrame([('{"v":[1,"x",1]}',), ('{"v":"abc"}',), ('{"v":null}',), ("{}",), ("not json",), ('{"v":{"a":1}}',)], "j string")
+    found = {(r["part"], r["value"]): r["n"] for r in profile.value_profile(docs, "j", "v").collect()}
+    assert found["type", "array"] == 1 and found["type", "missing"] == 2 and found["type", "null"] == 1 and found["length", "3"] == 2 and found["value", "1"] == 2 and found["value", "abc"] == 1
 
 
 def test_tensor_and_config_diff(spark):
