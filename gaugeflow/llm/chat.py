@@ -2,7 +2,7 @@
 
 The template names each role's opening and closing marks and whether its text is trained on; the
 machine's transitions say which role may follow which. Formatting emits segments (text, loss flag)
-in order; their concatenation is the formatted conversation. Inside texts and unknown role names every
+in order; their concatenation is the formatted conversation, and the loss mask is also given as spans of it. Inside texts and unknown role names every
 character that can begin a mark, and the escape character itself, is replaced by an escape code, so
 no mark can arise inside a text or across its borders, and ``parse`` gets every text back exactly.
 
@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -74,7 +74,7 @@ def role_code(role: Column, template: Template) -> Column:
 
 
 def format_conversations(turns: DataFrame, template: Template = Template(), conv_column: str = "conv_id", turn_column: str = "turn", role_column: str = "role", text_column: str = "text") -> DataFrame:
-    """conv_id, segments (array of text and loss), formatted, n_turns, valid and error_turn; one row a conversation."""
+    """conv_id, segments (array of text and loss), formatted, loss_spans (start and end, exclusive, of the trained texts in ``formatted``), n_turns, valid and error_turn; one row a conversation."""
     template.check()
     d = turns.select(
         F.col(conv_column).cast("long").alias("conv_id"), F.col(turn_column).cast("long").alias("turn"),
@@ -82,22 +82,26 @@ def format_conversations(turns: DataFrame, template: Template = Template(), conv
     )
     trained = [r.name for r in template.roles if r.loss]
     before, after = template.opening.split("{role}")
-    segments = F.array(
-        F.struct(F.concat(F.lit(before), role_code(F.col("role"), template), F.lit(after)).alias("text"), F.lit(False).alias("loss")),
-        F.struct(escaped(F.col("text"), template).alias("text"), F.col("role").isin(*trained).alias("loss")),
-        F.struct(F.lit(template.closing).alias("text"), F.lit(False).alias("loss")),
-    )
-    d = d.select("conv_id", F.struct("turn", "role", "text", segments.alias("segments")).alias("t"))
+    head = lambda t: F.concat(F.lit(before), role_code(t["role"], template), F.lit(after))
+    row = {"role": F.col("role"), "text": F.col("text")}
+    # where each text lies in the formatted conversation: lengths of what comes before it, summed in the turns' order
+    d = d.withColumns({"opens": F.char_length(head(row)), "size": F.char_length(escaped(row["text"], template))})
+    earlier = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(F.col("opens") + F.col("size") + len(template.closing)).over(earlier), F.lit(0)) + F.col("opens")
+    d = d.select("conv_id", F.struct("turn", "role", "text", start.alias("start"), (start + F.col("size")).alias("end")).alias("t"))
     d = d.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
     # the machine: state is the last role, "!" once a turn is out of order; bad is that turn's place
     moves = F.array(*[F.lit(f"{a}>{b}") for a, nexts in template.transitions.items() for b in nexts])
-    start = F.struct(F.lit("").alias("state"), F.lit(0).alias("at"), F.lit(-1).alias("bad"))
+    first = F.struct(F.lit("").alias("state"), F.lit(0).alias("at"), F.lit(-1).alias("bad"))
     step = lambda s, t: F.struct(t["role"].alias("state"), (s["at"] + 1).alias("at"), F.when((s["bad"] < 0) & ~F.array_contains(moves, F.concat(s["state"], F.lit(">"), t["role"])), s["at"]).otherwise(s["bad"]).alias("bad"))
-    d = d.withColumn("end", F.aggregate("turns", start, step))
-    d = d.withColumn("segments", F.flatten(F.transform("turns", lambda t: t["segments"])))
+    d = d.withColumn("end", F.aggregate("turns", first, step))
+    part = lambda text, loss: F.struct(text.alias("text"), loss.alias("loss"))
+    no = F.lit(False)
+    d = d.withColumn("segments", F.flatten(F.transform("turns", lambda t: F.array(part(head(t), no), part(escaped(t["text"], template), t["role"].isin(*trained)), part(F.lit(template.closing), no)))))
     ended = F.col("end.state").isin(*template.final)
     return d.select(
         "conv_id", "segments", F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("formatted"),
+        F.transform(F.filter("turns", lambda t: t["role"].isin(*trained)), lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"))).alias("loss_spans"),
         F.size("turns").cast("long").alias("n_turns"), ((F.col("end.bad") < 0) & ended).alias("valid"),
         F.when(F.col("end.bad") >= 0, F.col("end.bad")).when(~ended, F.col("end.at")).alias("error_turn"),
     )
@@ -121,9 +125,9 @@ def _quoted(text: str) -> str:
 
 
 def digests(formatted: DataFrame, template: Template = Template()) -> DataFrame:
-    """What the formatted conversations hold: digests of the parsed turns and of the text under the loss mask."""
+    """What the formatted conversations hold: digests of the turns parsed from them and of the texts that the loss spans cut out of them."""
     d = parse(formatted, template)
-    loss = F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescaped(s["text"], template)), "")
+    loss = F.array_join(F.transform("loss_spans", lambda s: unescaped(F.substr(F.col("formatted"), (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")), template)), "")
     d = d.withColumn("loss_text", loss)
     return d.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"),
