@@ -15,7 +15,8 @@ candidates in place; every task returns its k best for each query, and the final
 the number of queries is not bounded, and no candidate is shuffled.
 
 Behaviour: ids or vectors that are null, vectors with null or non-finite components and empty vectors
-take no part. Only vectors of the same length are compared. Equal scores go to the smaller id.
+take no part. A component whose whole number does not fit 64 bits counts as the nearest that does, and a score beyond
+2**62 - 1 either way counts as that; smaller ones are exact, however large the components. Only vectors of the same length are compared. Equal scores go to the smaller id.
 A query's own row, which is every row with its id, is no candidate; repeated rows are candidates of
 their own for others. Fewer candidates than k give fewer rows.
 """
@@ -32,8 +33,9 @@ from pyspark.sql import functions as F
 from gaugeflow.session import ship
 
 BLOCK_ROWS, CHUNK_ROWS, LEAF, GROUP, BASE = 4096, 20_000, 64, 4, 1.3
-#: A score below every inner product of numbers under 2**52.
+#: A score below every other; scores beyond it either way count as the next to it.
 NONE = -(1 << 62)
+MOST = -NONE - 1
 
 
 class Node:
@@ -93,16 +95,17 @@ class Search:
         order = np.argsort(ids, kind="stable")
         ids, vectors = ids[order], vectors[order]
         tree = cover_tree(vectors.astype(np.float64))
-        exact = float(np.abs(self.vectors).max(initial=0)) * float(np.abs(vectors).max(initial=0)) * self.vectors.shape[1] < 2**52
+        largest = lambda x: float(np.abs(x.astype(np.float64)).max(initial=0))
+        exact = largest(self.vectors) * largest(vectors) * self.vectors.shape[1] < 2**52
         own = (self.vectors if exact else self.vectors.astype(object)), (vectors if exact else vectors.astype(object))
         self.float = [x.astype(np.float64) if exact else x for x in own]
         stack = [(self.tree, tree)]
         while stack:
             q, c = stack.pop()
             worst = self.scores[q.rows, -1].min()
-            # the bound is taken in floats; a relative slack covers their rounding
+            # the bound is taken in floats; a relative slack covers their rounding. No score is under -MOST
             bound = float(q.center @ c.center) + q.radius * c.norm + c.radius * q.norm + q.radius * c.radius
-            if bound + 1e-9 * abs(bound) + 1 < worst:
+            if max(bound + 1e-9 * abs(bound) + 1, -MOST) < worst:
                 self.pruned += 1
                 continue
             if not q.children and not c.children:
@@ -117,7 +120,7 @@ class Search:
     def leaves(self, q: np.ndarray, c: np.ndarray, ids: np.ndarray) -> None:
         self.met += len(q) * len(c)
         products = self.float[0][q] @ self.float[1][c].T
-        products = np.asarray(products, np.float64).astype(np.int64) if self.float[0].dtype != object else products.astype(np.int64)
+        products = np.asarray(products, np.float64).astype(np.int64) if self.float[0].dtype != object else np.minimum(np.maximum(products, -MOST), MOST).astype(np.int64)
         products[self.ids[q][:, None] == ids[c][None, :]] = NONE
         hit = (products >= self.scores[q, -1][:, None]).any(1)
         rows = q[hit]
