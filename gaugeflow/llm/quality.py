@@ -10,8 +10,8 @@ Features come from one pass over each whole text: shares of character classes fr
 counts of words, pairs of words and lines. Fitting takes a bounded sample of labelled rows
 (``sample_rows``, the lowest hashes of the id); scoring happens in the rows' own partitions, without a shuffle.
 
-Behaviour: null text counts as empty; its features are zeros. Without labelled rows of both
-classes the score is the share of label 1 (0 without rows). Repeated rows get equal scores; other
+Behaviour: null text counts as empty; its features are zeros. A very long text is read whole. Without labelled rows of both
+classes the score is the share of label 1 (0 without rows). An empty table gives an empty result. Repeated rows get equal scores; other
 columns are not read. Equal gains go to the first feature and the lowest cut.
 """
 
