@@ -17,7 +17,7 @@ No shuffle: each partition encodes its own rows, so a lost executor costs only i
 import hashlib
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeflow.llm.common import chunks, ids_and_texts, worker_object
+from gaugeflow.llm.common import chunks, ids_and_texts, text_or_empty, worker_object
 from gaugeflow.session import ship
 
 NODES = 500_000
@@ -223,12 +223,14 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def encode(docs: DataFrame, path: str | None = None, id_column: str = "doc_id", text_column: str = "text", digests_only: bool = False) -> DataFrame:
-    """doc_id, ids (array<int>), n_tokens, decoded text and the SHA-256 of ids and decoded text; ``digests_only`` leaves ids and text out."""
+def encode(docs: DataFrame, path: str | None = None, id_column: str = "doc_id", text_column: str = "text", digests_only: bool = False, keep: Sequence[str] = ()) -> DataFrame:
+    """doc_id, ids (array<int>), n_tokens, decoded text and the SHA-256 of ids and decoded text, and the columns ``keep`` of ``docs``; ``digests_only`` leaves ids and text out."""
     spark = docs.sparkSession
     ship(spark)
     source = spark.sparkContext.broadcast(read_vocabulary(path or default_path()))
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ("" if digests_only else ", ids array<int>, decoded string")
+    own = ids_and_texts(docs, id_column, text_column) if not keep else docs.select(F.col(id_column).cast("long").alias("doc_id"), text_or_empty(text_column).alias("text"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)])
+    schema += "".join(f", c{i} {own.schema[f'c{i}'].dataType.simpleString()}" for i in range(len(keep)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(source.value)
@@ -240,9 +242,11 @@ def encode(docs: DataFrame, path: str | None = None, id_column: str = "doc_id",
             if not digests_only:
                 columns += [pa.array([np.frombuffer(x, "<i4") for x in packed], pa.list_(pa.int32())), pa.array(decoded, pa.string())]
                 names += ["ids", "decoded"]
-            yield pa.RecordBatch.from_arrays(columns, names)
+            kept = range(2, part.num_columns)
+            yield pa.RecordBatch.from_arrays(columns + [part.column(i) for i in kept], names + [f"c{i - 2}" for i in kept])
 
-    return ids_and_texts(docs, id_column, text_column).mapInArrow(run, schema)
+    out = own.mapInArrow(run, schema)
+    return out.toDF(*out.columns[: len(out.columns) - len(keep)], *keep) if keep else out
 
 
 def decode(tokens: DataFrame, path: str | None = None, ids_column: str = "ids") -> DataFrame:

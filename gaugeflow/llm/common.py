@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Characters of text that a worker holds decoded at a time; a longer text makes a chunk of its own.
@@ -29,16 +28,30 @@ def worker_release() -> None:
     _held.clear()
 
 
-@contextmanager
-def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
-    """For an action inside: Arrow batches of at most ``rows`` rows, where a row holds several texts."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
+def with_small_batches(spark: SparkSession, rows: int) -> SparkSession:
+    """Another session of the same application, with the same settings but Arrow batches of at most ``rows`` rows, for rows that hold a lot. The given session's settings stay as they are."""
+    other = spark.newSession()
+    for name, value in spark.conf.getAll.items():
+        if other.conf.isModifiable(name):
+            other.conf.set(name, value)
+    other.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    return other
+
+
+def reopened(table: DataFrame, session: SparkSession) -> DataFrame:
+    """A materialised table, read in another session."""
+    return session.read.schema(table.schema).parquet(table.written_to)
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` with columns c0, c1, ...: names with dots or in odd spelling do not get through the functions that take Arrow batches."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
+def map_rows(df: DataFrame, run) -> DataFrame:
+    """``df`` after ``run`` over its Arrow batches (columns c0, c1, ...), with its own column names and types."""
+    plain = numbered(df)
+    return plain.mapInArrow(run, plain.schema).toDF(*df.columns)
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -75,3 +88,13 @@ def chunks(batches: Iterator[pa.RecordBatch], column: int = 1, limit: int = CHUN
 def ids_and_texts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, text) alone, so that extra columns neither travel nor clash."""
     return docs.select(F.col(id_column).cast("long").alias("doc_id"), text_or_empty(text_column).alias("text"))
+
+
+def bounded_ids(sizes: DataFrame, rows: int, chars: int) -> DataFrame:
+    """doc_id of a bounded sample: of the ``rows`` ids of lowest hash, the first that have ``chars`` characters together (one at least). ``sizes`` has doc_id, h and size, a row a document.
+
+    Ids and sizes alone travel; ``rows`` of them reach one task.
+    """
+    per = sizes.groupBy("doc_id").agg(F.min("h").alias("h"), F.sum("size").alias("size")).orderBy("h", "doc_id").limit(rows)
+    order = Window.orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    return per.withColumn("before", F.coalesce(F.sum("size").over(order), F.lit(0))).where((F.col("before") == 0) | (F.col("before") + F.col("size") <= chars)).select("doc_id")

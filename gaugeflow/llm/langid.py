@@ -6,12 +6,12 @@ frequency of its last letter given what precedes it, so shorter n-grams count on
 were never seen. The language of the highest sum is the prediction; the score is its share of the
 posterior per word, which stays comparable between short and long texts.
 
-Fitting: a bounded sample of labelled rows (``sample_rows``, the rows of lowest hash of the id) with
+Fitting: a bounded sample of labelled rows (``sample_rows`` of lowest hash of the id, as many of them as have ``sample_chars`` characters together) with
 its words seen ``min_count`` times and its n-grams; bounds on both tables are parameters. Prediction:
-every whole text, in the rows' own partitions, without a shuffle.
+every whole text, in the rows' own partitions, without a shuffle; a very long text is a chunk of its own.
 
-Behaviour: a text that is null or has no letter is `und` with score 0; without any labelled row all
-texts are `und`. Equal sums go to the language first by name. Case is folded. Repeated rows
+Behaviour: a text that is null or has no letter (numerals and marks are none) is `und` with score 0; without any labelled row all
+texts are `und`; an empty table stays empty. Equal sums go to the language first by name. Case is folded. Repeated rows
 get equal results; other columns are not read.
 """
 
@@ -19,22 +19,34 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugeflow.llm.common import chunks, ids_and_texts, worker_object
+from gaugeflow.llm.common import bounded_ids, chunks, ids_and_texts, worker_object
 from gaugeflow.session import ship
 
-SAMPLE_ROWS, MAX_WORDS, MAX_GRAMS, MIN_COUNT, ORDER = 3000, 20_000, 40_000, 2, 5
-WORD = re.compile(r"[^\W\d_]+")
+SAMPLE_ROWS, SAMPLE_CHARS, MAX_WORDS, MAX_GRAMS, MIN_COUNT, ORDER = 3000, 20_000_000, 20_000, 40_000, 2, 5
 CACHE = 200_000
 
 
+@cache
+def word_pattern() -> re.Pattern:
+    """Runs of letters. Numerals such as a superscript two or a circled one are word characters of the pattern language, but no letters."""
+    numerals = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+    return re.compile(rf"[^\W\d_{numerals}]+")
+
+
+def words_of(text: str) -> list[str]:
+    return word_pattern().findall(text.lower())
+
+
 class Model:
     """Word and n-gram scores: rows of log frequencies by language."""
 
@@ -48,7 +60,7 @@ def fit(rows: list[tuple[str, str]], max_words: int = MAX_WORDS, max_grams: int
     words = {x: Counter() for x in languages}
     docs = Counter(lang for lang, _ in rows)
     for lang, text in rows:
-        words[lang].update(WORD.findall(text.lower()))
+        words[lang].update(words_of(text))
     known = {w for x in languages for w, n in words[x].most_common(max_words) if n >= min_count}
     totals = {x: sum(words[x].values()) + len(known) + 1 for x in languages}
     word_rows = {w: tuple(math.log((words[x][w] + 0.5) / totals[x]) for x in languages) for w in known}
@@ -113,7 +125,7 @@ class Scorer:
         self.table = np.concatenate([self.table, np.add.reduceat(self.scores[flat], starts)])
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
-        split = [WORD.findall(t.lower()) for t in texts]
+        split = [words_of(t) for t in texts]
         if self.size:
             self.learn(set().union(*split))
         get = self.at.__getitem__
@@ -131,11 +143,10 @@ class Scorer:
         return langs, scores
 
 
-def training_sample(docs: DataFrame, where: Column, rows: int = SAMPLE_ROWS) -> list[tuple[str, str]]:
-    """(language, text) of at most ``rows`` labelled rows: those whose ids have the lowest hashes."""
+def training_sample(docs: DataFrame, where: Column, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> list[tuple[str, str]]:
+    """(language, text) of at most ``rows`` labelled rows, those whose ids have the lowest hashes, as long as their texts have ``chars`` characters together."""
     d = docs.where(where & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    # ids alone are ranked; the texts of ``rows`` ids at most follow
-    ids = d.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    ids = bounded_ids(d.select(F.col("doc_id"), F.xxhash64("doc_id").alias("h"), F.char_length(F.col("text").cast("string")).alias("size")), rows, chars)
     found = d.join(F.broadcast(ids), "doc_id", "left_semi").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.xxhash64("doc_id").alias("h"), "doc_id")
     return [(r[0], r[1]) for r in found.orderBy("h", "doc_id", "lang", "text").limit(rows).select("lang", "text").collect()]
 

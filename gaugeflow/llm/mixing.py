@@ -14,7 +14,7 @@ weights to less than a block.
 Behaviour: a null source is a source of its own; a source that the weights do not name, and one of
 weight 0, comes after all scheduled rows, in the same pseudo-random order. Equal rows are told apart by
 nothing and may swap places. An empty table stays empty. Columns other than the source and
-the id ride along; ``slot`` and ``place`` are added under names that do not clash.
+the id ride along; slot and place are added under names that do not clash (``mix_slot_`` if there is a ``mix_slot``), as the last two columns.
 A hot source is numbered in ``2**bits`` slices of its own hash range, so no task sorts it whole.
 """
 
@@ -26,7 +26,11 @@ from math import gcd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gaugeflow.llm.common import fresh
+
 BLOCK_ROWS, BITS, SHARES = 16, 8, 1000
+#: Rows of a table that may be broadcast.
+MOST_SENT = 1 << 17
 
 
 def schedule(shares: dict[str | None, int]) -> list[tuple[str | None, int, int]]:
@@ -75,19 +79,32 @@ def mix(docs: DataFrame, shares: dict[str | None, int] | None = None, block_rows
     period = schedule(shares)
     length = len(period)
     counted = {s: sum(1 for x in period if x[0] == s) for s in shares}
-    d = docs.withColumns({"__source": F.coalesce(F.concat(F.lit("s"), F.col(source_column).cast("string")), F.lit("")), "__hash": hash64(id_column)})
-    d = d.withColumn("__slice", F.shiftright("__hash", 60 - bits))
-    sizes = d.groupBy("__source", "__slice").agg(F.count("*").alias("__n"))
-    earlier = Window.partitionBy("__source").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select("__source", "__slice", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
-    within = Window.partitionBy("__source", "__slice").orderBy("__hash", F.col(id_column))
-    d = d.withColumn("__i", F.row_number().over(within) - 1)
+    source, hashed, sliced, n, before, i, row, block, w, j, at, places = (fresh(docs, f"__{x}") for x in ("source", "hash", "slice", "n", "before", "i", "row", "block", "shares", "j", "at", "places"))
+    slot_column, place_column = fresh(docs, slot_column), fresh(docs, place_column)
+    d = docs.withColumns({source: F.coalesce(F.concat(F.lit("s"), F.col(source_column).cast("string")), F.lit("")), hashed: hash64(id_column)})
+    d = d.withColumn(sliced, F.shiftright(hashed, 60 - bits))
+    sizes = d.groupBy(source, sliced).agg(F.count("*").alias(n))
+    earlier = Window.partitionBy(source).orderBy(sliced).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(source, sliced, F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(before))
+    within = Window.partitionBy(source, sliced).orderBy(hashed, F.col(id_column))
+    d = d.withColumn(i, F.row_number().over(within) - 1)
     # sizes has 2**bits rows a source at most
-    d = d.join(F.broadcast(sizes) if len(shares) << bits <= 1 << 17 else sizes, ["__source", "__slice"], "left").withColumn("__row", F.col("__before") + F.col("__i"))
-    d = d.withColumn("__block", F.floor(F.col("__row") / block_rows))
-    table = spark.createDataFrame([("" if s is None else f"s{s}", counted[s], j, slot) for s, j, slot in period] or [("-", 1, 0, 0)], "__source string, __shares long, __j long, __at long")
-    places = table.groupBy("__source").agg(F.first("__shares").alias("__shares"), F.sort_array(F.collect_list(F.struct("__j", "__at")))["__at"].alias("__places"))
-    d = d.join(F.broadcast(places), "__source", "left")  # P entries in all
-    slot = F.floor(F.col("__block") / F.col("__shares")) * length + F.get("__places", F.pmod("__block", "__shares").cast("int"))
-    d = d.withColumns({slot_column: slot.cast("long"), place_column: F.when(F.col("__shares").isNotNull(), F.pmod(F.col("__row"), F.lit(block_rows))).otherwise(F.col("__row")).cast("long")})
+    d = d.join(F.broadcast(sizes) if len(shares) << bits <= MOST_SENT else sizes, [source, sliced], "left").withColumn(row, F.col(before) + F.col(i))
+    d = d.withColumn(block, F.floor(F.col(row) / block_rows))
+    table = spark.createDataFrame([("" if s is None else f"s{s}", counted[s], k, slot) for s, k, slot in period] or [("-", 1, 0, 0)], f"{source} string, {w} long, {j} long, {at} long")
+    turns = table.groupBy(source).agg(F.first(w).alias(w), F.sort_array(F.collect_list(F.struct(j, at)))[at].alias(places))
+    d = d.join(F.broadcast(turns) if length <= MOST_SENT else turns, source, "left")
+    slot = F.floor(F.col(block) / F.col(w)) * length + F.get(F.col(places), F.pmod(block, w).cast("int"))
+    d = d.withColumns({slot_column: slot.cast("long"), place_column: F.when(F.col(w).isNotNull(), F.pmod(F.col(row), F.lit(block_rows))).otherwise(F.col(row)).cast("long")})
     return d.select(*[f"`{c}`" for c in docs.columns], slot_column, place_column)
+
+
+def ordered(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` in the order of the mix: its files, written as they lie, follow one another in it. Rows without a slot come last.
+
+    Rows travel twice: to be numbered within slices of their source, and to their range of slots and places.
+    """
+    mixed = mix(docs, **options)
+    slot, place = mixed.columns[-2:]
+    order = [F.col(slot).asc_nulls_last(), F.col(place), F.col(mixed.columns[0])]
+    return mixed.repartitionByRange(*order).sortWithinPartitions(*order).select(*[f"`{c}`" for c in docs.columns])

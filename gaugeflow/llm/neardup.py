@@ -38,9 +38,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugeflow.llm.common import chunks, fresh, ids_and_texts, small_batches, worker_release
+from gaugeflow.llm.common import chunks, fresh, ids_and_texts, reopened, with_small_batches, worker_release
 from gaugeflow.operators import dedup as graph
-from gaugeflow.session import materialise, ship
+from gaugeflow.session import discard, materialise, ship
 
 SHINGLE, SIMILARITY = 5, 0.8
 BINS, ROWS = 48, 3
@@ -377,16 +377,19 @@ def links(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, D
     # rows of one id and text are alike; one of them is enough
     texts = named.join(wanted, ["rep", "hex"]).select("key", "text").dropDuplicates(["key"])
     sets = materialise(vectors(texts, shares), "dup-sets", wide=True)
-    full = members.join(sets, "key")
-    first, large = blocks(full, chosen)
-    with small_batches(docs.sparkSession, 512):
-        edges = materialise(links_within(together(first), similarity), "dup-links")
-    classes = components(edges)
+    # a set may be large: few of them to a batch
+    apart = with_small_batches(docs.sparkSession, 512)
+    full = reopened(members, apart).join(reopened(sets, apart), "key")
+    first, large = blocks(full, reopened(chosen, apart))
+    edges = materialise(links_within(together(first), similarity), "dup-links")
+    classes = components(reopened(edges, docs.sparkSession))
     if not chosen.where(F.col("blocks") > 1).isEmpty():
-        with small_batches(docs.sparkSession, 512):
-            more = materialise(links_within(together(meetings(large, classes)), similarity), "dup-links")
+        known = materialise(classes, "dup-classes")
+        more = materialise(links_within(together(meetings(large, reopened(known, apart))), similarity), "dup-links")
         if not more.isEmpty():
-            classes = components(edges.unionByName(more))
+            classes = components(reopened(edges, docs.sparkSession).unionByName(reopened(more, docs.sparkSession)))
+        discard(more)
+    discard(chosen, members, sets, edges)
     return signed.select("doc_id", "key"), nodes.select("key", "rep"), classes
 
 

@@ -6,35 +6,37 @@ stands only beside one address. How much a term t reveals of an entity c is esti
 
     disclosure(t, c) = PMI(t; c) / IC(c),   PMI = log(N n_ct / (n_c n_t)),   IC = log(N / n_c)
 
-with n_c the distinct windows of ``WORDS`` words around c, n_ct those of them that hold t, n_t the
-documents that hold t, N all documents. It is 1 if t occurs nowhere else. In every text that
-holds c, a term of at least ``generalise`` is replaced by its kind, one of at least ``remove`` taken out.
-Windows count once however often a text is copied, and ``support`` of them are needed, so copies of one
-document prove nothing.
+with n_c the documents that hold c, n_ct those of them that hold t within ``WORDS`` words of it, n_t the documents
+that hold t anywhere, N all documents. It is 1 if t occurs nowhere else, however often the documents are copied, since
+every count is one of documents. In every text that holds c, a term of at least ``generalise`` is replaced by its kind, one of at
+least ``remove`` taken out. What speaks for a disclosure must be said more than once: ``support`` different windows
+(the words around c) are needed, so copies of one document prove nothing.
 
 Three passes over the texts: windows (which only texts with entities have), counts of the candidate terms
-in all documents, and the result. Candidates are counted in chunks of ``chunk_terms``, each of which
-a broadcast holds; their number has no bound.
+in all documents, and the result. A pair of entity and term that cannot reach ``generalise`` even if the term stood in no other document than
+those seen is no candidate. Candidates are counted in chunks of ``chunk_terms``, each of which a broadcast holds; their number has no bound.
 
-Behaviour: null text counts as empty and has no spans. Positions are code points, ends exclusive. Spans
-of one kind do not overlap, a term never overlaps a pattern's span. Repeated rows get equal results.
-``sanitise`` keeps all columns and changes only the text; a null text stays null.
+Behaviour: null text counts as empty and has no spans; a very long text is read as a whole. Positions are code points, ends exclusive. Spans
+of one kind do not overlap, a term never overlaps a pattern's span. Repeated rows get equal results, an empty table an empty one.
+``sanitise`` keeps all columns, whatever their names, and changes only the text; a null text stays null.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugeflow.llm.common import CHUNK_CHARS, chunks, fresh, ids_and_texts, worker_release
-from gaugeflow.session import materialise, ship
+from gaugeflow.llm.common import CHUNK_CHARS, chunks, fresh, ids_and_texts, numbered, worker_release
+from gaugeflow.session import discard, materialise, ship
 
 KINDS = ("email", "ip", "card", "phone")
 WORDS = 8
@@ -50,7 +52,7 @@ TERM = re.compile(r"[^\W_]+")
 
 @dataclass(frozen=True)
 class Policy:
-    """Disclosure from which a term is generalised and from which it is removed; windows that it takes to say so."""
+    """Disclosure from which a term is generalised and from which it is removed; different windows that it takes to say so; terms counted at a time."""
 
     generalise: float = 0.6
     remove: float = 0.85
@@ -85,7 +87,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     out = [(a, 0, b) for a, b in emails(text)] if "@" in text else []
     if DIGIT.search(text):
         for m in IP.finditer(text):
-            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+            if all(len(d := p.lstrip("0")) <= 3 and int(d or "0") <= 255 for p in m[0].split(".")):
                 out.append((m.start(), 1, m.end()))
         for m in CARD.finditer(text):
             if m.end() - m.start() >= 14:
@@ -107,20 +109,21 @@ def entity(text: str, span: tuple[int, int, int]) -> str:
 
 
 def windows(text: str, spans: list[tuple[int, int, int]], words: int = WORDS) -> list[tuple[str, list[str]]]:
-    """(entity, terms around it) of each span; terms inside any span are left out."""
-    out = []
+    """(entity, terms around it) of each span: up to ``words`` whole terms before and after it; terms that touch any span are left out."""
     cover = sorted((a, b) for a, _, b in spans)
+    starts = [a for a, _ in cover]
+    reach = list(accumulate((b for _, b in cover), max))  # the farthest end so far
+    free = []
+    for m in TERM.finditer(text):
+        before = bisect_left(starts, m.end())  # spans that begin before the term ends
+        if not before or reach[before - 1] <= m.start():
+            free.append(m)
+    begins, ends = [m.start() for m in free], [m.end() for m in free]
+    out = []
     for span in spans:
-        start, _, end = span
-        before = [m for m in TERM.finditer(text, max(0, start - 40 * words), start)][-2 * words :]
-        after = []
-        for m in TERM.finditer(text, end, min(len(text), end + 40 * words)):
-            after.append(m)
-            if len(after) == 2 * words:
-                break
-        free = lambda m: not any(a < m.end() and m.start() < b for a, b in cover)
-        near = [m[0].lower() for m in before if free(m)][-words:] + [m[0].lower() for m in after if free(m)][:words]
-        out.append((entity(text, span), near))
+        left, right = bisect_right(ends, span[0]), bisect_left(begins, span[2])
+        near = free[max(0, left - words) : left] + free[right : right + words]
+        out.append((entity(text, span), [m[0].lower() for m in near]))
     return out
 
 
@@ -130,8 +133,9 @@ def text_key(text: str) -> str:
 
 
 def find_windows(docs: DataFrame) -> DataFrame:
-    """key of the text, entity and the distinct terms of a window, and the window's hash; a row a span."""
+    """key of the text, entity, the distinct terms of its windows in the document, and each window's hash with its terms; a row for each entity of a document."""
     ship(docs.sparkSession)
+    window = pa.struct([("hash", pa.string()), ("terms", pa.list_(pa.string()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_release()
@@ -139,13 +143,16 @@ def find_windows(docs: DataFrame) -> DataFrame:
             rows = []
             for t in texts:
                 if spans := base_spans(t):
+                    own: dict[str, dict[str, list[str]]] = {}
+                    for c, near in windows(t, spans):
+                        own.setdefault(c, {})[hashlib.md5(" ".join(near).encode()).hexdigest()] = sorted(set(near))
                     key = text_key(t)
-                    rows += [(key, c, sorted(set(near)), hashlib.md5(" ".join(near).encode()).hexdigest()) for c, near in windows(t, spans)]
+                    rows += [(key, c, sorted(set().union(*seen.values())), [{"hash": h, "terms": terms} for h, terms in seen.items()]) for c, seen in own.items()]
             if rows:
-                key, c, terms, window = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(c), pa.array(terms, pa.list_(pa.string())), pa.array(window)], ["key", "entity", "terms", "window"])
+                key, c, terms, seen = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(c), pa.array(terms, pa.list_(pa.string())), pa.array(seen, pa.list_(window))], ["key", "entity", "terms", "windows"])
 
-    return docs.mapInArrow(run, "key string, entity string, terms array<string>, window string")
+    return docs.mapInArrow(run, "key string, entity string, terms array<string>, windows array<struct<hash:string,terms:array<string>>>")
 
 
 def document_counts(docs: DataFrame, terms: list[str]) -> DataFrame:
@@ -166,28 +173,38 @@ def document_counts(docs: DataFrame, terms: list[str]) -> DataFrame:
 def disclosing_terms(docs: DataFrame, policy: Policy = Policy()) -> DataFrame:
     """key of the text, and its terms to be generalised or removed (array of term and action). ``docs`` has doc_id and text."""
     found = materialise(find_windows(docs), "pii-windows")
-    distinct = found.dropDuplicates(["entity", "window"])
-    n_c = distinct.groupBy("entity").agg(F.count("*").alias("n_c")).where(F.col("n_c") >= policy.support)
-    pairs = distinct.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_ct")).where(F.col("n_ct") >= policy.support)
-    pairs = materialise(pairs.join(n_c, "entity"), "pii-pairs")
+    distinct = found.select("entity", F.explode("windows").alias("w")).select("entity", "w.hash", "w.terms").dropDuplicates(["entity", "hash"])
+    enough = distinct.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("support")).where(F.col("support") >= policy.support)
+    n_c = found.groupBy("entity").agg(F.count("*").alias("n_c"))
+    n_ct = found.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_ct"))
+    # a term stands in at least as many documents as there are different texts with windows that hold it
+    least = found.select("key", F.explode("terms").alias("term")).distinct().groupBy("term").agg(F.count("*").alias("least"))
+    pairs = enough.join(n_ct, ["entity", "term"]).join(n_c, "entity").join(least, "term")
     empty = docs.sparkSession.createDataFrame([], "key string, hits array<struct<term:string,action:string>>")
+    total = docs.count()
+
+    def disclosure(holders: Column) -> Column:
+        pmi = F.log(F.lit(float(total)) * F.col("n_ct") / (F.col("n_c") * holders))
+        ic = F.log(F.lit(float(total)) / F.col("n_c"))
+        return F.when(ic > 0, pmi / ic).otherwise(F.lit(0.0))
+
+    pairs = materialise(pairs.where(disclosure(F.greatest("least", "n_ct")) >= policy.generalise - 1e-9).select("entity", "term", "n_ct", "n_c"), "pii-pairs")
     n_terms = pairs.select("term").distinct().count()
     if not n_terms:
         return empty
-    total = docs.count()
     chunks_n = -(-n_terms // policy.chunk_terms)
     counts = None
     for i in range(chunks_n):
         chunk = pairs.where(F.pmod(F.xxhash64("term"), F.lit(chunks_n)) == i).select("term").distinct()
         part = document_counts(docs, [r[0] for r in chunk.collect()])
         counts = part if counts is None else counts.unionByName(part)
-    pmi = F.log(F.lit(float(total)) * F.col("n_ct") / (F.col("n_c") * F.col("n_t")))
-    ic = F.log(F.lit(float(total)) / F.col("n_c"))
-    scored = pairs.join(counts, "term").withColumn("disclosure", F.when(ic > 0, pmi / ic).otherwise(F.lit(0.0)))
+    scored = pairs.join(counts, "term").withColumn("disclosure", disclosure(F.col("n_t")))
     flagged = materialise(scored.where(F.col("disclosure") >= policy.generalise).select("entity", "term", F.when(F.col("disclosure") >= policy.remove, "remove").otherwise("generalise").alias("action")), "pii-terms")
     # a text's terms are those of all its entities, wherever in it they stand
     hits = found.select("key", "entity").distinct().join(flagged, "entity").groupBy("key", "term").agg(F.max("action").alias("action"))  # "remove" is the greater word
-    return materialise(hits.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("term", "action"))).alias("hits")), "pii-hits")
+    out = materialise(hits.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("term", "action"))).alias("hits")), "pii-hits")
+    discard(found, pairs, flagged)
+    return out
 
 
 def term_spans(text: str, spans: list[tuple[int, int, int]], hits: dict[str, str]) -> list[tuple[int, int, str]]:
@@ -245,8 +262,10 @@ def sanitise(docs: DataFrame, policy: Policy = Policy(), id_column: str = "doc_i
     """``docs`` with its columns, and personal data and disclosing terms taken out of the text."""
     names = docs.columns
     hits = disclosing_terms(ids_and_texts(docs, id_column, text_column), policy)
-    d = with_hits(docs, hits, text_column)
     at = names.index(text_column)
+    plain = numbered(docs)
+    schema, plain_names = plain.schema, plain.columns
+    d = with_hits(plain, hits, f"c{at}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in chunks(batches, at, CHUNK_CHARS):
@@ -255,6 +274,6 @@ def sanitise(docs: DataFrame, policy: Policy = Policy(), id_column: str = "doc_i
             text = [None if n else cleaned(t, {h["term"]: h["action"] for h in hs or []}) for t, n, hs in zip(texts, null, terms, strict=True)]
             columns = [part.column(i) for i in range(len(names))]
             columns[at] = pa.array(text, part.schema.field(at).type)
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            yield pa.RecordBatch.from_arrays(columns, names=plain_names)
 
-    return d.mapInArrow(run, docs.schema)
+    return d.mapInArrow(run, schema).toDF(*names)

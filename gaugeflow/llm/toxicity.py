@@ -7,14 +7,14 @@ direction; attention weights pool the states, and a linear unit gives the window
 overlap by half and cover the whole text; the text's logit is its windows' highest, and two numbers fitted
 on the training texts turn it into a probability.
 
-Fitting takes a bounded sample of labelled rows (``sample_rows``, lowest hashes of the id). A toxic text does not
+Fitting takes a bounded sample of labelled rows (``SAMPLE_ROWS`` of lowest hash of the id, as many of them as have ``SAMPLE_CHARS`` characters together). A toxic text does not
 say where it is toxic, so each pass trains on its highest window, at first the one with the word that
 most favours toxic texts; of other texts the highest windows and some at random are trained on. A fifth of the
 rows is kept apart to choose the pass and to calibrate the score.
 
 Behaviour: null text counts as empty, which is one window of padding; its score is the network's. Without
-labelled rows of both classes the score is the share of toxic rows (0 without rows). Ties, repeated
-rows and extra columns change nothing. Scoring happens in the rows' own partitions, without a shuffle.
+labelled rows of both classes the score is the share of toxic rows (0 without rows). An empty table gives an empty
+result, a very long text as many windows as it needs. Ties, repeated rows and extra columns, whatever their names, change nothing. Scoring happens in the rows' own partitions, without a shuffle.
 """
 
 from __future__ import annotations
@@ -27,14 +27,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugeflow.llm.common import chunks, ids_and_texts, worker_object
+from gaugeflow.llm.common import bounded_ids, chunks, ids_and_texts, map_rows, worker_object
 from gaugeflow.llm.neardup import mix, shingles
 from gaugeflow.session import ship
 
-SAMPLE_ROWS, MAX_WORDS = 4000, 20_000
+SAMPLE_ROWS, SAMPLE_CHARS, MAX_WORDS = 4000, 20_000_000, 20_000
 WINDOW, STEP, HIDDEN, EMBED, TRIGRAM_BITS, ATTEND = 24, 12, 8, 8, 15, 8
 TRIGRAMS = 1 << TRIGRAM_BITS
 CACHE = 120_000
+#: Letters of a token; a longer word is several.
+LONGEST = 48
 STRIP = ".,;:!?\"'()[]{}*#$%&|<>-_"
 
 
@@ -42,6 +44,14 @@ def normal(word: str) -> str:
     return word.lower().strip(STRIP)
 
 
+def tokens(text: str) -> list[str]:
+    """The words of a text, in training and scoring alike; words of more than LONGEST letters are cut into as many tokens as they need."""
+    words = text.split()
+    if max(map(len, words), default=0) <= LONGEST:
+        return words
+    return [w[i : i + LONGEST] for w in words for i in range(0, len(w), LONGEST)]
+
+
 def trigrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all byte trigrams of the words, ends marked, and how many each word has (one at least)."""
     marked = [f"^{w}$$".encode() if len(w) < 2 else f"^{w}$".encode() for w in words]
@@ -170,7 +180,10 @@ class Network:
         g["word"], g["tri"] = np.zeros_like(p["word"]), np.zeros_like(p["tri"])
         np.add.at(g["word"], word_ids.ravel(), d_x[:, :, :EMBED].reshape(-1, EMBED))
         g["word"][0] = 0
-        np.add.at(g["tri"], tri_ids.reshape(-1), (tri_share[..., None] * d_x[:, :, None, EMBED:]).reshape(-1, EMBED))
+        held = np.nonzero(tri_share)
+        part = tri_share[held][:, None] * d_x[held[0], held[1], EMBED:]
+        for j in range(EMBED):
+            g["tri"][:, j] = np.bincount(tri_ids[held], part[:, j], TRIGRAMS)
         return loss, g
 
 
@@ -183,7 +196,7 @@ def fit(rows: list[tuple[str, int]], passes: int = 5, steps: int = 240, seed: in
         net.constant = float(labels.mean()) if len(rows) else 0.0
         return net
     number: dict[str, int] = {"": 0}
-    texts = [np.array([number.setdefault(normal(w), len(number)) for w in t.split()], np.int64) for t, _ in rows]
+    texts = [np.array([number.setdefault(normal(w), len(number)) for w in tokens(t)], np.int64) for t, _ in rows]
     vocabulary = list(number)
     grams, sizes = trigrams(vocabulary)
     starts = np.cumsum(sizes) - sizes
@@ -208,7 +221,7 @@ def fit(rows: list[tuple[str, int]], passes: int = 5, steps: int = 240, seed: in
     for i, v in telling.items():
         if vocabulary[i] in net.words:
             net.p["word"][net.words[vocabulary[i]], 0] = min(v, 16.0) / 4
-    width = 8
+    width = int(sizes.max())
     tests = np.flatnonzero(tri_df >= 3)
     strong = np.log10(max(1, len(tests))) + 1.3
     for i in tests:
@@ -216,10 +229,10 @@ def fit(rows: list[tuple[str, int]], passes: int = 5, steps: int = 240, seed: in
             net.p["tri"][i, 0] = min(v, 16.0)
     tri_ids = np.zeros((len(vocabulary), width), np.int64)
     tri_share = np.zeros((len(vocabulary), width), np.float32)
-    for j in range(width):  # training looks at the first eight trigrams, scoring at all
+    for j in range(width):
         has = sizes > j
         tri_ids[has, j] = grams[starts[has] + j]
-        tri_share[has, j] = 1 / np.minimum(sizes[has], width)
+        tri_share[has, j] = 1 / sizes[has]
     word_ids = np.array([net.words.get(w, 0) for w in vocabulary])
     index, mask, owner = windows(texts, 0)
     telling_tri = np.add.reduceat(net.p["tri"][grams, 0], starts) / sizes
@@ -354,7 +367,7 @@ class Scorer:
     def scores(self, texts: list[str]) -> np.ndarray:
         if self.net.constant is not None:
             return np.full(len(texts), self.net.constant)
-        split = [t.split() for t in texts]
+        split = [tokens(t) for t in texts]
         self.learn(set().union(*split))
         get = self.at.__getitem__
         index, mask, owner = windows([np.fromiter(map(get, ws), np.int64, len(ws)) for ws in split], 0)
@@ -363,11 +376,12 @@ class Scorer:
         return sigmoid(self.net.scale * top + self.net.shift)
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, label: str, where: Column, rows: int = SAMPLE_ROWS) -> list[tuple[str, int]]:
-    """(text, label) of at most ``rows`` labelled rows. Several labels of one id count as the highest."""
+def training_sample(docs: DataFrame, labels: DataFrame, label: str, where: Column, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> list[tuple[str, int]]:
+    """(text, label) of at most ``rows`` labelled rows, as long as their texts have ``chars`` characters together. Several labels of one id count as the highest."""
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).cast("int").alias("y"))
     known = known.where(where).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     d = ids_and_texts(docs).join(F.broadcast(known), "doc_id")  # ``rows`` ids at most
+    d = d.join(F.broadcast(bounded_ids(d.select("doc_id", F.xxhash64("doc_id").alias("h"), F.char_length("text").alias("size")), rows, chars)), "doc_id", "left_semi")
     return [(r["text"], r["y"]) for r in d.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(rows).select("text", "y").collect()]
 
 
@@ -386,7 +400,7 @@ def score(docs: DataFrame, net: Network, id_column: str = "doc_id", text_column:
 
 
 def keep(docs: DataFrame, net: Network, threshold: float = 0.5, text_column: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose score is under ``threshold``, with all their columns."""
+    """The rows of ``docs`` whose score is under ``threshold``, with all their columns, whatever these are called."""
     spark = docs.sparkSession
     ship(spark)
     sent = spark.sparkContext.broadcast(net)
@@ -397,4 +411,4 @@ def keep(docs: DataFrame, net: Network, threshold: float = 0.5, text_column: str
         for part, texts in chunks(batches, at):
             yield part.filter(pa.array(scorer.scores(texts) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_rows(docs, run)
