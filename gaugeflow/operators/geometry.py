@@ -145,17 +145,24 @@ def with_issues(rows: DataFrame, raw: str, label: str, shape_type: str, width: s
     return d.withColumn("issues", F.filter(found, lambda x: x.isNotNull())).select(*rows.columns, "issues")
 
 
-def reject(raw: Column, shape_type: Column, width: Column, height: Column) -> Column:
-    """Why a shape cannot be converted, first reason (fixed values); null if it can."""
-    p = clean_strict(raw)
-    outside = lambda box, w, h: (box["x1"] < 0) | (box["y1"] < 0) | (box["x2"] > w) | (box["y2"] > h)
-    return (
-        F.when(shape_type.isNull() | (shape_type != "polygon"), "non_polygon")
-        .when(F.coalesce(F.size(p), F.lit(0)) < 3, "fewer_than_3_valid_points")
-        .when(area(p) <= 0, "degenerate_polygon")
-        .when(outside(bounds(p), width, height), "coordinate_out_of_bounds")
-        .when(outside(bounds(normalised(p, width, height)), F.lit(1.0), F.lit(1.0)), "normalized_out_of_range")
+def rejects(rows: DataFrame, raw: str, shape_type: str, width: str, height: str, name: str = "reason") -> DataFrame:
+    """Adds why a shape cannot be converted, the first reason (fixed values), null if it can. Points, area and bounds are computed once each, in projections of their own."""
+    good = F.filter(F.coalesce(F.col(raw), F.array().cast("array<array<double>>")), well_formed)
+    d = rows.withColumn("__good", good)
+    d = d.withColumn("__pts", F.when(F.size("__good") == F.size(raw), as_points(F.col("__good"))).otherwise(F.array().cast(POINTS)))
+    d = d.withColumn("__new", changes(F.col("__pts"))).withColumn("__p", opened(F.col("__new")))
+    d = d.withColumns({"__area": area(F.col("__p")), "__box": bounds(F.col("__p"))})
+    box = F.col("__box")
+    outside = lambda x1, y1, x2, y2, w, h: (x1 < 0) | (y1 < 0) | (x2 > w) | (y2 > h)
+    w, h = F.col(width), F.col(height)
+    reason = (
+        F.when(F.col(shape_type).isNull() | (F.col(shape_type) != "polygon"), "non_polygon")
+        .when(F.size("__p") < 3, "fewer_than_3_valid_points")
+        .when(F.col("__area") <= 0, "degenerate_polygon")
+        .when(outside(box["x1"], box["y1"], box["x2"], box["y2"], w, h), "coordinate_out_of_bounds")
+        .when(outside(box["x1"] / w, box["y1"] / h, box["x2"] / w, box["y2"] / h, 1, 1), "normalized_out_of_range")
     )
+    return d.withColumn(name, reason).select(*rows.columns, name)
 
 
 def normalised(p: Column, width: Column, height: Column) -> Column:

@@ -143,9 +143,8 @@ def q14_polygon_issues(spark: SparkSession, d: str) -> DataFrame:
 @query
 def q14_conversion_rejects(spark: SparkSession, d: str) -> DataFrame:
     """K2: the first reason why a shape cannot be converted, in counts."""
-    p = fx.polygons(spark, d)
-    reason = geometry.reject(F.col("raw"), F.col("shape_type"), F.col("width"), F.col("height"))
-    return p.groupBy(F.coalesce(reason, F.lit("ok")).alias("reason")).agg(F.count("*").alias("shapes"))
+    found = geometry.rejects(fx.polygons(spark, d), "raw", "shape_type", "width", "height")
+    return found.groupBy(F.coalesce("reason", F.lit("ok")).alias("reason")).agg(F.count("*").alias("shapes"))
 
 
 @query

@@ -106,7 +106,7 @@ def test_polygons(spark):
     assert {k for k, v in found.items() if "duplicate_polygon" in v} == {"closed", "repeat", "nan", "short", "turned"}
     odd = spark.createDataFrame([("null", 0, None, None, None, None, None)], d.schema)
     assert issues(odd, "name") == {"null": ["non_polygon_shape", "empty_label", "invalid_point_structure", *flat]}
-    strict = {r["name"]: r for r in d.select("name", geometry.clean_strict(F.col("raw")).alias("p"), geometry.reject(F.col("raw"), F.col("shape"), F.col("w"), F.col("h")).alias("why")).collect()}
+    strict = {r["name"]: r for r in geometry.rejects(d, "raw", "shape", "w", "h", "why").select("name", geometry.clean_strict(F.col("raw")).alias("p"), "why").collect()}
     assert len(strict["nan"]["p"]) == 0 and len(strict["closed"]["p"]) == 4 and strict["bow"]["why"] == "degenerate_polygon" and strict["square"]["why"] is None and strict["nan"]["why"] == "fewer_than_3_valid_points"
     keys = {r["name"]: r["key"] for r in d.where("name IN ('square', 'turned')").select("name", geometry.canonical(F.col("label"), geometry.as_points(F.col("raw"))).alias("key")).collect()}
     assert keys["square"] == keys["turned"]
