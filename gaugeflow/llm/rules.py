@@ -26,12 +26,12 @@ from gaugeflow.llm.common import text_or_empty
 #: White space between words (fixed value).
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "[#*$%&|<>]"
-#: Patterns of rare characters; with white space, symbols, bytes beyond the first of a character, and the rest they make the histogram of classes.
-CLASSES = {"upper": "[A-ZÀ-ÖØ-Þ]", "digit": "[0-9]", "mark": "[.,;:!?'\"()-]"}
-N_CLASSES = len(CLASSES) + 4
+#: What most characters are: small letters and white space. Without them a text is short, and other characters are counted in what is left.
+PLAIN = r"[a-z\x20\x09-\x0D]+"
+#: Patterns of the other classes; with small letters, white space and the rest they make the histogram, which sums to the text's characters.
+CLASSES = {"upper": "[A-ZÀ-ÖØ-Þ]", "digit": "[0-9]", "mark": "[.,;:!?'\"()-]", "symbol": SYMBOLS}
+N_CLASSES = len(CLASSES) + 3
 MIN_WORDS, REPEATED_PERCENT, WINDOW = 10, 20, 5
-#: Longest common word: there is no limit.
-LETTERS = float("inf")
 
 
 @dataclass(frozen=True)
@@ -62,15 +62,18 @@ def chars_in(words: Column) -> Column:
     return F.char_length(F.array_join(words, ""))
 
 
-def class_counts(text: Column, word_chars: Column, n_symbols: Column) -> Column:
-    """Counts of the classes, which sum to the text's bytes. Only rare characters are searched for; the others follow from lengths."""
-    found = [F.regexp_count(text, F.lit(p)).cast("double") for p in CLASSES.values()]
-    chars = F.char_length(text).cast("double")
-    space, symbols, wide = chars - word_chars, n_symbols.cast("double"), F.octet_length(text) - chars
-    rest = word_chars - symbols
+def odd_characters(text: Column) -> Column:
+    return F.regexp_replace(text, PLAIN, "")
+
+
+def class_counts(text: Column, word_chars: Column, odd: Column) -> Column:
+    """Counts of the classes: small letters, white space, those of CLASSES, and the rest. ``odd`` is the text without small letters and white space."""
+    chars, others = F.char_length(text).cast("double"), F.char_length(odd).cast("double")
+    found = [F.regexp_count(odd, F.lit(p)).cast("double") for p in CLASSES.values()]
+    rest = others
     for c in found:
         rest = rest - c
-    return F.array(*found, space, symbols, wide, rest)
+    return F.array(word_chars - others, chars - word_chars, *found, rest)
 
 
 def repeated_words(n: Column, hashes: Column, kinds: Column) -> Column:
@@ -95,12 +98,14 @@ def base(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
     """doc_id, text, words and the base counts. Each step is a projection, so that what several columns use is computed once."""
     d = docs.select(F.col(id_column).cast("long").alias("doc_id"), text_or_empty(text_column).alias("text"))
     lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x, F.lit(" \t\n\u000b\f\r")) != "")
-    d = d.withColumns({"words": words_of(F.col("text")), "lines": lines, "n_symbols": F.regexp_count("text", F.lit(SYMBOLS)).cast("long")})
-    windows = F.when(F.size("words") >= WINDOW, F.transform(F.sequence(F.lit(0), F.size("words") - WINDOW), lambda i: F.xxhash64(*[F.get("words", i + j) for j in range(WINDOW)]))).otherwise(F.array().cast("array<bigint>"))
+    d = d.withColumns({"words": words_of(F.col("text")), "lines": lines, "odd": odd_characters(F.col("text"))})
+    # every word is hashed once, a window from the hashes of its words
+    d = d.withColumn("hashed", F.transform("words", lambda w: F.xxhash64(w)))
+    windows = F.when(F.size("words") >= WINDOW, F.transform(F.sequence(F.lit(0), F.size("words") - WINDOW), lambda i: F.xxhash64(*[F.get("hashed", i + j) for j in range(WINDOW)]))).otherwise(F.array().cast("array<bigint>"))
     d = d.withColumns({"n_words": F.size("words").cast("long"), "word_chars": chars_in(F.col("words")).cast("long"), "hashes": windows})
     d = d.withColumn("kinds", F.size(F.array_distinct("hashes")))
     return d.select(
-        "doc_id", "text", "words", "n_words", "word_chars", "n_symbols",
+        "doc_id", "text", "words", "odd", "n_words", "word_chars", F.regexp_count("odd", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         repeated_words(F.col("n_words"), F.col("hashes"), F.col("kinds")).cast("long").alias("n_repeat_words"),
     )
@@ -109,8 +114,8 @@ def base(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
 def learn(docs: DataFrame, rules: Rules = Rules(), text_column: str = "text", lang_column: str = "lang") -> References:
     """References of every language, from all its texts. What reaches the driver: one row a language, and ``common`` words of each."""
     d = docs.where(F.col(lang_column).isNotNull()).select(F.col(lang_column).cast("string").alias("lang"), text_or_empty(text_column).alias("text"))
-    d = d.withColumn("words", words_of(F.col("text")))
-    counts = class_counts(F.col("text"), chars_in(F.col("words")).cast("double"), F.regexp_count("text", F.lit(SYMBOLS)))
+    d = d.withColumns({"words": words_of(F.col("text")), "odd": odd_characters(F.col("text"))})
+    counts = class_counts(F.col("text"), chars_in(F.col("words")).cast("double"), F.col("odd"))
     sums = d.select("lang", counts.alias("c"), F.size("words").alias("n")).groupBy("lang").agg(*[F.sum(F.col("c")[i]).alias(f"c{i}") for i in range(N_CLASSES)], F.sum("n").alias("n")).orderBy("lang").collect()
     classes = {r["lang"]: [r[f"c{i}"] / max(1.0, sum(r[f"c{j}"] for j in range(N_CLASSES))) for i in range(N_CLASSES)] for r in sums}
     totals = {r["lang"]: r["n"] for r in sums}
@@ -144,10 +149,9 @@ def score(docs: DataFrame, references: References, rules: Rules = Rules(), id_co
     if not references.classes:
         return d.select(*columns, F.lit(None).cast("string").alias("language"), F.lit(None).cast("double").alias("class_distance"), F.lit(None).cast("double").alias("word_distance"), (~F.col("base_failed")).alias("kept"))
     every = sorted({w for ws in references.words.values() for w in ws})
-    # a common word counts in small letters, in capitals and with a capital first
-    spelled = sorted({x for w in every for x in (w, w.upper(), w[:1].upper() + w[1:])})
-    d = d.withColumns({"classes": class_counts(F.col("text"), F.col("word_chars"), F.col("n_symbols")), "bytes": F.octet_length("text").cast("double")})
-    d = d.withColumn("known", F.sort_array(F.transform(F.filter("words", lambda w: w.isin(*spelled) if spelled else F.lit(False)), lambda w: F.lower(w))))
+    d = d.withColumns({"classes": class_counts(F.col("text"), F.col("word_chars").cast("double"), F.col("odd")), "chars": F.char_length("text").cast("double")})
+    # case is folded here as it was when the words were learned
+    d = d.withColumn("known", F.sort_array(F.transform(F.filter("words", lambda w: F.lower(w).isin(*every) if every else F.lit(False)), lambda w: F.lower(w))))
     d = d.withColumn("kinds", F.array_distinct("known"))
     starts = F.concat(F.transform("kinds", lambda w: F.array_position("known", w)), F.array((F.size("known") + 1).cast("long")))
     d = d.withColumn("starts", starts)
@@ -156,11 +160,11 @@ def score(docs: DataFrame, references: References, rules: Rules = Rules(), id_co
     total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
     # Each step is a projection of its own: an expression that several others use is computed once.
     own = {f"own{i}": F.transform(F.array(*map(F.lit, words)), lambda w: F.coalesce(F.try_element_at(F.col("counts"), w), F.lit(0.0))) if (words := references.words.get(x)) else F.array().cast("array<double>") for i, x in enumerate(languages)}
-    d = d.withColumns(own | {"chars": F.char_length("text").cast("double"), "n": F.col("n_words").cast("double")})
+    d = d.withColumns(own | {"n": F.col("n_words").cast("double")})
     d = d.withColumns({f"all{i}": F.concat(f"own{i}", F.array(F.col("n") - total(F.col(f"own{i}")))) for i in range(len(languages))})
     by = {}
     for i, lang in enumerate(languages):
-        by[f"class{i}"] = F.when(F.col("chars") < rules.min_chars, F.lit(0.0)).otherwise(distance(F.col("classes"), F.col("bytes"), references.classes[lang]))
+        by[f"class{i}"] = F.when(F.col("chars") < rules.min_chars, F.lit(0.0)).otherwise(distance(F.col("classes"), F.col("chars"), references.classes[lang]))
         by[f"word{i}"] = F.when(F.col("n") < rules.min_words, F.lit(0.0)).otherwise(distance(F.col(f"all{i}"), F.col("n"), references.shares.get(lang, [1.0])))
     d = d.withColumns(by)
     # the language whose larger distance, as a part of its limit, is least; ties to the first by name

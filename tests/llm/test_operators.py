@@ -381,7 +381,7 @@ def test_rules_on_whole_table(spark, sf_dir):
             tops[r["lang"]][w] += 1
             totals[r["lang"]] = totals.get(r["lang"], 0) + 1
     for lang, counts in tops.items():
-        best = sorted((w for w in counts if len(w) <= rules.LETTERS), key=lambda w: (-counts[w], w.encode()))[: limits.common]
+        best = sorted(counts, key=lambda w: (-counts[w], w.encode()))[: limits.common]
         assert refs.words[lang] == sorted(best) and refs.shares[lang][:-1] == pytest.approx([counts[w] / totals[lang] for w in sorted(best)])
     for r in docs.collect():
         text = r["text"] or ""
@@ -390,10 +390,12 @@ def test_rules_on_whole_table(spark, sf_dir):
         assert (g["n_words"], g["word_chars"], g["n_symbols"], g["n_dup_lines"], g["n_repeat_words"], g["base_failed"]) == want
         n = want[0]
         lowered = [w.lower() for w in re.findall(r"[^\x20\x09-\x0D]+", text)]
-        counts = [sum(c in letters for c in text) for letters in ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", ".,;:!?'\"()-")]
-        size = len(text.encode())
-        counts += [len(text) - want[1], want[2], size - len(text)]
+        size = len(text)
+        capitals = [chr(c) for c in (*range(0xC0, 0xD7), *range(0xD8, 0xDF))]
+        letters = ("abcdefghijklmnopqrstuvwxyz", " \t\n\v\f\r", ["A", *"BCDEFGHIJKLMNOPQRSTUVWXYZ", *capitals], "0123456789", ".,;:!?'\"()-", "#*$%&|<>")
+        counts = [sum(c in own for c in text) for own in letters]
         counts.append(size - sum(counts))
+        assert counts[:2] == [sum(c in letters[0] for c in text), size - want[1]]
         ok = False
         for lang in refs.classes:
             by_class = 0.0 if len(text) < limits.min_chars else divergence([c / size for c in counts], refs.classes[lang])
