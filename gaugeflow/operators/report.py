@@ -163,3 +163,8 @@ def array_digest(dtype: Column, shape: Column, content: Column) -> Column:
     """SHA-256 of an array's type, shape and bytes."""
     head = F.concat_ws("|", dtype, F.array_join(F.transform(shape, lambda x: x.cast("string")), ","))
     return F.sha2(F.concat(head.cast("binary"), F.lit("|").cast("binary"), content), 256)
+
+
+def stamped(rows: DataFrame, name: str = "generated_at") -> DataFrame:
+    """``rows`` with the time of the query in UTC, ISO 8601, the same in every row. Leave it out of digests."""
+    return rows.withColumn(name, F.date_format(F.convert_timezone(None, F.lit("UTC"), F.current_timestamp().cast("timestamp_ntz")), "yyyy-MM-dd'T'HH:mm:ss'Z'"))

@@ -116,10 +116,12 @@ def search(groups: Iterable[tuple[str, int, dict[str, tuple[int, int]]]], ratios
     return best[1]
 
 
-def search_split(rows: DataFrame, group: str, labels: str, ratios: dict[str, float], seed: int = 42, **options) -> DataFrame:
-    """(group, split) found by ``search``; what reaches the driver is a vector a group."""
+def search_split(rows: DataFrame, group: str, labels: str, ratios: dict[str, float], seed: int = 42, most_groups: int = 500_000, **options) -> DataFrame:
+    """(group, split) found by ``search``; what reaches the driver is a vector a group. More than ``most_groups`` groups raise ValueError: a search over them is no driver's work, ``hashed_split`` is."""
     spark = rows.sparkSession
     size = rows.groupBy(group).agg(F.count("*").alias("images"))
+    if (found := size.limit(most_groups + 1).count()) > most_groups:
+        raise ValueError(f"at least {found} groups to search over, {most_groups} at most")
     per = rows.select(group, F.monotonically_increasing_id().alias("i"), F.explode(labels).alias("c")).groupBy(group, "c").agg(F.countDistinct("i").alias("images"), F.count("*").alias("n"))
     vectors = per.groupBy(group).agg(F.collect_list(F.struct("c", "images", "n")).alias("v"))
     found = size.join(vectors, group, "left").collect()

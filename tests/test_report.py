@@ -2,11 +2,12 @@
 
 import json
 import math
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
-from gaugeflow.operators import joins, report
+from gaugeflow.operators import joins, report, split
 from gaugeflow.sources import files
 
 
@@ -59,3 +60,11 @@ def test_documents_counters_and_configurations(spark):
     assert files.simple_yaml(files.write_simple_yaml(config)) == config
     with pytest.raises(ValueError):
         files.simple_yaml("a:\n  b:\n    c: 1\n")
+
+
+def test_stamps_are_one_utc_time(spark):
+    got = {r["at"] for r in report.stamped(spark.range(5), "at").collect()}
+    assert len(got) == 1 and datetime.strptime(got.pop(), "%Y-%m-%dT%H:%M:%SZ").year >= 2024
+    rows = spark.createDataFrame([(str(i), ["a"]) for i in range(5)], "g string, l array<string>")
+    with pytest.raises(ValueError, match="groups"):
+        split.search_split(rows, "g", "l", {"train": 0.8, "val": 0.2}, most_groups=4)
