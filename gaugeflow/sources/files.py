@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,12 +43,16 @@ def absolute(path: Column) -> Column:
 def scan(spark: SparkSession, folder: str, digest: bool = True) -> DataFrame:
     """relative_path, file_type (image, json or other), size_bytes and sha256 of all files below a folder, unordered.
 
-    Without ``digest`` no content is read.
+    Without ``digest`` no content is read. The reader leaves empty files out; they come from its list of files, which the driver holds anyway.
     """
     d = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    listed = spark.createDataFrame([(re.sub("^file:/+", "file:/", unquote(p)),) for p in d.inputFiles()], "path string")
+    own = F.sha2("content", 256) if digest else F.lit(None).cast("string")
+    d = listed.join(d.select("path", "length", own.alias("sha256")), "path", "left")
     name = F.regexp_replace(F.col("path"), "^.*?" + _quoted(folder.rstrip("/").split("://")[-1]) + "/", "")
     kind = F.when(suffix(name).isin(*IMAGE_SUFFIXES), "image").when(suffix(name) == ".json", "json").otherwise("other")
-    return d.select(name.alias("relative_path"), kind.alias("file_type"), F.col("length").alias("size_bytes"), *([F.sha2("content", 256).alias("sha256")] if digest else []))
+    empty = F.sha2(F.lit("").cast("binary"), 256)
+    return d.select(name.alias("relative_path"), kind.alias("file_type"), F.coalesce("length", F.lit(0)).alias("size_bytes"), *([F.coalesce("sha256", empty).alias("sha256")] if digest else []))
 
 
 def _quoted(text: str) -> str:
