@@ -60,11 +60,15 @@ def _quoted(text: str) -> str:
 
 
 def annotations(spark: SparkSession, folder: str) -> DataFrame:
-    """relative path, raw text, parsed annotation and problem of every JSON file; a file that does not parse is a row, not an error. A byte order mark is dropped."""
+    """Path, raw text, parsed annotation and problem of every JSON file: json_error, shapes_missing, shapes_not_list or schema_mismatch (a field of another type), null if none. Such a file is a row, not an error. A byte order mark is dropped."""
     d = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").load(folder)
     raw = F.regexp_replace(F.decode("content", "UTF-8"), "^﻿", "")
     d = d.select("path", raw.alias("raw")).withColumn("a", F.from_json("raw", ANNOTATION, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}))
-    problem = F.when(F.col("a").isNull() | F.col("a._corrupt_record").isNotNull(), "json_error").when(F.get_json_object("raw", "$.shapes").isNull(), "shapes_missing").when(~F.get_json_object("raw", "$.shapes").startswith("["), "shapes_not_list")
+    shapes = F.try_variant_get(F.try_parse_json("raw"), "$.shapes", "variant")
+    problem = (
+        F.when(F.try_parse_json("raw").isNull(), "json_error").when(shapes.isNull(), "shapes_missing").when(~F.schema_of_variant(shapes).startswith("ARRAY"), "shapes_not_list")
+        .when(F.col("a").isNull() | F.col("a._corrupt_record").isNotNull(), "schema_mismatch")
+    )
     return d.withColumn("problem", problem)
 
 
