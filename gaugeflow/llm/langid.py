@@ -19,10 +19,8 @@ from __future__ import annotations
 
 import math
 import re
-import sys
 from collections import Counter
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,18 +31,17 @@ from gaugeflow.llm.common import bounded_ids, chunks, ids_and_texts, worker_obje
 from gaugeflow.session import ship
 
 SAMPLE_ROWS, SAMPLE_CHARS, MAX_WORDS, MAX_GRAMS, MIN_COUNT, ORDER = 3000, 20_000_000, 20_000, 40_000, 2, 5
+WORD = re.compile(r"[^\W\d_]+")
 CACHE = 200_000
 
 
-@cache
-def word_pattern() -> re.Pattern:
-    """Runs of letters. Numerals such as a superscript two or a circled one are word characters of the pattern language, but no letters."""
-    numerals = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-    return re.compile(rf"[^\W\d_{numerals}]+")
+def letters_of(run: str) -> list[str]:
+    """The parts of a run of word characters that are letters. Numerals such as a superscript two or a circled one are word characters of the pattern, but no letters."""
+    return [run] if run.isalpha() else "".join(c if c.isalpha() else " " for c in run).split()
 
 
 def words_of(text: str) -> list[str]:
-    return word_pattern().findall(text.lower())
+    return [w for run in WORD.findall(text.lower()) for w in letters_of(run)]
 
 
 class Model:
@@ -97,11 +94,16 @@ class Scorer:
     def clear(self) -> None:
         self.at: dict[str, int] = {}
         self.table = np.zeros((0, self.size))
+        self.odd = np.zeros(0, bool)
 
     def learn(self, words: set[str]) -> None:
-        """Score rows of words not met yet: a known word's own row, else the sum of the rows that its places back off to."""
+        """Score rows of words not met yet, after the others are dropped if they are many."""
         if len(self.at) > CACHE:
             self.clear()
+        self.extend(words)
+
+    def extend(self, words: set[str]) -> None:
+        """A known word has its own row, another the sum of the rows that its places back off to."""
         new = list(words - self.at.keys())
         if not new:
             return
@@ -123,20 +125,26 @@ class Scorer:
                 flat.append(row or 0)  # row 0: never seen
         self.at.update(zip(new, range(len(self.at), len(self.at) + len(new)), strict=True))
         self.table = np.concatenate([self.table, np.add.reduceat(self.scores[flat], starts)])
+        self.odd = np.concatenate([self.odd, [not w.isalpha() for w in new]])
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
-        split = [words_of(t) for t in texts]
+        split = [WORD.findall(t.lower()) for t in texts]
         if self.size:
             self.learn(set().union(*split))
-        get = self.at.__getitem__
+        rows = lambda words: np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
         langs, scores = [], []
         for words in split:
+            if words and self.size and self.odd[at := rows(words)].any():
+                # some run holds what is no letter: such texts are taken apart once more
+                words = [w for run in words for w in letters_of(run)]
+                if not self.at.keys() >= set(words):
+                    self.extend(set(words))
+                at = rows(words)
             if not words or not self.size:
                 langs.append("und")
                 scores.append(0.0)
                 continue
-            total = self.table[np.fromiter(map(get, words), np.int64, len(words))].sum(0)
-            total = (total + self.m.prior) / len(words)
+            total = (self.table[at].sum(0) + self.m.prior) / len(words)
             best = int(np.argmax(total))
             langs.append(self.m.languages[best])
             scores.append(float(1 / np.exp(total - total[best]).sum()))
