@@ -216,6 +216,10 @@ WITH t AS (SELECT count(DISTINCT user_id) AS ai, count(*) AS an FROM events)
 SELECT event_type AS class, count(DISTINCT user_id) AS images, count(*) AS instances, count(DISTINCT user_id) / any_value(ai) AS image_share, count(*) / any_value(an) AS instance_share,
   count(*) FILTER (value < 5) AS tiny, count(*) FILTER (value < 5) / count(*) AS tiny_share, quantile_cont(value, 0.5) AS median_area
 FROM events, t GROUP BY event_type""",
+    "q01_shape_stats": f"""
+WITH {MEASURED}, l AS (SELECT m.*, area / 70000 AS rel, CASE WHEN s % 47 = 0 THEN '' ELSE 'class' || (n % 3) END AS label FROM measured m JOIN items i ON m.image = i.image AND m.gi = i.gi), t AS (SELECT count(DISTINCT image) AS ai, count(*) AS an FROM l)
+SELECT label AS class, count(DISTINCT image) AS images, count(*) AS instances, count(*) FILTER (rel < 0.01::DOUBLE) AS tiny, 4.0::DOUBLE AS median_vertices, round(count(DISTINCT image) / any_value(ai), 9) AS image_share, round(count(*) / any_value(an), 9) AS instance_share,
+  round(count(*) FILTER (rel < 0.01::DOUBLE) / count(*), 9) AS tiny_share, round(median(rel), 9) AS median_relative_area, round(median(w / h), 9) AS median_aspect FROM l, t GROUP BY label""",
     "q02_cooccurrence": """
 WITH h AS (SELECT DISTINCT user_id, event_type FROM events), n AS (SELECT DISTINCT event_type AS c FROM events)
 SELECT a.c AS class_a, b.c AS class_b, (SELECT count(*) FROM h x JOIN h y ON x.user_id = y.user_id WHERE x.event_type = a.c AND y.event_type = b.c) AS images FROM n a, n b""",

@@ -27,6 +27,14 @@ def q01_class_stats(spark: SparkSession, d: str) -> DataFrame:
     return profile.class_statistics(fx.table(spark, d, "events"), "user_id", "event_type", "value", 5.0)
 
 
+@query
+def q01_shape_stats(spark: SparkSession, d: str) -> DataFrame:
+    """Classes of the polygons, with medians of vertices, relative area and aspect; tiny under 1 % of the image."""
+    m = _measured(spark, d).withColumns({"vertices": F.size("points"), "relative_area": F.col("area") / (F.col("width") * F.col("height"))})
+    found = profile.class_statistics(m, "image", "label", "relative_area", 0.01, ("vertices", "relative_area", "aspect"))
+    return found.select("class", "images", "instances", "tiny", "median_vertices", *[F.round(c, 9).alias(c) for c in ("image_share", "instance_share", "tiny_share", "median_relative_area", "median_aspect")])
+
+
 @query
 def q02_cooccurrence(spark: SparkSession, d: str) -> DataFrame:
     """D3: types of a user together, full grid."""

@@ -80,3 +80,56 @@ def fingerprints(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Serie
 
 def with_fingerprints(images: DataFrame) -> DataFrame:
     return images.withColumn("f", fingerprints("data", "width", "height", "channels")).select("path", "width", "height", "failed", "f.*")
+
+
+#: Tags of dates: DateTime, DateTimeOriginal, DateTimeDigitized (fixed values).
+DATE_TAGS = (306, 36867, 36868)
+
+
+def exif_block(content: bytes) -> bytes:
+    """The block of camera tags of a JPEG or PNG file; empty if it has none."""
+    if content[:2] == b"\xff\xd8":
+        at = 2
+        while at + 4 <= len(content) and content[at] == 0xFF and content[at + 1] != 0xDA:
+            size = int.from_bytes(content[at + 2 : at + 4], "big")
+            if content[at + 1] == 0xE1 and content[at + 4 : at + 10] == b"Exif\0\0":
+                return content[at + 10 : at + 2 + size]
+            at += 2 + size
+    if content[:8] == b"\x89PNG\r\n\x1a\n":
+        at = 8
+        while at + 8 <= len(content):
+            size = int.from_bytes(content[at : at + 4], "big")
+            if content[at + 4 : at + 8] == b"eXIf":
+                return content[at + 8 : at + 8 + size]
+            at += 12 + size
+    return b""
+
+
+def date_tags(content: bytes) -> list[str]:
+    """Values of the date tags in the first directory of a file's camera tags, in its order; none if the block is missing or broken."""
+    block = exif_block(content)
+    order = {b"II": "little", b"MM": "big"}.get(block[:2])
+    number = lambda at, n: int.from_bytes(block[at : at + n], order)
+    if order is None or len(block) < 8 or number(2, 2) != 42:
+        return []
+    first = number(4, 4)
+    out = []
+    for i in range(min(number(first, 2), (len(block) - first) // 12)):
+        entry = first + 2 + 12 * i
+        if number(entry, 2) in DATE_TAGS and number(entry + 2, 2) == 2:  # a text
+            size = number(entry + 4, 4)
+            at = entry + 8 if size <= 4 else number(entry + 8, 4)
+            out.append(block[at : at + size].split(b"\0")[0].decode("ascii", "replace"))
+    return out
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def dates(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for part in parts:
+        yield pd.Series([date_tags(bytes(x)) for x in part])
+
+
+def date_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """(value, n): how often each value of a date tag occurs in the JPEG and PNG files below a folder. Files are read whole, so few of them are in a batch at a time."""
+    d = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).where(F.lower("path").rlike(r"\.(jpe?g|png)$"))
+    return d.select(F.explode(dates("content")).alias("value")).groupBy("value").agg(F.count("*").alias("n"))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gaugeflow.operators import joins
-from gaugeflow.sources import files, labels
+from gaugeflow.sources import files, images, labels
 
 
 def test_scan_and_documents(spark, tmp_path):
@@ -52,3 +52,25 @@ def test_csv_logs_and_frozen_tables(spark, tmp_path):
     text = spark.createDataFrame([("train", "0 0 0 1 0 1 1"), ("val", "9 0 0 1 0 1 1")], "split string, line string")
     labels.write(text, str(tmp_path / "labels"), "split")
     assert sorted((r["class_id"], r["problem"]) for r in labels.read(spark, str(tmp_path / "labels"), 2).select("class_id", F.coalesce("problem", F.lit("")).alias("problem")).collect()) == [(0, ""), (9, "class_range")]
+
+
+def camera_tags(order, tags):
+    number = lambda x, n: x.to_bytes(n, "little" if order == b"II" else "big")
+    at, data, entries = 8 + 2 + 12 * len(tags) + 4, b"", b""
+    for tag, text in tags:
+        raw = text.encode() + b"\0"
+        entries += number(tag, 2) + number(2, 2) + number(len(raw), 4) + number(at + len(data), 4)
+        data += raw
+    return order + number(42, 2) + number(8, 4) + number(len(tags), 2) + entries + number(0, 4) + data
+
+
+def test_camera_dates(spark, tmp_path):
+    block = camera_tags(b"II", [(271, "maker"), (306, "2024:01:02 03:04:05")])
+    jpeg = b"\xff\xd8\xff\xe0\x00\x04xx\xff\xe1" + (len(block) + 8).to_bytes(2, "big") + b"Exif\0\0" + block + b"\xff\xda"
+    png = b"\x89PNG\r\n\x1a\n" + (0).to_bytes(4, "big") + b"IHDR" + b"\0" * 4
+    other = camera_tags(b"MM", [(36868, "2024:01:02 03:04:05")])
+    png += len(other).to_bytes(4, "big") + b"eXIf" + other + b"\0" * 4
+    for name, content in {"a.jpg": jpeg, "b.PNG": png, "c.jpeg": b"\xff\xd8\xff", "d.png": b"", "e.jpg": jpeg[:40], "f.txt": jpeg}.items():
+        (tmp_path / name).write_bytes(content)
+    assert images.date_tags(jpeg) == images.date_tags(png) == ["2024:01:02 03:04:05"]
+    assert [tuple(r) for r in images.date_counts(spark, str(tmp_path)).collect()] == [("2024:01:02 03:04:05", 2)]
