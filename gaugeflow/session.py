@@ -57,7 +57,7 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if spark.sparkContext.master.split("[")[0] != "local":
         raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and the executors share")
     if not _local_folder:
         _local_folder.append(tempfile.mkdtemp(prefix="gaugeflow-checkpoint-"))
