@@ -26,7 +26,7 @@ from gaugeflow.session import discard, materialise
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    net = toxicity.fit(toxicity.training_sample(docs, labels, "toxic", fold("doc_id", 5) != 0))
+    net = toxicity.trained(docs, labels, "toxic", fold("doc_id", 5) != 0)
     return toxicity.keep(docs, net)
 
 

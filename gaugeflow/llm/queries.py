@@ -50,7 +50,7 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every text; labels are learned where the fold is not 0."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    net = toxicity.fit(toxicity.training_sample(docs, table(spark, sf_dir, "labels"), "toxic", fold("doc_id", 5) != 0))
+    net = toxicity.trained(docs, table(spark, sf_dir, "labels"), "toxic", fold("doc_id", 5) != 0)
     found = toxicity.score(docs, net)
     return found.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 

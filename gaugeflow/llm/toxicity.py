@@ -7,7 +7,7 @@ direction; attention weights pool the states, and a linear unit gives the window
 overlap by half and cover the whole text; the text's logit is its windows' highest, and two numbers fitted
 on the training texts turn it into a probability.
 
-Fitting takes a bounded sample of labelled rows (``SAMPLE_ROWS`` of lowest hash of the id, as many of them as have ``SAMPLE_CHARS`` characters together). A toxic text does not
+``trained`` fits in one task on a bounded sample of labelled rows (``SAMPLE_ROWS`` of lowest hash of the id, as many of them as have ``SAMPLE_CHARS`` characters together). A toxic text does not
 say where it is toxic, so each pass trains on its highest window, at first the one with the word that
 most favours toxic texts; of other texts the highest windows and some at random are trained on. A fifth of the
 rows is kept apart to choose the pass and to calibrate the score.
@@ -20,6 +20,7 @@ result, a very long text as many windows as it needs. Ties, repeated rows and ex
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugeflow.llm.common import bounded_ids, chunks, ids_and_texts, map_rows, worker_object
+from gaugeflow.llm.common import bounded_ids, chunks, ids_and_texts, map_rows, worker_object, worker_release
 from gaugeflow.llm.neardup import mix, shingles
 from gaugeflow.session import ship
 
@@ -376,13 +377,31 @@ class Scorer:
         return sigmoid(self.net.scale * top + self.net.shift)
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, label: str, where: Column, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> list[tuple[str, int]]:
-    """(text, label) of at most ``rows`` labelled rows, as long as their texts have ``chars`` characters together. Several labels of one id count as the highest."""
+def sampled(docs: DataFrame, labels: DataFrame, label: str, where: Column, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> DataFrame:
+    """text and y of at most ``rows`` labelled rows, as long as their texts have ``chars`` characters together, in one partition and always in the same order. Several labels of one id count as the highest."""
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).cast("int").alias("y"))
     known = known.where(where).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     d = ids_and_texts(docs).join(F.broadcast(known), "doc_id")  # ``rows`` ids at most
     d = d.join(F.broadcast(bounded_ids(d.select("doc_id", F.xxhash64("doc_id").alias("h"), F.char_length("text").alias("size")), rows, chars)), "doc_id", "left_semi")
-    return [(r["text"], r["y"]) for r in d.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(rows).select("text", "y").collect()]
+    return d.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(rows).select("text", "y")
+
+
+def training_sample(docs: DataFrame, labels: DataFrame, label: str, where: Column, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> list[tuple[str, int]]:
+    """The rows of ``sampled`` as a list."""
+    return [(r["text"], r["y"]) for r in sampled(docs, labels, label, where, rows, chars).collect()]
+
+
+def trained(docs: DataFrame, labels: DataFrame, label: str, where: Column, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> Network:
+    """The network that ``fit`` makes of the training sample, fitted in one task: no text and nothing of the fitting comes to the driver, only the network."""
+    ship(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_release()
+        net = fit([(text, y) for batch in batches for text, y in zip(*(c.to_pylist() for c in batch.columns), strict=True)])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net)], pa.binary())], ["net"])
+
+    found = sampled(docs, labels, label, where, rows, chars).mapInArrow(run, "net binary").collect()
+    return pickle.loads(found[0]["net"]) if found else fit([])  # a table known to be empty may have no task
 
 
 def score(docs: DataFrame, net: Network, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
